@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contest import is_completed
-from ..functions.numbers import difference, ratio, round_even
 
 # fixed values: metrics averaged over the last games, and the columns they become
 LAST_5 = ("win", "goals_for", "goals_against")
@@ -126,44 +125,37 @@ def team_days(history: DataFrame, asks: DataFrame, metrics: tuple[str, ...], dep
 
     ``history`` is one row per (game, team); ``asks`` has columns team, season, game_date.
     """
-    diff = F.col("goals_for") - F.col("goals_against")
-    both = F.col("goals_for").isNotNull() & F.col("goals_against").isNotNull()
-    home, road = F.col("is_home") == 1, F.col("is_home") == 0
+    diff = "goals_for - goals_against"
     sums = {
-        "n": F.lit(1),
-        "pts": F.col("points"),
-        "home_n": F.when(home, 1).otherwise(0),
-        "home_win": F.when(home, F.col("win")).otherwise(0.0),
-        "home_gd": F.when(home & both, diff),
-        "road_n": F.when(road, 1).otherwise(0),
-        "road_win": F.when(road, F.col("win")).otherwise(0.0),
-        "road_gd": F.when(road & both, diff),
+        "n": "1",
+        "pts": "points",
+        "home_n": "CASE WHEN is_home = 1 THEN 1 ELSE 0 END",
+        "home_win": "CASE WHEN is_home = 1 THEN win ELSE 0 END",
+        "home_gd": f"CASE WHEN is_home = 1 THEN {diff} END",
+        "road_n": "CASE WHEN is_home = 0 THEN 1 ELSE 0 END",
+        "road_win": "CASE WHEN is_home = 0 THEN win ELSE 0 END",
+        "road_gd": f"CASE WHEN is_home = 0 THEN {diff} END",
     }
     key = ["team", "season", "game_date"]
-    played = history.select(*key, *[e.cast("double").alias(n) for n, e in sums.items()])
-    asked = asks.select(*key).withColumns({n: F.lit(0.0) for n in sums})
+    played = history.selectExpr(*key, *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in sums.items()])
+    asked = asks.selectExpr(*key, *[f"0D AS {n}" for n in sums])
     daily = played.unionByName(asked).groupBy(*key).agg(*[F.sum(n).alias(n) for n in sums])
 
     day = ["team", "game_date"]
     arrays = latest_of_day(history, day, list(metrics), depth, "games_of_day")
     daily = daily.join(arrays, day, "left")
 
-    number = F.unix_date("game_date")
-    by_team = Window.partitionBy("team").orderBy(number)
-    by_season = Window.partitionBy("team", "season").orderBy(number)
-    earlier = by_team.rangeBetween(Window.unboundedPreceding, -1)
-    in_season = by_season.rangeBetween(Window.unboundedPreceding, -1)
-    played_day = F.when(F.col("n") > 0, F.col("game_date"))
-    columns = {
-        "last_date": F.max(played_day).over(earlier),
-        **{f"n_{d}": F.coalesce(F.sum("n").over(by_team.rangeBetween(-d, -1)), F.lit(0.0)) for d in (3, 7, 14)},
-        **{f"season_{n}": F.sum(n).over(in_season) for n in sums},
-    }
-    daily = daily.select("*", *[c.alias(n) for n, c in columns.items()])
-
-    # Position among the team's days with games; days that are only asked about share the next one.
-    day_count = F.sum(F.when(F.col("n") > 0, 1).otherwise(0))
-    daily = daily.withColumn("_position", F.coalesce(day_count.over(earlier), F.lit(0)))
+    team = "PARTITION BY team ORDER BY unix_date(game_date)"
+    season = "PARTITION BY team, season ORDER BY unix_date(game_date)"
+    before = "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    daily = daily.selectExpr(
+        "*",
+        f"max(CASE WHEN n > 0 THEN game_date END) OVER ({team} {before}) AS last_date",
+        *[f"coalesce(sum(n) OVER ({team} RANGE BETWEEN {d} PRECEDING AND 1 PRECEDING), 0D) AS n_{d}" for d in (3, 7, 14)],
+        *[f"sum({n}) OVER ({season} {before}) AS season_{n}" for n in sums],
+        f"coalesce(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER ({team} {before}), 0) AS _position",
+    )
+    # _position counts the team's earlier days with games; days that are only asked about share the next one.
     # `depth` days with games always hold at least `depth` games.
     frame = Window.partitionBy("team").orderBy("_position").rangeBetween(-depth, -1)
     recent = F.flatten(F.collect_list("games_of_day").over(frame))
@@ -173,84 +165,56 @@ def team_days(history: DataFrame, asks: DataFrame, metrics: tuple[str, ...], dep
     return TeamDays(rows.drop("_all", "_position", "games_of_day"), metrics)
 
 
-def _tail(n: int) -> Column:
-    return last_items(F.col("recent"), n)
+def _rounded(expression: str, places: int = 4) -> str:
+    scale = f"{10.0**places:.1f}D"
+    return f"rint(({expression}) * {scale}) / {scale}"
 
 
-def mean_of_last(metric: str, n: int, places: int = 4) -> Column:
+def mean_of_last(metric: str, n: int) -> str:
     """Mean of a metric over the last ``n`` games, missing values skipped; null without any."""
-
-    def add(acc: Column, game: Column) -> Column:
-        value = game[metric].cast("double")
-        return F.when(value.isNull() | F.isnan(value), acc).otherwise(
-            F.struct((acc["s"] + value).alias("s"), (acc["n"] + 1.0).alias("n"))
-        )
-
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
-    mean = F.aggregate(_tail(n), start, add, lambda acc: F.try_divide(acc["s"], acc["n"]))
-    return round_even(mean, places)
-
-
-def goal_difference(n: int = 10) -> Column:
-    def add(acc: Column, game: Column) -> Column:
-        step = game["goals_for"] - game["goals_against"]
-        return F.when(step.isNull(), acc).otherwise(F.coalesce(acc, F.lit(0.0)) + step)
-
-    return round_even(F.aggregate(_tail(n), F.lit(None).cast("double"), add), 4)
+    return _rounded(f"avg(CASE WHEN r <= {n} THEN nanvl(CAST(g.{metric} AS DOUBLE), NULL) END)")
 
 
-def attempt_share(n: int = 10) -> Column:
-    def add(acc: Column, game: Column) -> Column:
-        own, other = game["es_shot_attempts_for"], game["es_shot_attempts_against"]
-        return F.struct(
-            (acc["f"] + F.coalesce(own, F.lit(0.0))).alias("f"), (acc["a"] + F.coalesce(other, F.lit(0.0))).alias("a")
-        )
-
-    start = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("a"))
-    share = F.aggregate(_tail(n), start, add, lambda acc: F.try_divide(acc["f"], acc["f"] + acc["a"]))
-    return round_even(share, 4)
-
-
-def schedule_columns(rest_cap: int | None = None) -> dict[str, Column]:
+def schedule_columns(rest_cap: int | None = None) -> dict[str, str]:
     """Rest, back-to-back and games in the last days; ``rest_cap`` is 14 for serving."""
-    gap = F.datediff("game_date", "last_date").cast("double")
-    rest = F.least(gap, F.lit(float(rest_cap))) if rest_cap else gap
+    gap = "CAST(datediff(game_date, last_date) AS DOUBLE)"
     return {
-        "rest_days": rest,
-        "games_last_3_days": F.col("n_3"),
-        "games_last_7_days": F.col("n_7"),
-        "games_last_14_days": F.col("n_14"),
-        "back_to_back": F.when(gap == 1, 1.0).otherwise(0.0),
+        "rest_days": f"least({gap}, {float(rest_cap)}D)" if rest_cap else gap,
+        "games_last_3_days": "n_3",
+        "games_last_7_days": "n_7",
+        "games_last_14_days": "n_14",
+        "back_to_back": f"CASE WHEN {gap} = 1 THEN 1.0D ELSE 0.0D END",
     }
 
 
-def split_columns() -> dict[str, Column]:
+def split_columns() -> dict[str, str]:
     """Season-to-date points share and the home and road records, null before the first game."""
     return {
-        "season_points_pct_before_game": round_even(ratio(F.col("season_pts"), 2 * F.col("season_n")), 4),
-        "home_win_pct_before_game": round_even(ratio(F.col("season_home_win"), F.col("season_home_n")), 4),
-        "road_win_pct_before_game": round_even(ratio(F.col("season_road_win"), F.col("season_road_n")), 4),
-        "home_goal_diff_avg_before_game": round_even(ratio(F.col("season_home_gd"), F.col("season_home_n")), 4),
-        "road_goal_diff_avg_before_game": round_even(ratio(F.col("season_road_gd"), F.col("season_road_n")), 4),
+        "season_points_pct_before_game": _rounded("try_divide(season_pts, 2 * season_n)"),
+        "home_win_pct_before_game": _rounded("try_divide(season_home_win, season_home_n)"),
+        "road_win_pct_before_game": _rounded("try_divide(season_road_win, season_road_n)"),
+        "home_goal_diff_avg_before_game": _rounded("try_divide(season_home_gd, season_home_n)"),
+        "road_goal_diff_avg_before_game": _rounded("try_divide(season_road_gd, season_road_n)"),
     }
 
 
-def form_columns(metrics: tuple[str, ...]) -> dict[str, Column]:
-    """Rolling means of the metrics that are present."""
-    out: dict[str, Column] = {}
+def form_columns(metrics: tuple[str, ...]) -> dict[str, str]:
+    """Rolling means of the metrics that are present, over exploded recent games (``g``, newest ``r`` = 1)."""
+    out: dict[str, str] = {}
     for m in LAST_5:
         out[f"last_5_{m}_pct" if m == "win" else f"last_5_{m}_avg"] = mean_of_last(m, 5)
     for m in LAST_10:
         if m in metrics:
             name = {"win": "last_10_win_pct", "skaters_avg_toi_seconds": "last_10_skaters_avg_toi_seconds"}
             out[name.get(m, f"last_10_{m}_avg")] = mean_of_last(m, 10)
-    out["goal_diff_last_10"] = goal_difference()
+    out["goal_diff_last_10"] = _rounded("sum(CASE WHEN r <= 10 THEN g.goals_for - g.goals_against END)")
     if "es_shot_attempts_for" in metrics:
-        out["last_10_es_shot_attempt_share"] = attempt_share()
+        own = "coalesce(sum(CASE WHEN r <= 10 THEN g.es_shot_attempts_for END), 0D)"
+        other = "coalesce(sum(CASE WHEN r <= 10 THEN g.es_shot_attempts_against END), 0D)"
+        out["last_10_es_shot_attempt_share"] = _rounded(f"try_divide({own}, {own} + {other})")
     if "starting_goalie_id" in metrics:
-        newest = F.get(F.col("recent"), F.size("recent") - 1)
-        out["last_starting_goalie_id"] = newest["starting_goalie_id"]
-        out["last_starting_goalie_name"] = newest["starting_goalie_name"]
+        for c in ("id", "name"):
+            out[f"last_starting_goalie_{c}"] = f"max(CASE WHEN r = 1 THEN g.starting_goalie_{c} END)"
         for m in LAST_3:
             ending = {"starting_goalie_save_pct": "", "starting_goalie_quality_start": "_pct"}.get(m, "_avg")
             out[f"last_3_{m}{ending}"] = mean_of_last(m, 3)
@@ -258,10 +222,21 @@ def form_columns(metrics: tuple[str, ...]) -> dict[str, Column]:
 
 
 def features(days: TeamDays, rest_cap: int | None = None) -> DataFrame:
-    """Feature columns per (team, season, game_date), in the fixed order where present."""
-    made = schedule_columns(rest_cap) | split_columns() | form_columns(days.metrics)
-    ordered = [n for n in TEAM_FEATURES if n in made]
-    return days.rows.select("team", "season", "game_date", *[made[n].alias(n) for n in ordered])
+    """Feature columns per (team, season, game_date), in the fixed order where present.
+
+    The few recent games of a day are exploded and averaged by a plain
+    aggregation; rows are already clustered by team, so no shuffle is added.
+    """
+    key = ("team", "season", "game_date")
+    per_day = schedule_columns(rest_cap) | split_columns()
+    rolling = form_columns(days.metrics)
+    rows = days.rows.selectExpr(*key, *[f"{e} AS {n}" for n, e in per_day.items()], "size(recent) AS _size", "recent")
+    games = rows.selectExpr(*key, *per_day, "_size", "posexplode_outer(recent) AS (_at, g)")
+    games = games.withColumn("r", F.expr("_size - _at"))
+    made = games.groupBy(*key).agg(
+        *[F.expr(f"first({n}) AS {n}") for n in per_day], *[F.expr(f"{e} AS {n}") for n, e in rolling.items()]
+    )
+    return made.select(*key, *[n for n in TEAM_FEATURES if n in per_day or n in rolling])
 
 
 def asks_of(games: DataFrame) -> DataFrame:
@@ -285,9 +260,9 @@ def attach(games: DataFrame, team_features: DataFrame) -> DataFrame:
 def with_differences(df: DataFrame) -> DataFrame:
     """Add every home-minus-away column whose two inputs are present; null when either side is."""
     have = set(df.columns)
-    return df.select(
-        "*",
-        *[difference(F.col(h), F.col(a)).alias(n) for n, (h, a) in diff_pairs().items() if h in have and a in have],
+    pairs = {n: p for n, p in diff_pairs().items() if have.issuperset(p)}
+    return df.selectExpr(
+        "*", *[_rounded(f"CAST({h} AS DOUBLE) - CAST({a} AS DOUBLE)") + f" AS {n}" for n, (h, a) in pairs.items()]
     )
 
 

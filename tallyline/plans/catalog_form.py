@@ -9,8 +9,6 @@ from ..operators import boxes, history, matchups
 from ..sources import standin
 from .views_sql import with_views
 
-DATE = F.col("game_date").cast("string").alias("game_date")
-
 
 def _names(df, drop=()):
     return [c for c in df.columns if c not in drop]
@@ -103,9 +101,8 @@ def _days(spark, folder):
 
 def rest_and_congestion(spark, folder):
     done, days = _days(spark, folder)
-    made = history.schedule_columns()
-    capped = history.schedule_columns(14)["rest_days"].alias("rest_days_capped")
-    rows = days.rows.select("team", "season", "game_date", *[made[c].alias(c) for c in REST], capped)
+    made = history.schedule_columns() | {"rest_days_capped": history.schedule_columns(14)["rest_days"]}
+    rows = days.rows.selectExpr("team", "season", "game_date", *[f"{e} AS {c}" for c, e in made.items()])
     made_games = history.attach(done, rows)
     return _out(made_games, ["game_id", "game_date", *[f"{s}_{c}" for s in ("home", "away") for c in (*REST, "rest_days_capped")]])
 
@@ -141,8 +138,7 @@ SPLITS = (
 
 def season_splits(spark, folder):
     done, days = _days(spark, folder)
-    made = history.split_columns()
-    rows = days.rows.select("team", "season", "game_date", *[made[c].alias(c) for c in SPLITS])
+    rows = days.rows.selectExpr("team", "season", "game_date", *[f"{e} AS {c}" for c, e in history.split_columns().items()])
     return _out(history.attach(done, rows), ["game_id", "game_date", *[f"{s}_{c}" for s in ("home", "away") for c in SPLITS]])
 
 
