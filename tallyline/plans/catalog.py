@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("catalog_form",)
+_PARTS = ("catalog_form", "catalog_scores")
 
 
 def registered() -> dict[str, tuple]:
