@@ -99,7 +99,7 @@ def reliability_curve(df: DataFrame, p: str = "p", y: str = "y", bins: int = 10,
     empty = [F.lit(0.0).alias("c"), F.lit(0).alias("r"), F.lit(0).alias("w")]
     if keys:
         seen = df.select(*keys).distinct()
-        frame = seen.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("band"), *empty)
+        frame = seen.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<long>")).alias("band"), *empty)
     else:
         frame = spark.range(bins).select(F.col("id").alias("band"), *empty)
     per = rows.unionByName(frame).groupBy(*keys, "band").agg(

@@ -288,7 +288,7 @@ _GRID_W = ", ".join(
     for w in scores.GRID_WINDOWS
 )
 _GRID_L = " UNION ALL ".join(
-    f"SELECT {i} AS at, CAST({w} AS BIGINT) AS \"window\", {s}::DOUBLE AS strength, "
+    f"SELECT {i} AS pos, CAST({w} AS BIGINT) AS \"window\", {s}::DOUBLE AS strength, "
     f"1 / (1 + exp(-({_logit('p_home')} + COALESCE({s}::DOUBLE * ({_logit(f'r{w}')} - {_logit('0.544::DOUBLE')}), 0)))) AS p, y FROM rolled"
     for i, (w, s) in enumerate([(w, s) for w in scores.GRID_WINDOWS for s in scores.GRID_STRENGTHS])
 )
@@ -296,8 +296,8 @@ SQL_GRID = with_views(
     "preds_v",
     f"""{G}, ordered AS (SELECT *, row_number() OVER (ORDER BY game_date, game_id) AS n FROM graded WHERE season < {HELD_OUT}),
 rolled AS (SELECT p_home, y, {_GRID_W} FROM ordered), cells AS ({_GRID_L}),
-losses AS (SELECT at, "window", strength, {rnd(f'avg({LL15})', 6)} AS log_loss FROM cells GROUP BY at, "window", strength)
-SELECT "window", strength, log_loss, row_number() OVER (ORDER BY log_loss, at) = 1 AS best FROM losses""",
+losses AS (SELECT pos, "window", strength, {rnd(f'avg({LL15})', 6)} AS log_loss FROM cells GROUP BY pos, "window", strength)
+SELECT "window", strength, log_loss, row_number() OVER (ORDER BY log_loss, pos) = 1 AS best FROM losses""",
 )
 
 

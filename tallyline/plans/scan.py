@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # Above this many rows a key is treated as hot. A task sorts this many narrow rows easily.
@@ -31,7 +31,8 @@ def id_block(column: str) -> Column:
 class Running:
     """One running value, the current row included.
 
-    ``kind`` is ``sum`` (of ``value``) or ``last`` (latest non-null ``value``).
+    ``kind`` is ``sum`` or ``max`` (of ``value``), ``last`` (latest non-null
+    ``value``) or ``lag`` (``value`` of the row before, which may be null).
     """
 
     name: str
@@ -47,18 +48,36 @@ def running_last(name: str, value: Column) -> Running:
     return Running(name, "last", value)
 
 
+def running_max(name: str, value: Column) -> Running:
+    return Running(name, "max", value)
+
+
+def running_lag(name: str, value: Column) -> Running:
+    return Running(name, "lag", value)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     """Keys with more than ``hot_rows`` rows; at most ``rows / hot_rows`` of them can exist."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
 
 
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The hot keys, or None where there are none. Runs one narrow counting pass."""
+    hot = hot_keys(df, keys, hot_rows)
+    return None if hot.isEmpty() else hot
+
+
+def _over(r: Running, window: WindowSpec) -> Column:
+    if r.kind == "lag":
+        return F.lag(r.value).over(window)
+    frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}[r.kind]
+    return made(r.value).over(frame)
+
+
 def _plain(df: DataFrame, keys: Sequence[str], order: Sequence[Column], running: Sequence[Running]) -> DataFrame:
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    exprs = {
-        r.name: (F.sum(r.value) if r.kind == "sum" else F.last(r.value, ignorenulls=True)).over(frame)
-        for r in running
-    }
-    return df.select("*", *[e.alias(n) for n, e in exprs.items()])
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.select("*", *[_over(r, window).alias(r.name) for r in running])
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -84,10 +103,11 @@ def blocked(
     rows = df.select("*", *[c.alias(n) for n, c in zip(level_names, levels.values(), strict=True)])
 
     def seed(r: Running) -> Column:
-        if r.kind == "sum":
-            return F.sum(r.value)
-        # the latest non-null value of a block: the largest (order, value) pair
-        return F.max(F.when(r.value.isNotNull(), F.struct(*_positions(order), r.value.alias("v"))))
+        if r.kind in ("sum", "max"):
+            return F.sum(r.value) if r.kind == "sum" else F.max(r.value)
+        # the latest value of a block is the largest (order, value) pair
+        pair = F.struct(*_positions(order), r.value.alias("v"))
+        return F.max(pair if r.kind == "lag" else F.when(r.value.isNotNull(), pair))
 
     totals = rows.groupBy(*grain).agg(*[seed(r).alias(f"_t_{r.name}") for r in running])
 
@@ -117,15 +137,22 @@ def blocked(
         starts = level
 
     starts = starts.select(*[F.col(n).alias(f"_j_{n}") for n in grain], *[f"_s_{r.name}" for r in running])
-    inside = Window.partitionBy(*grain).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*grain).orderBy(*order)
     joined = rows.join(starts, reduce(lambda a, b: a & b, [rows[n] == starts[f"_j_{n}"] for n in grain]))
     out = []
     for r in running:
         start = F.col(f"_s_{r.name}")
         if r.kind == "sum":
-            out.append((F.coalesce(start, F.lit(0)) + F.sum(r.value).over(inside)).alias(r.name))
+            value = F.coalesce(start, F.lit(0)) + _over(r, inside)
+        elif r.kind == "max":
+            value = F.greatest(start, _over(r, inside))
+        elif r.kind == "last":
+            value = F.coalesce(_over(r, inside), start["v"])
         else:
-            out.append(F.coalesce(F.last(r.value, ignorenulls=True).over(inside), start["v"]).alias(r.name))
+            # wrapped, so that a null in the row before is told from no row before
+            before = F.lag(F.struct(r.value.alias("v"))).over(inside)
+            value = F.when(before.isNotNull(), before["v"]).otherwise(start["v"])
+        out.append(value.alias(r.name))
     return joined.select(*[rows[c] for c in df.columns], *out)
 
 
@@ -136,7 +163,8 @@ def _positions(order: Sequence[Column]) -> list[Column]:
 def _combine(r: Running, above: Column, here: Column) -> Column:
     if r.kind == "sum":
         return F.coalesce(above, F.lit(0)) + F.coalesce(here, F.lit(0))
-    return F.coalesce(here, above)
+    # both are largest (order, value) pairs or plain maxima; `greatest` skips nulls
+    return F.greatest(above, here)
 
 
 def ordered_running(
@@ -146,15 +174,19 @@ def ordered_running(
     order: Sequence[Column],
     running: Sequence[Running],
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """Running values per key: a plain window for ordinary keys, blocks for hot ones.
 
-    One narrow counting pass finds the hot keys. Without any the plan is a
-    single shuffle; with some, only their rows take the blocked way. The hot
-    key list is broadcast: it holds at most ``rows / hot_rows`` keys.
+    One narrow counting pass finds the hot keys (pass ``hot`` and ``checked``
+    to reuse an earlier one). Without any the plan is a single shuffle; with
+    some, only their rows take the blocked way. The hot key list is broadcast:
+    it holds at most ``rows / hot_rows`` keys.
     """
-    hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
+    if not checked:
+        hot = find_hot(df, keys, hot_rows)
+    if hot is None:
         return _plain(df, keys, order, running)
     hot = F.broadcast(hot)
     cold_part = _plain(df.join(hot, list(keys), "left_anti"), keys, order, running)
