@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contest import confidence, is_right
 from ..functions.numbers import clamp, logit, ratio, round_even, sigmoid
-from ..plans.scan import ID_BLOCK, blocked, id_block, running_sum
+from ..plans.scan import ID_BLOCK, blocked, id_block, running_sum, with_halo, without_halo
 
 # fixed values: sample sizes, drift limits and bands
 MIN_SAMPLE = 30
@@ -350,8 +350,6 @@ def rolling_home_rate(df: DataFrame, windows: tuple[int, ...], y: str = "y", blo
     Each block also receives the last rows of the block before it, so every
     frame lies inside one block.
     """
-    widest = max(windows)
-    block_rows = max(block_rows, widest)
     numbered = blocked(
         df,
         [],
@@ -359,17 +357,12 @@ def rolling_home_rate(df: DataFrame, windows: tuple[int, ...], y: str = "y", blo
         [F.col("game_date"), F.col("game_id")],
         [running_sum("_n", F.lit(1))],
     )
-    block = F.floor((F.col("_n") - 1) / block_rows)
-    tail = (F.col("_n") - 1) % block_rows >= block_rows - widest
-    homes = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = numbered.withColumn("_own", block).withColumn("_block", F.explode(homes))
+    spread = with_halo(numbered, "_n", max(windows), block_rows)
     w = Window.partitionBy("_block").orderBy("_n")
-    cols = {}
-    for n in windows:
-        frame = w.rowsBetween(-n, -1)
-        cols[f"home_rate_{n}"] = F.when(F.col("_n") > n, F.sum(y).over(frame) / F.lit(float(n)))
-    made = spread.select("*", *[c.alias(n) for n, c in cols.items()])
-    return made.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_n")
+    rates = {
+        f"home_rate_{n}": F.when(F.col("_n") > n, F.sum(y).over(w.rowsBetween(-n, -1)) / F.lit(float(n))) for n in windows
+    }
+    return without_halo(spread.select("*", *[c.alias(n) for n, c in rates.items()])).drop("_n")
 
 
 def adapted(p: Column, home_rate: Column, strength: float) -> Column:

@@ -167,6 +167,24 @@ def _combine(r: Running, above: Column, here: Column) -> Column:
     return F.greatest(above, here)
 
 
+def with_halo(df: DataFrame, index: str, width: int, block_rows: int = ID_BLOCK) -> DataFrame:
+    """Cut numbered rows (1, 2, …) into blocks and repeat the last ``width`` rows of each in the next one.
+
+    A frame of at most ``width`` earlier rows then lies inside ``_block``; keep
+    the rows with ``_own = _block`` afterwards. A short key is one block.
+    """
+    block_rows = max(block_rows, width)
+    at = F.col(index) - 1
+    block = F.floor(at / block_rows).cast("long")
+    tail = at % block_rows >= block_rows - width
+    homes = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
+    return df.withColumn("_own", block).withColumn("_block", F.explode(homes))
+
+
+def without_halo(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+
+
 def ordered_running(
     df: DataFrame,
     keys: Sequence[str],
