@@ -26,8 +26,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def games(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order as a game between two teams (nations) of one pool."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    return games_from(table(spark, folder, "orders"), table(spark, folder, "customer"))
+
+
+def games_from(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """The same from a batch or a stream of orders."""
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    customers = customers.select("c_custkey", "c_nationkey")
     key, team = F.col("o_orderkey"), F.col("c_nationkey")
     away_score = (key * 17 + F.col("o_custkey")) % 7
     raw = (key * 31) % 7
