@@ -120,10 +120,14 @@ def latest_of_day(df: DataFrame, day_keys: list[str], payload: list[str], depth:
     return kept.groupBy(*day_keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
 
 
-def team_days(history: DataFrame, asks: DataFrame, metrics: tuple[str, ...], depth: int = 10) -> TeamDays:
+def team_days(
+    history: DataFrame, asks: DataFrame, metrics: tuple[str, ...], depth: int = 10, totals: DataFrame | None = None
+) -> TeamDays:
     """Everything known of each asked (team, season, date) from strictly earlier games of ``history``.
 
-    ``history`` is one row per (game, team); ``asks`` has columns team, season, game_date.
+    ``history`` is one row per (game, team); ``asks`` has columns team, season,
+    game_date. ``totals`` may be the same games without the joined-on metrics:
+    day totals need only the scores, so the joins then run once.
     """
     diff = "goals_for - goals_against"
     sums = {
@@ -137,7 +141,7 @@ def team_days(history: DataFrame, asks: DataFrame, metrics: tuple[str, ...], dep
         "road_gd": f"CASE WHEN is_home = 0 THEN {diff} END",
     }
     key = ["team", "season", "game_date"]
-    played = history.selectExpr(*key, *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in sums.items()])
+    played = (history if totals is None else totals).selectExpr(*key, *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in sums.items()])
     asked = asks.selectExpr(*key, *[f"0D AS {n}" for n in sums])
     daily = played.unionByName(asked).groupBy(*key).agg(*[F.sum(n).alias(n) for n in sums])
 

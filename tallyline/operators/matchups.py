@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contest import PLAYOFF, REGULAR, pair_high, pair_low, series_code
 from ..functions.numbers import round_even
-from ..plans.scan import HOT_ROWS, id_block, ordered_running, running_sum
+from ..plans.scan import id_block, ordered_running, running_sum
 from .history import last_items, latest_of_day
 
 
@@ -77,7 +77,7 @@ SERIES_COLUMNS = (
 )
 
 
-def series_state(done: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def series_state(done: DataFrame) -> DataFrame:
     """State of the playoff series before each game, in row order (date, id); zeros outside playoffs.
 
     A series is between two teams, so wins are counted for the lower and the higher team.
@@ -97,7 +97,6 @@ def series_state(done: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         {"day": F.col("game_date"), "ids": id_block("game_id")},
         [F.col("game_date"), F.col("game_id")],
         [running_sum("_n", F.lit(1)), running_sum("_low_wins", F.col("_low_won"))],
-        hot_rows,
     )
     low_before = F.col("_low_wins") - F.col("_low_won")
     high_before = F.col("_n") - 1 - low_before

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contest import confidence, is_right
 from ..functions.numbers import clamp, logit, ratio, round_even, sigmoid
-from ..plans.scan import ID_BLOCK, blocked, id_block, running_sum, with_halo, without_halo
+from ..plans.scan import blocked, id_block, running_sum, with_halo, without_halo
 
 # fixed values: sample sizes, drift limits and bands
 MIN_SAMPLE = 30
@@ -343,7 +343,7 @@ def model_board(df: DataFrame, columns: dict[str, str], y: str = "y") -> DataFra
     )
 
 
-def rolling_home_rate(df: DataFrame, windows: tuple[int, ...], y: str = "y", block_rows: int = ID_BLOCK) -> DataFrame:
+def rolling_home_rate(df: DataFrame, windows: tuple[int, ...], y: str = "y") -> DataFrame:
     """Mean of the previous ``w`` outcomes in (game_date, game_id) order per window; null until ``w`` are seen.
 
     The stream is numbered by a scan and cut into blocks of consecutive rows.
@@ -357,7 +357,7 @@ def rolling_home_rate(df: DataFrame, windows: tuple[int, ...], y: str = "y", blo
         [F.col("game_date"), F.col("game_id")],
         [running_sum("_n", F.lit(1))],
     )
-    spread = with_halo(numbered, "_n", max(windows), block_rows)
+    spread = with_halo(numbered, "_n", max(windows))
     w = Window.partitionBy("_block").orderBy("_n")
     rates = {
         f"home_rate_{n}": F.when(F.col("_n") > n, F.sum(y).over(w.rowsBetween(-n, -1)) / F.lit(float(n))) for n in windows
@@ -374,17 +374,19 @@ def adapted(p: Column, home_rate: Column, strength: float) -> Column:
 def home_rate_grid(df: DataFrame, p: str = "p_home", y: str = "y") -> DataFrame:
     """Log loss of every (window, strength), all from one pass; ``best`` marks the first smallest."""
     rolled = rolling_home_rate(df.select("game_id", "game_date", p, y), GRID_WINDOWS, y)
-    grid = [(w, s) for w in GRID_WINDOWS for s in GRID_STRENGTHS]
-    losses = [
-        round_even(F.avg(log_loss_of(adapted(F.col(p), F.col(f"home_rate_{w}"), s), F.col(y))), 6).alias(f"l{i}")
-        for i, (w, s) in enumerate(grid)
-    ]
-    rows = ", ".join(f"{i}, {w}, {s}D, l{i}" for i, (w, s) in enumerate(grid))
-    long = rolled.agg(*losses).selectExpr(f"stack({len(grid)}, {rows}) AS (at, window, strength, log_loss)")
-    first = F.row_number().over(Window.orderBy("log_loss", "at")) == 1  # twenty rows
-    return long.withColumn("best", first).select(
-        F.col("window").cast("long").alias("window"), "strength", "log_loss", "best"
-    )
+    base = logit(F.lit(ASSUMED_HOME_RATE))
+    shifts = [F.coalesce(logit(F.col(f"home_rate_{w}")) - base, F.lit(0.0)).alias(f"s{w}") for w in GRID_WINDOWS]
+    rates = ", ".join(f"{w}L, s{w}" for w in GRID_WINDOWS)
+    rows = rolled.select(logit(F.col(p)).alias("z"), F.col(y).alias("y"), *shifts)
+    rows = rows.selectExpr("z", "y", f"stack({len(GRID_WINDOWS)}, {rates}) AS (window, shift)")
+    # the grid is a fixed list of twenty cells; its rows are aggregated where they arise
+    strengths = F.array(*[F.lit(s) for s in GRID_STRENGTHS])
+    rows = rows.select("z", "y", "window", "shift", F.explode(strengths).alias("strength"))
+    moved = sigmoid(F.col("z") + F.col("strength") * F.col("shift"))
+    loss = round_even(F.avg(log_loss_of(moved, F.col("y"))), 6)
+    cells = rows.groupBy("window", "strength").agg(loss.alias("log_loss"))
+    first = F.row_number().over(Window.orderBy("log_loss", "window", "strength")) == 1  # twenty rows
+    return cells.withColumn("best", first).select("window", "strength", "log_loss", "best")
 
 
 def study_verdict(delta: Column) -> dict[str, Column]:

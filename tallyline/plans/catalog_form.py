@@ -294,8 +294,9 @@ def model_features_25(spark, folder):
     done = history.eligible(standin.games(spark, folder), (2,))
     lines = boxes.with_opponent(standin.box_scores(spark, folder), {"shots_for": "shots_against"})
     lines = lines.select("game_id", "is_home", F.col("shots_for").cast("double"), F.col("shots_against").cast("double"))
-    rows = history.team_games(done).join(lines, ["game_id", "is_home"], "left")
-    days = history.team_days(rows, history.asks_of(done), (*history.SCORE_METRICS, "shots_for", "shots_against"))
+    sides = history.team_games(done)
+    rows = sides.join(lines, ["game_id", "is_home"], "left")
+    days = history.team_days(rows, history.asks_of(done), (*history.SCORE_METRICS, "shots_for", "shots_against"), totals=sides)
     made = history.attach(done, history.features(days))
     return made.select(
         "game_id",
@@ -310,15 +311,16 @@ def model_features_25(spark, folder):
 def merged_dataset(spark, folder):
     """Every feature of a completed game: both sides, differences, head to head, series."""
     done = history.eligible(standin.games(spark, folder))
+    sides = history.team_games(done)
     rows = boxes.full_history(
-        history.team_games(done),
+        sides,
         standin.box_scores(spark, folder),
         standin.plays(spark, folder),
         standin.goalie_lines(spark, folder),
         standin.skater_lines(spark, folder),
     )
     metrics = tuple(dict.fromkeys((*history.LAST_5, *history.LAST_10, *history.LAST_3, "starting_goalie_id", "starting_goalie_name")))
-    days = history.team_days(rows, history.asks_of(done), metrics)
+    days = history.team_days(rows, history.asks_of(done), metrics, totals=sides)
     base = matchups.series_state(matchups.head_to_head(done, done))
     return history.with_differences(history.attach(base, history.features(days)))
 

@@ -14,17 +14,32 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# Above this many rows a key is treated as hot. A task sorts this many narrow rows easily.
-HOT_ROWS = 2_000_000
-# Width of an id block: ids are unique, so a block never holds more rows than this.
-ID_BLOCK = 65_536
+from ..session import materialise
+
+# Session settings and their defaults.
+# A key with more rows than this is treated as hot. A task sorts this many narrow rows easily.
+HOT_ROWS = ("spark.tallyline.hotRows", 2_000_000)
+# Width of a block of ids or positions. They are unique, so a block never holds more rows than this.
+BLOCK_ROWS = ("spark.tallyline.blockRows", 65_536)
+
+
+def setting(name_and_default: tuple[str, int]) -> int:
+    name, default = name_and_default
+    return int(SparkSession.active().conf.get(name, str(default)))
 
 
 def id_block(column: str) -> Column:
-    return F.floor(F.col(column) / F.lit(ID_BLOCK)).cast("long")
+    return F.floor(F.col(column) / F.lit(setting(BLOCK_ROWS))).cast("long")
+
+
+def position_levels(column: str) -> dict[str, Column]:
+    """Two levels over a position within a key: wide blocks, and narrow ones inside them."""
+    rows = setting(BLOCK_ROWS)
+    width = max(2, int(rows**0.5))
+    return {"top": F.floor(F.col(column) / (rows * width)).cast("long"), "part": F.floor(F.col(column) / rows).cast("long")}
 
 
 @dataclass(frozen=True)
@@ -56,14 +71,13 @@ def running_lag(name: str, value: Column) -> Running:
     return Running(name, "lag", value)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; at most ``rows / hot_rows`` of them can exist."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-
+def find_hot(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The hot keys, or None where there are none. Runs one narrow counting pass.
 
-def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The hot keys, or None where there are none. Runs one narrow counting pass."""
-    hot = hot_keys(df, keys, hot_rows)
+    At most ``rows / hot rows`` keys can be hot, which bounds what is broadcast.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > setting(HOT_ROWS)).select(*keys)
     return None if hot.isEmpty() else hot
 
 
@@ -167,13 +181,13 @@ def _combine(r: Running, above: Column, here: Column) -> Column:
     return F.greatest(above, here)
 
 
-def with_halo(df: DataFrame, index: str, width: int, block_rows: int = ID_BLOCK) -> DataFrame:
+def with_halo(df: DataFrame, index: str, width: int) -> DataFrame:
     """Cut numbered rows (1, 2, …) into blocks and repeat the last ``width`` rows of each in the next one.
 
     A frame of at most ``width`` earlier rows then lies inside ``_block``; keep
     the rows with ``_own = _block`` afterwards. A short key is one block.
     """
-    block_rows = max(block_rows, width)
+    block_rows = max(setting(BLOCK_ROWS), width)
     at = F.col(index) - 1
     block = F.floor(at / block_rows).cast("long")
     tail = at % block_rows >= block_rows - width
@@ -191,7 +205,6 @@ def ordered_running(
     levels: dict[str, Column],
     order: Sequence[Column],
     running: Sequence[Running],
-    hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
     checked: bool = False,
 ) -> DataFrame:
@@ -203,9 +216,11 @@ def ordered_running(
     it holds at most ``rows / hot_rows`` keys.
     """
     if not checked:
-        hot = find_hot(df, keys, hot_rows)
+        hot = find_hot(df, keys)
     if hot is None:
         return _plain(df, keys, order, running)
+    # several branches read the rows now, so they are written once instead of being recomputed by each
+    df = materialise(df, "scan")
     hot = F.broadcast(hot)
     cold_part = _plain(df.join(hot, list(keys), "left_anti"), keys, order, running)
     hot_part = blocked(df.join(hot, list(keys), "left_semi"), keys, levels, order, running)
