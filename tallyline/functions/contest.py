@@ -119,7 +119,7 @@ def power_play_side(home: Column, away: Column) -> Column:
 
 
 def score_per_root_time(score_diff: Column, seconds_left: Column) -> Column:
-    return score_diff / F.sqrt(F.greatest(seconds_left, F.lit(0)) + 1.0)
+    return score_diff / F.sqrt(F.when(seconds_left < 0, F.lit(0)).otherwise(seconds_left) + 1.0)
 
 
 def live_save_pct(saves: Column, goals_against: Column) -> Column:

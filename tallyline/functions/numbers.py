@@ -30,7 +30,7 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def logit(p: Column) -> Column:
     # fixed values: clamp of the study's logit
-    q = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
+    q = clamp(p, 1e-9, 1 - 1e-9)
     return F.ln(q / (F.lit(1.0) - q))
 
 
@@ -39,7 +39,8 @@ def sigmoid(z: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Kept within the limits; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
 
 
 def width_of(value: Column, biggest: float) -> Column:

@@ -183,7 +183,7 @@ def schedule_columns(rest_cap: int | None = None) -> dict[str, str]:
     """Rest, back-to-back and games in the last days; ``rest_cap`` is 14 for serving."""
     gap = "CAST(datediff(game_date, last_date) AS DOUBLE)"
     return {
-        "rest_days": f"least({gap}, {float(rest_cap)}D)" if rest_cap else gap,
+        "rest_days": f"CASE WHEN {gap} > {rest_cap} THEN {float(rest_cap)}D ELSE {gap} END" if rest_cap else gap,
         "games_last_3_days": "n_3",
         "games_last_7_days": "n_7",
         "games_last_14_days": "n_14",

@@ -45,7 +45,7 @@ def log_loss_of(p: Column, y: Column) -> Column:
 
 def floored_log_loss_of(p: Column, y: Column) -> Column:
     """Loss of one row, each logarithm's argument kept at 1e-9 or more."""
-    return -(y * F.ln(F.greatest(p, F.lit(1e-9))) + (1 - y) * F.ln(F.greatest(1 - p, F.lit(1e-9))))
+    return F.when(p.isNotNull(), -(y * F.ln(F.greatest(p, F.lit(1e-9))) + (1 - y) * F.ln(F.greatest(1 - p, F.lit(1e-9)))))
 
 
 def score_columns(p: Column, y: Column) -> dict[str, Column]:
@@ -355,14 +355,17 @@ def rolling_home_rate(df: DataFrame, windows: tuple[int, ...], y: str = "y") ->
         [],
         {"day": F.col("game_date"), "ids": id_block("game_id")},
         [F.col("game_date"), F.col("game_id")],
-        [running_sum("_n", F.lit(1))],
+        [running_sum("_n", F.lit(1)), running_sum("_s", F.col(y))],
     )
-    spread = with_halo(numbered, "_n", max(windows))
+    # a frame's sum is the difference of two running totals, whatever its width
+    spread = with_halo(numbered, "_n", max(windows) + 1)
     w = Window.partitionBy("_block").orderBy("_n")
+    before = F.col("_s") - F.col(y)
     rates = {
-        f"home_rate_{n}": F.when(F.col("_n") > n, F.sum(y).over(w.rowsBetween(-n, -1)) / F.lit(float(n))) for n in windows
+        f"home_rate_{n}": F.when(F.col("_n") > n, (before - F.coalesce(F.lag("_s", n + 1).over(w), F.lit(0))) / F.lit(float(n)))
+        for n in windows
     }
-    return without_halo(spread.select("*", *[c.alias(n) for n, c in rates.items()])).drop("_n")
+    return without_halo(spread.select("*", *[c.alias(n) for n, c in rates.items()])).drop("_n", "_s")
 
 
 def adapted(p: Column, home_rate: Column, strength: float) -> Column:

@@ -122,7 +122,7 @@ gap AS (SELECT *, CAST(date_diff('day', max(game_date) OVER (PARTITION BY team O
 form AS (
  SELECT game_id, is_home, rest_days, {_count_days(3)} AS games_last_3_days, {_count_days(7)} AS games_last_7_days,
         {_count_days(14)} AS games_last_14_days, CASE WHEN rest_days = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS back_to_back,
-        least(rest_days, 14.0::DOUBLE) AS rest_days_capped FROM gap)
+        CASE WHEN rest_days > 14 THEN 14.0::DOUBLE ELSE rest_days END AS rest_days_capped FROM gap)
 SELECT d.game_id, CAST(d.game_date AS VARCHAR) AS game_date, {_two_sides((*REST, "rest_days_capped"))}
 FROM done d JOIN form fh ON fh.game_id = d.game_id AND fh.is_home = 1
             JOIN form fa ON fa.game_id = d.game_id AND fa.is_home = 0""",

@@ -127,7 +127,7 @@ _AS_OF = """
 fut AS (SELECT * FROM games_v WHERE game_state = 'FUT'),
 ask AS (SELECT game_id, game_date, home_team AS team, 1 AS is_home FROM fut UNION ALL SELECT game_id, game_date, away_team, 0 FROM fut),
 at_day AS (SELECT a.game_id, a.is_home, a.team, a.game_date, COUNT(h.game_id) AS c, MAX(h.game_date) AS last_date FROM ask a LEFT JOIN hist h ON h.team = a.team AND h.game_date < a.game_date GROUP BY ALL),
-form AS (SELECT g.game_id, g.is_home, least(CAST(date_diff('day', any_value(g.last_date), any_value(g.game_date)) AS DOUBLE), 14.0::DOUBLE) AS rest_days,
+form AS (SELECT g.game_id, g.is_home, CASE WHEN date_diff('day', any_value(g.last_date), any_value(g.game_date)) > 14 THEN 14.0::DOUBLE ELSE CAST(date_diff('day', any_value(g.last_date), any_value(g.game_date)) AS DOUBLE) END AS rest_days,
   {cols} FROM at_day g LEFT JOIN hist h ON h.team = g.team AND h.rn <= g.c AND h.rn > g.c - 10 GROUP BY g.game_id, g.is_home, g.c),
 pairs AS (SELECT f.game_id, f.home_team, h.game_id AS met, h.game_date AS met_on, f.game_date,
    CASE WHEN h.home_team = f.home_team THEN h.home_score - h.away_score ELSE h.away_score - h.home_score END AS diff,

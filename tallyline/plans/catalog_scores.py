@@ -280,7 +280,7 @@ def adaptive_home_grid(spark, folder):
 
 def _logit(p: str) -> str:
     q = f"greatest(least({p}, 1 - 1e-9::DOUBLE), 1e-9::DOUBLE)"
-    return f"ln({q} / (1 - {q}))"
+    return f"CASE WHEN {p} IS NULL THEN NULL ELSE ln({q} / (1 - {q})) END"
 
 
 _GRID_W = ", ".join(

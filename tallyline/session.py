@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app_name: str = "tallyline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app_name: str = "tallyline", master: str | None = None, shuffle_partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings every operator assumes.
 
     Shuffle partitions are left to the cluster unless given: adaptive execution
@@ -26,19 +26,23 @@ def build_session(app_name: str = "tallyline", master: str | None = None, shuffl
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (conf or {}).items():
+        builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
+_OWN = "spark.tallyline.shared"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is set and the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where none is set and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="tallyline-")
+        spark.conf.set(_OWN, named)
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -19,9 +19,9 @@ TABLES = (
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", f"local[{os.environ.get('TEST_CPUS', '8')}]", 8)
+    shared = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
+    session = build_session("tests", f"local[{os.environ.get('TEST_CPUS', '8')}]", 8, shared)
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
 
 
