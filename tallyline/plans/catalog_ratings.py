@@ -184,7 +184,36 @@ SQL_SERVING = SQL_ASOF.replace(
     "ORDER BY CASE WHEN h.game_type = 2 THEN 0 ELSE 1 END, h.game_date DESC, h.game_id DESC, h.is_home DESC",
 )
 
+from .catalog_form import (  # noqa: E402
+    _FULL_HIST, _H2H_CTE, _SERIES_CTE, _SERIES_COLS, _SIDE_JOINS, _SCHED, _STARTER, _diff_sql, _full_exprs, _mixed, _sched_cte, merged_features,
+)
+
+
+def model_dataset(spark, folder):
+    """The full training table: merged features, ten rating columns, season position and the playoff flag."""
+    done = history.eligible(standin.games(spark, folder))
+    rated = _six(ratings.ratings(done), ("game_id",))
+    return ratings.model_dataset(merged_features(spark, folder), rated)
+
+
+SQL_DATASET = with_views(
+    "games_v box_v plays_v skaters_v goalies_v",
+    HIST.format(types="(2, 3)").replace("hist AS (", "base_hist AS (") + "," + _STARTER + "," + _FULL_HIST + "," + _form_sql("hist", _full_exprs()) + ","
+    + _sched_cte() + "," + _H2H_CTE + "," + _SERIES_CTE + "," + _elo_cte().removeprefix(_DONE + ",") + f""",
+wide AS (SELECT d.game_id, d.season, d.game_type, CAST(d.game_date AS VARCHAR) AS game_date, d.home_team, d.away_team,
+  d.home_score, d.away_score, CASE WHEN d.home_score > d.away_score THEN d.home_team ELSE d.away_team END AS winner_team,
+  CAST(CASE WHEN d.home_score > d.away_score THEN 1 ELSE 0 END AS BIGINT) AS target_home_win,
+  {_mixed(history.TEAM_FEATURES, _SCHED)},
+  h2h_games_last_365_days, h2h_home_team_win_pct_last_5, h2h_home_team_goal_diff_avg_last_5, {_SERIES_COLS}
+ FROM done d {_SIDE_JOINS} JOIN h2h ON h2h.game_id = d.game_id LEFT JOIN ser2 s ON s.game_id = d.game_id),
+ten AS (SELECT {_TEN} FROM step WHERE game_id IS NOT NULL)
+SELECT w.*, {_diff_sql()}, t.* EXCLUDE (game_id), row_number() OVER (PARTITION BY season ORDER BY game_date, w.game_id) - 1 AS season_game_index,
+ CAST(game_type = 3 AS BIGINT) AS is_playoff FROM wide w JOIN ten t ON t.game_id = w.game_id""",
+    recursive=True,
+)
+
 QUERIES = {
+    "model_dataset": (model_dataset, SQL_DATASET),
     "elo_ratings": (elo_ratings, SQL_ELO),
     "elo_catch_up": (elo_catch_up, SQL_CATCH_UP),
     "decay_form": (decay_form, SQL_DECAY),

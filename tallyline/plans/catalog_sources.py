@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contest
-from ..operators import board, history, live, ratings, scores
+from ..operators import board, history, live, ratings, scores, serving
 from ..sources import documents, flatten, landing, standin
 from .catalog_form import HIST
 from .catalog_live import W
@@ -230,6 +230,19 @@ FROM o JOIN step s ON s.game_id = o.game_id AND s.sort_order = o.sort_order""",
 )
 
 
+def live_state_rows(spark, folder):
+    """The full state row of every event of the flattened documents, checked by columns that no other query covers."""
+    docs = _parsed(documents.play_by_play(spark, folder), flatten.PLAY_BY_PLAY, [])
+    events = live.GameEvents(flatten.live_events(flatten.play_rows(docs)))
+    rows = live.state_rows(events, flatten.game_context(docs))
+    return rows.select(
+        "game_id", "event_id", F.col("event_index").cast("long").alias("event_index"), "season", "home_team", "away_team", "event_team", "event_team_side", "period", "period_type",
+        "time_in_period", "seconds_elapsed", "home_active_penalties", "away_active_penalty_seconds", "home_score", "away_score",
+        F.col("penalty_minute_diff_home").cast("long").alias("penalty_minute_diff_home"), F.col("sog_diff_home").cast("long").alias("sog_diff_home"),
+        "penalty_minutes_event", "reason", "goalie_in_net_id", "drawn_by_player_id", "target_home_win",
+    )
+
+
 def latest_standings(spark, folder):
     docs = _parsed(documents.standings(spark, folder), flatten.STANDINGS, ["season", "snapshot_date"])
     rows = landing.latest_snapshot(flatten.standings_rows(docs), "snapshot_date", ("season",))
@@ -442,7 +455,67 @@ FROM t JOIN f USING (team) JOIN e USING (team) JOIN d USING (team)""",
     recursive=True,
 )
 
+def refresh_payload(spark, folder):
+    """The delivery of a daily run as rows of sections: predictions for the window, recent results and the scorecard."""
+    preds = standin.predictions(spark, folder)
+    wanted = board.wanted_games(preds, "2001-06-15", 14)
+    made = serving.prediction_columns(F.col("p_home"))
+    upcoming = wanted.select(
+        F.col("game_id").alias("gameId"), F.col("game_date").cast("string").alias("gameDate"), F.col("home_team").alias("home"), F.col("away_team").alias("away"),
+        made["home_odds"].alias("homeOdds"), made["away_odds"].alias("awayOdds"), made["pick"].alias("pick"),
+    )
+    recent = board.finished_since(standin.games(spark, folder), "2001-05-31", 21)
+    home_won = F.col("home_score") > F.col("away_score")
+    finished = recent.select(
+        F.col("game_id").alias("gameId"), F.col("home_score").alias("homeScore"), F.col("away_score").alias("awayScore"),
+        F.when(home_won, F.col("home_team")).otherwise(F.col("away_team")).alias("winner"), F.col("last_period_type").isin("OT", "SO").alias("overtime"),
+    )
+    graded = preds.filter(contest.is_completed(F.col("game_state")))
+    report = scores.season_scorecard(graded).select("season", "games", "accuracy")
+    return landing.sections_frame({"upcoming": upcoming, "finished": finished, "report": report})
+
+
+def _o(p: str) -> str:
+    q = f"least(greatest({p}, 0.02::DOUBLE), 1 - 0.02::DOUBLE)"
+    return f"CAST(round_even(CASE WHEN {q} >= 0.5 THEN -100 * {q} / (1 - {q}) ELSE 100 * (1 - {q}) / {q} END, 0) AS BIGINT)"
+
+
+SQL_PAYLOAD = with_views(
+    "preds_v",
+    f"""{G}, g AS (SELECT * FROM games_v WHERE game_state = 'OFF' AND game_date >= DATE '2001-05-31' - 21)
+SELECT 'upcoming' AS section, CAST(to_json({{'gameId': game_id, 'gameDate': CAST(game_date AS VARCHAR), 'home': home_team, 'away': away_team, 'homeOdds': {_o('p_home')},
+  'awayOdds': {_o('(1 - p_home)')}, 'pick': CASE WHEN p_home >= 0.5 THEN home_team ELSE away_team END}}) AS VARCHAR) AS document
+ FROM preds_v WHERE game_state = 'FUT' AND game_date BETWEEN DATE '2001-06-15' AND DATE '2001-06-29'
+UNION ALL SELECT 'finished', CAST(to_json({{'gameId': game_id, 'homeScore': home_score, 'awayScore': away_score, 'winner': CASE WHEN home_score > away_score THEN home_team ELSE away_team END,
+  'overtime': last_period_type IN ('OT', 'SO')}}) AS VARCHAR) FROM g
+UNION ALL SELECT 'report', CAST(to_json({{'season': season, 'games': games, 'accuracy': accuracy}}) AS VARCHAR)
+ FROM (SELECT COALESCE(CAST(season AS VARCHAR), 'ALL') AS season, COUNT(*) AS games, {rnd("100 * avg(CASE WHEN (p_home >= 0.5) = (y = 1) THEN 1 ELSE 0 END)", 1)} AS accuracy FROM graded GROUP BY ROLLUP(season)) r""",
+)
+
+# penalties by the same recursion as the penalty query, scores by the one above
+from .catalog_live import SQL_PENALTIES  # noqa: E402
+
+_PEN_BODY = SQL_PENALTIES.split("sit AS (", 1)[1].rsplit("\nSELECT game_id, i AS event_index", 1)
+_DOC_BODY = SQL_DOC_STATE.split("step AS (", 1)[1].rsplit("\nSELECT o.game_id", 1)[0]
+SQL_STATE_ROWS = with_views(
+    "plays_v",
+    _PLAY_SQL + ",\nsit AS (" + _PEN_BODY[0] + ",\npen AS (SELECT game_id, i AS event_index" + _PEN_BODY[1] + "),\nscr AS ("
+    + _DOC_BODY.replace("FROM step s JOIN q", "FROM scr s JOIN q") + f""",
+c AS (SELECT game_id, event_id, SUM(CASE WHEN side = 'home' THEN COALESCE(penalty_minutes, 0) ELSE -COALESCE(penalty_minutes, 0) END) {W} AS pmd,
+  SUM(CASE WHEN {_SHOT} THEN CASE WHEN side = 'home' THEN 1 ELSE -1 END ELSE 0 END) {W} AS sogd FROM q)
+SELECT q.game_id, q.event_id, q.sort_order AS event_index, CAST(20232024 AS BIGINT) AS season, 'HOM' AS home_team, 'AWY' AS away_team, CASE WHEN side = 'home' THEN 'HOM' ELSE 'AWY' END AS event_team,
+ side AS event_team_side, CAST(period AS BIGINT) AS period, CASE WHEN period <= 3 THEN 'REG' ELSE 'OT' END AS period_type,
+ lpad(CAST(ins // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ins % 60 AS VARCHAR), 2, '0') AS time_in_period, seconds_elapsed, p.home_active_penalties, p.away_active_penalty_seconds,
+ s.h AS home_score, s.a AS away_score, CAST(pmd AS BIGINT) AS penalty_minute_diff_home, CAST(sogd AS BIGINT) AS sog_diff_home, CAST(penalty_minutes AS DOUBLE) AS penalty_minutes_event,
+ CASE WHEN event_type = 'penalty' THEN 'hooking' END AS reason, CASE WHEN {_SHOT} THEN 100 + q.sort_order % 3 END AS goalie_in_net_id,
+ CASE WHEN event_type = 'penalty' THEN q.event_id % 30 END AS drawn_by_player_id, CAST(NULL AS BIGINT) AS target_home_win
+FROM q JOIN pen p ON p.game_id = q.game_id AND p.event_index = q.sort_order JOIN scr s ON s.game_id = q.game_id AND s.sort_order = q.sort_order JOIN c ON c.game_id = q.game_id AND c.event_id = q.event_id""",
+    recursive=True,
+)
+
 QUERIES = {
+    "live_state_rows": (live_state_rows, SQL_STATE_ROWS),
+    "refresh_payload": (refresh_payload, SQL_PAYLOAD),
     "flatten_schedule": (flatten_schedule, SQL_SCHEDULE),
     "first_schedule_wins": (first_schedule_wins, SQL_FIRST),
     "serving_schedule": (serving_schedule, SQL_SERVING),

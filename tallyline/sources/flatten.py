@@ -332,14 +332,30 @@ def _snake(name: str) -> str:
 
 
 def live_events(plays: DataFrame) -> DataFrame:
-    """Play rows in the shape the in-game state takes."""
+    """Play rows in the shape the in-game state takes; the event's own details ride along."""
     return plays.select(
         "game_id", "event_id", "sort_order", "event_type", F.col("team_side").alias("side"), "situation_code",
         game_seconds(F.col("period"), F.col("period_time"), live=True).alias("seconds_elapsed"), "penalty_minutes",
-        F.col("goalie_in_net_id"), F.col("home_score").alias("home_score_event"), F.col("away_score").alias("away_score_event"),
+        "goalie_in_net_id", F.col("home_score").alias("home_score_event"), F.col("away_score").alias("away_score_event"),
+        F.col("team").alias("event_team"), F.col("team_side").alias("event_team_side"), "period", "period_type",
+        F.col("period_time").alias("time_in_period"), "time_remaining", "x_coord", "y_coord", F.col("zone").alias("zone_code"), "shot_type",
+        "penalty_type", F.col("penalty_minutes").alias("penalty_minutes_event"), "reason", "shooting_player_id", "scoring_player_id",
+        "committed_by_player_id", "drawn_by_player_id",
     )
 
 
+def game_context(docs: DataFrame) -> DataFrame:
+    """One row per game of play documents: ids, place, teams, final scores and the periods it may have."""
+    rows = docs.select(
+        F.col("id").alias("game_id"), "season", F.col("gameType").alias("game_type"), F.col("gameDate").alias("game_date"),
+        F.col("startTimeUTC").alias("start_time_utc"), default_text(F.col("venue")).alias("venue"), F.col("gameState").alias("game_state"),
+        F.col("homeTeam.abbrev").alias("home_team"), F.col("awayTeam.abbrev").alias("away_team"),
+        F.col("homeTeam.score").cast("double").alias("home_final_score"), F.col("awayTeam.score").cast("double").alias("away_final_score"),
+        F.coalesce("maxPeriods", F.lit(5)).alias("max_periods"),
+    )
+    return keep_last(rows, ["game_id"], ["game_date"])
+
+
 # ---- directories, rosters, standings, season statistics --------------------------------------------------------
 
 
