@@ -11,10 +11,12 @@ from ..plans.scan import id_block, ordered_running, running_sum
 from .history import last_items, latest_of_day
 
 
-def head_to_head(done: DataFrame, asked: DataFrame, depth: int = 5) -> DataFrame:
+def head_to_head(done: DataFrame, asked: DataFrame, depth: int = 5, keys_of: DataFrame | None = None) -> DataFrame:
     """Meetings in the last 365 days and the home side's record in the last five, from strictly earlier dates.
 
     Pairs are stored lower team first and turned to the home side at the end.
+    ``keys_of`` may be a narrower table with the same pairs and dates as
+    ``asked``, so that a costly ``asked`` is evaluated once.
     """
     low, high = pair_low(F.col("home_team"), F.col("away_team")), pair_high(F.col("home_team"), F.col("away_team"))
     low_is_home = F.col("home_team") == F.col("low")
@@ -23,7 +25,7 @@ def head_to_head(done: DataFrame, asked: DataFrame, depth: int = 5) -> DataFrame
         "low", "high", "game_date", "game_id", F.when(low_is_home, margin).otherwise(-margin).alias("low_margin")
     )
     key = ["low", "high", "game_date"]
-    asks = asked.withColumns({"low": low, "high": high}).select(*key)
+    asks = (asked if keys_of is None else keys_of).withColumns({"low": low, "high": high}).select(*key)
     daily = (
         meetings.select(*key, F.lit(1).alias("n"))
         .unionByName(asks.select(*key, F.lit(0).alias("n")))

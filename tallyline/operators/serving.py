@@ -69,7 +69,7 @@ def upcoming_rows(games: DataFrame, asked: DataFrame, states: DataFrame, carried
         for side in ("home", "away"):
             part = carried.select(F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"{side}_{c}") for c in names])
             rows = rows.join(part, f"{side}_team", "left")
-    rows = rated(matchups.head_to_head(done, rows), states)
+    rows = rated(matchups.head_to_head(done, rows, keys_of=asked), states)
     zero = {c: F.lit(0.0) for c in (*matchups.SERIES_COLUMNS, "is_playoff")}
     return inferred_differences(rows.withColumns(zero), list(history.diff_pairs()))
 

@@ -321,7 +321,7 @@ def merged_dataset(spark, folder):
     )
     metrics = tuple(dict.fromkeys((*history.LAST_5, *history.LAST_10, *history.LAST_3, "starting_goalie_id", "starting_goalie_name")))
     days = history.team_days(rows, history.asks_of(done), metrics, totals=sides)
-    base = matchups.series_state(matchups.head_to_head(done, done))
+    base = matchups.head_to_head(done, matchups.series_state(done), keys_of=done)
     return history.with_differences(history.attach(base, history.features(days)))
 
 

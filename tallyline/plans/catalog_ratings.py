@@ -193,7 +193,7 @@ def model_dataset(spark, folder):
     """The full training table: merged features, ten rating columns, season position and the playoff flag."""
     done = history.eligible(standin.games(spark, folder))
     rated = _six(ratings.ratings(done), ("game_id",))
-    return ratings.model_dataset(merged_features(spark, folder), rated)
+    return ratings.model_dataset(merged_features(spark, folder), rated, done)
 
 
 SQL_DATASET = with_views(

@@ -204,6 +204,16 @@ def test_walk_forward_trains_on_earlier_months_only(spark):
     assert made.filter("p_home < 0 or p_home > 1 or p_home is null").count() == 0
 
 
+def test_the_training_table_has_exactly_the_expected_inputs(spark, sf):
+    from tallyline.plans.catalog_ratings import model_dataset
+
+    made = model_dataset(spark, sf)
+    features = models.feature_columns(made)
+    assert len(features) == len(set(features)) == 127
+    assert len(live.STATE_COLUMNS) == len(set(live.STATE_COLUMNS)) == 98
+    assert "elo_pre" in models.mirrored(features) and "rest_days" not in models.mirrored(features, ("rest_days",))
+
+
 def test_registry_round_trip(spark, tmp_path):
     df = training(spark, 200)
     features = ["f1", "f2"]
