@@ -225,9 +225,9 @@ def featured(preds: DataFrame, n: int = 4) -> DataFrame:
     done = is_completed(F.col("game_state"))
     upcoming = preds.filter(~done)
     next_up = upcoming.orderBy("game_date", "game_id").limit(n).withColumn("offseason", F.lit(False))
-    any_up = upcoming.agg((F.count(F.lit(1)) == 0).alias("offseason"))
+    none_up = upcoming.agg(F.count(F.lit(1)) == 0).scalar()
     last = preds.filter(done & (F.col("game_type") == PLAYOFF)).orderBy(F.col("game_date").desc(), F.col("game_id").desc()).limit(n)
-    return next_up.unionByName(last.join(F.broadcast(any_up.filter("offseason"))))  # at most one row
+    return next_up.unionByName(last.filter(none_up).withColumn("offseason", F.lit(True)))
 
 
 def replay_choice(games: DataFrame, covered: DataFrame) -> DataFrame:
@@ -254,10 +254,10 @@ def wanted_games(games: DataFrame, today: str, days_ahead: int, stretch_days: in
     """Unfinished games from today to the horizon; with none, the first slate after it and the five days following."""
     day = F.lit(today).cast("date")
     scheduled = games.filter(~is_completed(F.col("game_state")) & (F.col("game_date") >= day))
-    first = scheduled.agg(F.min("game_date").alias("_first"))
+    first = scheduled.agg(F.min("game_date")).scalar()
     horizon = F.date_add(day, days_ahead)
-    until = F.when(F.col("_first") > horizon, F.date_add("_first", stretch_days)).otherwise(horizon)
-    return scheduled.join(F.broadcast(first)).filter(F.col("game_date") <= until).drop("_first")  # one row
+    until = F.when(first > horizon, F.date_add(first, stretch_days)).otherwise(horizon)
+    return scheduled.filter(F.col("game_date") <= until)
 
 
 def finished_since(games: DataFrame, today: str, days: int) -> DataFrame:

@@ -147,7 +147,9 @@ def walk_forward(
             out = fold if out is None else out.unionByName(fold)
         seen += row["n"]
     if out is None:
-        raise ValueError(f"no test month has {min_train} earlier games")
+        # no month has enough earlier games: the same columns without rows
+        names = [*[f"p_{n}" for n in members(features, min_train)], "p_home"]
+        out = used.limit(0).select(*kept, *[F.lit(None).cast("double").alias(n) for n in names])
     return out
 
 

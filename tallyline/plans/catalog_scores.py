@@ -147,17 +147,13 @@ SQL_DRIFT = with_views("preds_v", ALL_LONG + "," + _psi_sql("ref_v", "up_v") + _
 def monitoring_summary(spark, folder):
     """Reference, live and drift sections of the monitoring report as one row; the slate falls back to live games."""
     preds = standin.predictions(spark, folder).withColumn("p", F.col("p_home"))
-    first = preds.filter(contest.is_completed(F.col("game_state"))).agg(F.min("season").alias("baseline_season"))
-    tagged = preds.join(F.broadcast(first))  # one row
     done = contest.is_completed(F.col("game_state"))
-    ref = tagged.filter(done & (F.col("season") <= F.col("baseline_season")))
-    live = tagged.filter(done & (F.col("season") > F.col("baseline_season")))
-    slate = tagged.filter(~done)
-    any_slate = slate.agg((F.count(F.lit(1)) > 0).alias("has_slate"))
-    current = slate.select("p").unionByName(
-        live.select("p").join(F.broadcast(any_slate.filter(~F.col("has_slate"))))  # at most one row
-        .select("p")
-    )
+    first = preds.filter(done).agg(F.min("season").alias("baseline_season"))
+    ref = preds.filter(done & (F.col("season") <= first.scalar()))
+    live = preds.filter(done & (F.col("season") > first.scalar()))
+    slate = preds.filter(~done)
+    no_slate = slate.agg(F.count(F.lit(1)) == 0).scalar()
+    current = slate.select("p").unionByName(live.select("p").filter(no_slate))
     reference_sum, live_sum = scores.summarise(ref), scores.summarise(live)
     compared = scores.compare(live_sum, reference_sum)
     drift = scores.drift_report(ref.select("p"), current).select(

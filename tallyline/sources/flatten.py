@@ -413,9 +413,8 @@ def team_codes(teams: DataFrame) -> DataFrame:
 def active_codes(codes: DataFrame, season_rows: DataFrame) -> DataFrame:
     """Codes of the teams with rows in a season; with none at all, every code."""
     active = codes.join(season_rows.select(F.col("teamId").alias("team_id")).distinct(), "team_id", "left_semi")
-    none = active.agg((F.count(F.lit(1)) == 0).alias("none")).filter("none")
-    everyone = codes.join(F.broadcast(none))  # at most one row
-    return active.select("code").unionByName(everyone.select("code")).distinct()
+    none = active.agg(F.count(F.lit(1)) == 0).scalar()
+    return active.select("code").unionByName(codes.filter(none).select("code")).distinct()
 
 
 def club_stats(summary: DataFrame, codes: DataFrame) -> DataFrame:

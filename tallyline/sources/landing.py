@@ -60,8 +60,7 @@ def latest_snapshot(docs: DataFrame, column: str = "snapshot_id", keys: tuple[st
     The newest id is one small aggregate joined back, not a window over all documents.
     """
     if not keys:
-        newest = docs.agg(F.max(column).alias("_newest"))
-        return docs.join(F.broadcast(newest)).filter(F.col(column) == F.col("_newest")).drop("_newest")  # one row
+        return docs.filter(F.col(column) == docs.agg(F.max(column)).scalar())
     newest = docs.groupBy(*keys).agg(F.max(column).alias(column))
     return docs.join(newest, [*keys, column], "left_semi")
 
