@@ -121,13 +121,15 @@ def latest_of_day(df: DataFrame, day_keys: list[str], payload: list[str], depth:
 
 
 def team_days(
-    history: DataFrame, asks: DataFrame, metrics: tuple[str, ...], depth: int = 10, totals: DataFrame | None = None
+    history: DataFrame, asks: DataFrame | None, metrics: tuple[str, ...], depth: int = 10, totals: DataFrame | None = None
 ) -> TeamDays:
     """Everything known of each asked (team, season, date) from strictly earlier games of ``history``.
 
     ``history`` is one row per (game, team); ``asks`` has columns team, season,
-    game_date. ``totals`` may be the same games without the joined-on metrics:
-    day totals need only the scores, so the joins then run once.
+    game_date, and None asks for the days of the history itself, which needs no
+    further read. ``totals`` may be the same games without the joined-on metrics:
+    day totals need only the scores, so the joins then run once. Without
+    ``metrics`` only day totals are made and no recent games are listed.
     """
     diff = "goals_for - goals_against"
     sums = {
@@ -142,12 +144,13 @@ def team_days(
     }
     key = ["team", "season", "game_date"]
     played = (history if totals is None else totals).selectExpr(*key, *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in sums.items()])
-    asked = asks.selectExpr(*key, *[f"0D AS {n}" for n in sums])
-    daily = played.unionByName(asked).groupBy(*key).agg(*[F.sum(n).alias(n) for n in sums])
+    if asks is not None:
+        played = played.unionByName(asks.selectExpr(*key, *[f"0D AS {n}" for n in sums]))
+    daily = played.groupBy(*key).agg(*[F.sum(n).alias(n) for n in sums])
 
-    day = ["team", "game_date"]
-    arrays = latest_of_day(history, day, list(metrics), depth, "games_of_day")
-    daily = daily.join(arrays, day, "left")
+    if metrics:
+        day = ["team", "game_date"]
+        daily = daily.join(latest_of_day(history, day, list(metrics), depth, "games_of_day"), day, "left")
 
     team = "PARTITION BY team ORDER BY unix_date(game_date)"
     season = "PARTITION BY team, season ORDER BY unix_date(game_date)"
@@ -159,13 +162,13 @@ def team_days(
         *[f"sum({n}) OVER ({season} {before}) AS season_{n}" for n in sums],
         f"coalesce(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER ({team} {before}), 0) AS _position",
     )
+    if not metrics:
+        return TeamDays(daily.drop("_position"), metrics)
     # _position counts the team's earlier days with games; days that are only asked about share the next one.
     # `depth` days with games always hold at least `depth` games.
     frame = Window.partitionBy("team").orderBy("_position").rangeBetween(-depth, -1)
     recent = F.flatten(F.collect_list("games_of_day").over(frame))
-    rows = daily.withColumn("_all", recent).withColumn(
-        "recent", last_items(F.col("_all"), depth)
-    )
+    rows = daily.withColumn("_all", recent).withColumn("recent", last_items(F.col("_all"), depth))
     return TeamDays(rows.drop("_all", "_position", "games_of_day"), metrics)
 
 
@@ -276,6 +279,5 @@ SCORE_METRICS = ("win", "goals_for", "goals_against")
 def score_features(games: DataFrame, asked: DataFrame | None = None, rest_cap: int | None = None) -> DataFrame:
     """Score-only form of both sides for the asked games (the completed ones by default)."""
     done = eligible(games)
-    asked = done if asked is None else asked
-    days = team_days(team_games(done), asks_of(asked), SCORE_METRICS)
-    return attach(asked, features(days, rest_cap))
+    days = team_days(team_games(done), None if asked is None else asks_of(asked), SCORE_METRICS)
+    return attach(done if asked is None else asked, features(days, rest_cap))

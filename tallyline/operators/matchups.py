@@ -45,9 +45,7 @@ def head_to_head(done: DataFrame, asked: DataFrame, depth: int = 5, keys_of: Dat
     )
     frame = by_pair.orderBy("position").rangeBetween(-depth, -1)
     recent = F.flatten(F.collect_list("games_of_day").over(frame))
-    daily = daily.withColumn("_all", recent).withColumn(
-        "recent", last_items(F.col("_all"), depth)
-    )
+    daily = daily.withColumn("_all", recent).withColumn("recent", last_items(F.col("_all"), depth))
 
     def total(value) -> Column:
         return F.aggregate("recent", F.lit(0.0), lambda acc, g: acc + value(g["low_margin"]))

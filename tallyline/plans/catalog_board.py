@@ -461,7 +461,7 @@ SQL_DQ = with_views(
 def leakage_check(spark, folder):
     """No feature row may have a source on or after its own date."""
     done = history.eligible(standin.games(spark, folder))
-    days = history.team_days(history.team_games(done), history.asks_of(done), (*history.SCORE_METRICS, "game_date"))
+    days = history.team_days(history.team_games(done), None, (*history.SCORE_METRICS, "game_date"))
     newest = F.array_max(F.transform("recent", lambda g: g["game_date"]))
     rows = days.rows.select("game_date", F.greatest("last_date", newest).alias("source_date"))
     return quality.leakage(rows)

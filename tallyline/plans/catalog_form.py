@@ -96,7 +96,7 @@ REST = ("rest_days", "games_last_3_days", "games_last_7_days", "games_last_14_da
 
 def _days(spark, folder):
     done = history.eligible(standin.games(spark, folder))
-    return done, history.team_days(history.team_games(done), history.asks_of(done), history.SCORE_METRICS)
+    return done, history.team_days(history.team_games(done), None, ())
 
 
 def rest_and_congestion(spark, folder):
@@ -296,7 +296,7 @@ def model_features_25(spark, folder):
     lines = lines.select("game_id", "is_home", F.col("shots_for").cast("double"), F.col("shots_against").cast("double"))
     sides = history.team_games(done)
     rows = sides.join(lines, ["game_id", "is_home"], "left")
-    days = history.team_days(rows, history.asks_of(done), (*history.SCORE_METRICS, "shots_for", "shots_against"), totals=sides)
+    days = history.team_days(rows, None, (*history.SCORE_METRICS, "shots_for", "shots_against"), totals=sides)
     made = history.attach(done, history.features(days))
     return made.select(
         "game_id",
@@ -320,7 +320,7 @@ def merged_dataset(spark, folder):
         standin.skater_lines(spark, folder),
     )
     metrics = tuple(dict.fromkeys((*history.LAST_5, *history.LAST_10, *history.LAST_3, "starting_goalie_id", "starting_goalie_name")))
-    days = history.team_days(rows, history.asks_of(done), metrics, totals=sides)
+    days = history.team_days(rows, None, metrics, totals=sides)
     base = matchups.head_to_head(done, matchups.series_state(done), keys_of=done)
     return history.with_differences(history.attach(base, history.features(days)))
 
