@@ -115,3 +115,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars = pairs.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("component"))
     roots = pairs.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return stars.unionByName(roots.join(stars, "node", "left_anti"))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a finished intermediate folder wherever it is stored."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
