@@ -42,8 +42,9 @@ STRETCH = 256
 CLASSES = 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_FAIL = np.uint32(1 << 31)
-_STATE = np.uint32((1 << 31) - 1)
+# the upper two bits of an entry count the phrases that end at this byte
+_ONE, _SHIFT = np.uint32(1 << 30), np.uint32(30)
+_STATE = np.uint32((1 << 30) - 1)
 
 FIELDS = {"lang_pred": T.StringType(), "score": T.DoubleType()}
 
@@ -80,16 +81,18 @@ def automaton(text: bytes) -> list[dict[int, int]]:
 
 
 def dense_table(following: list[dict[int, int]], class_of: np.ndarray, n_classes: int) -> np.ndarray:
-    """Flat table of next offsets (state * classes); bit 31 marks that a phrase ended before this byte.
+    """Flat table of next offsets (state * classes), with the number of phrases that end in the upper bits.
 
     Class 0 pads short stretches: it stays in its state and ends nothing.
-    Class 1 is every byte without a class of its own: always a phrase end.
+    Where a byte can't continue a phrase, the open one ends and the byte begins
+    the next; a byte that is nowhere in the sample is a phrase of its own.
     """
     start = np.zeros(n_classes, np.uint32)
     for byte, to in following[0].items():
         if class_of[byte] > 1:
             start[class_of[byte]] = to * n_classes
-    table = np.tile(start | _FAIL, (len(following), 1))
+    table = np.tile(np.where(start > 0, start | _ONE, 2 * _ONE).astype(np.uint32), (len(following), 1))
+    table[0] = np.where(start > 0, start, _ONE)
     table[:, 0] = np.arange(len(following), dtype=np.uint32) * n_classes
     for state, row in enumerate(following):
         for byte, to in row.items():
@@ -143,7 +146,7 @@ def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             ended = np.zeros(len(part), np.uint32)
             for step in range(steps):
                 moved = table[state + codes[step]]
-                ended += moved >> np.uint32(31)
+                ended += moved >> _SHIFT
                 state = moved & _STATE
             out[:, k] += np.bincount(text_of[part], ended + (state > 0), minlength=n).astype(np.int64)
     return out

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, quality_knn, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, chat, embed_dedup, langid, packing, quality_knn, quality_rules, simhash, substring_dedup, suffix_dedup
 from .shared import ship, table
 
 
+def op1_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    made = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents")))
+    return made.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     docs = table(spark, folder, "documents")
@@ -87,7 +98,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_language_id, op4_chat_formatting, op5_best_fit_packing, op6_suffix_array_dedup, op7_substring_dedup, op8_quality_classifier,
+        op1_byte_level_bpe, op2_embedding_near_dedup, op3_language_id, op4_chat_formatting, op5_best_fit_packing, op6_suffix_array_dedup, op7_substring_dedup, op8_quality_classifier,
         op9_quality_rules, op10_simhash_near_dedup,
     )
 }
