@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, embed_dedup, langid, packing, quality_knn, quality_rules, simhash, substring_dedup, suffix_dedup
+from .oracles import ORACLES  # noqa: F401
 from .shared import ship, table
 
 
@@ -102,4 +103,3 @@ QUERIES = {
         op9_quality_rules, op10_simhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
