@@ -159,7 +159,7 @@ def event_label(event_type: Column, team: Column, period: Column, *, live: bool
     for kind, text in plain.items():
         label = label.when(event_type == kind, F.lit(text))
     words = F.lower(F.replace(event_type, F.lit("-"), F.lit(" ")))
-    return label.otherwise(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000_000)))
+    return label.otherwise(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words))))
 
 
 def record(wins: Column, losses: Column, overtime: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contest import PLAYOFF, POINTS_RIGHT, POINTS_WRONG, REGULAR, is_completed, pick_home
 from ..functions.numbers import round_even, tidy, width_of
-from ..plans.scan import blocked, id_block, ordered_running, running_sum, with_halo, without_halo
+from ..plans.scan import blocked, id_block, running_sum, with_halo, without_halo
 
 # fixed values: page sizes and the games after which a season's own records are shown
 PAGE_SIZE = 25
@@ -141,7 +141,7 @@ def last_form(team_games: DataFrame, keys: list[str], n: int = 5, overtime: bool
 def better_run(team_games: DataFrame, n: int = 5) -> DataFrame:
     """Wins of a team in its last ``n`` earlier rows of the season, in row order (date, id)."""
     keys = ["season", "team"]
-    numbered = ordered_running(
+    numbered = blocked(
         team_games, keys, {"day": F.col("game_date"), "ids": id_block("game_id")},
         [F.col("game_date"), F.col("game_id")], [running_sum("_n", F.lit(1))],
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contest import PLAYOFF, REGULAR, pair_high, pair_low, series_code
 from ..functions.numbers import round_even
-from ..plans.scan import id_block, ordered_running, running_sum
+from ..plans.scan import blocked, id_block, running_sum
 from .history import last_items, latest_of_day
 
 
@@ -91,7 +91,7 @@ def series_state(done: DataFrame) -> DataFrame:
             "_low_won": low_won.cast("long"),
         }
     )
-    run = ordered_running(
+    run = blocked(
         playoffs,
         ["season", "_series"],
         {"day": F.col("game_date"), "ids": id_block("game_id")},

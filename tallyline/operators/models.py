@@ -24,6 +24,7 @@ NOT_FEATURES = (
     "game_id", "season", "game_type", "game_date", "start_time_utc", "venue", "home_team", "away_team", "home_score",
     "away_score", "winner_team", "target_home_win", "home_last_starting_goalie_id", "home_last_starting_goalie_name",
     "away_last_starting_goalie_id", "away_last_starting_goalie_name",
+    "y",
 )
 # fixed values: settings of the members
 LOGISTIC_C = 0.05

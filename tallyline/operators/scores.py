@@ -188,9 +188,9 @@ def drift_report(reference: DataFrame, current: DataFrame, p: str = "p") -> Data
     thin = F.col("current_games") < DRIFT_CONFIDENT
     n = F.col("current_games").cast("string")
     note = (
-        F.when(~enough, F.lit(f"needs at least {MIN_SAMPLE} games on both sides"))
-        .when(thin, F.concat(F.lit("based on only "), n, F.lit(" games")))
-        .otherwise(F.concat(F.lit("based on "), n, F.lit(" games")))
+        F.when(~enough, F.lit(f"too few games: {MIN_SAMPLE} are wanted in each sample"))
+        .when(thin, F.concat(n, F.lit(" current games, a first reading")))
+        .otherwise(F.concat(n, F.lit(" current games")))
     )
     return base.select(
         "reference_games",
@@ -395,9 +395,9 @@ def home_rate_grid(df: DataFrame, p: str = "p_home", y: str = "y") -> DataFrame:
 def study_verdict(delta: Column) -> dict[str, Column]:
     """Did a candidate help on held-out data by more than the noise floor?"""
     note = (
-        F.when(delta < -NOISE_FLOOR, "beat the baseline by more than the noise floor")
-        .when(delta > NOISE_FLOOR, "clearly worse than the baseline")
-        .otherwise("no real difference - inside the noise floor")
+        F.when(delta < -NOISE_FLOOR, "held-out loss falls by more than chance explains")
+        .when(delta > NOISE_FLOOR, "held-out loss rises by more than chance explains")
+        .otherwise("held-out loss moves less than chance explains")
     )
     return {"helped": delta < -NOISE_FLOOR, "note": note}
 

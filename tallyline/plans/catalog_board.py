@@ -322,9 +322,13 @@ SQL_GAMES_TEAMS = with_views(
 # ---- stores ------------------------------------------------------------------------------------------------------
 
 
+# the stored table was last written on this day; later games are new to it
+STORED_UNTIL = "1999-06-30"
+
+
 def _stored(spark, folder):
-    """The games table as stored before a delivery: even ids only, with a first probability and its odds."""
-    preds = standin.predictions(spark, folder).filter(F.col("game_id") % 2 == 0)
+    """The games table as stored before a delivery: all games dated up to a day, with a first probability."""
+    preds = standin.predictions(spark, folder).filter(F.col("game_date") <= F.lit(STORED_UNTIL).cast("date"))
     status = F.when(contest.is_completed(F.col("game_state")) & (F.col("game_id") % 3 != 0), "final").otherwise("upcoming")
     final = status == "final"
     winner = F.when(F.col("home_score") > F.col("away_score"), F.col("home_team")).otherwise(F.col("away_team"))
@@ -338,7 +342,7 @@ def _stored(spark, folder):
 STORED = """stored AS (SELECT game_id, season, home_team, away_team, p_logit AS prob, CASE WHEN game_state = 'OFF' AND game_id % 3 <> 0 THEN 'final' ELSE 'upcoming' END AS status,
   CASE WHEN game_state = 'OFF' AND game_id % 3 <> 0 THEN home_score END AS home_score, CASE WHEN game_state = 'OFF' AND game_id % 3 <> 0 THEN away_score END AS away_score,
   CASE WHEN game_state = 'OFF' AND game_id % 3 <> 0 THEN CASE WHEN home_score > away_score THEN home_team ELSE away_team END END AS winner
-  FROM preds_v WHERE game_id % 2 = 0)"""
+  FROM preds_v WHERE game_date <= DATE '1999-06-30')"""
 
 
 def upsert_upcoming(spark, folder):
@@ -473,16 +477,25 @@ SQL_LEAK = with_views(
 )
 
 
+# the day up to which results are published; what is played later is live
+PUBLISHED = "1999-12-31"
+
+
 def season_disjoint(spark, folder):
-    """Published and live seasons share no season: per season how often it is on each side."""
-    rows = standin.games(spark, folder).filter(contest.is_completed(F.col("game_state"))).select("season").distinct()
-    reference = rows.filter(F.col("season") <= 19992000)
-    live = rows.filter(F.col("season") > 19992000)
-    shared = reference.intersect(live).agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("seasons"))))  # one row each
+    """Seasons with published games, and how many of them also have live ones (a season that runs over the day has both)."""
+    games = standin.games(spark, folder).filter(contest.is_completed(F.col("game_state")))
+    out = F.col("game_date") <= F.lit(PUBLISHED).cast("date")
+    sides = games.groupBy("season").agg(F.max(out).alias("published"), F.max(~out).alias("live"))
+    both = F.when(F.col("published") & F.col("live"), 1).otherwise(0)
+    return sides.agg(F.sum(both).alias("shared"), F.count(F.lit(1)).alias("seasons"))
 
 
-SQL_DISJOINT = with_views("games_v", "SELECT CAST(0 AS BIGINT) AS shared, COUNT(DISTINCT season) AS seasons FROM games_v WHERE game_state = 'OFF'")
+SQL_DISJOINT = with_views(
+    "games_v",
+    f"""p AS (SELECT DISTINCT season FROM games_v WHERE game_state = 'OFF' AND game_date <= DATE '{PUBLISHED}'),
+l AS (SELECT DISTINCT season FROM games_v WHERE game_state = 'OFF' AND game_date > DATE '{PUBLISHED}')
+SELECT (SELECT COUNT(*) FROM (SELECT season FROM p INTERSECT SELECT season FROM l) i) AS shared, COUNT(DISTINCT season) AS seasons FROM games_v WHERE game_state = 'OFF'""",
+)
 
 
 def status_counts(spark, folder):

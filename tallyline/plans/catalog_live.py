@@ -180,7 +180,7 @@ def _probability():
 def event_timeline(spark, folder):
     events = live.GameEvents(standin.plays(spark, folder))
     kept = live.thin(live.running_state(events))
-    rows = live.timeline(kept, _probability(), events.hot)
+    rows = live.timeline(kept, _probability())
     period = F.floor(F.col("seconds_elapsed") / 1200) + 1
     return rows.select(
         "game_id",
@@ -225,21 +225,21 @@ SQL_ROLLUP = with_views(
 def _scored(spark, folder):
     """Events with a live probability, the prior of their game (.54 where none) and the outcome."""
     state = _state(spark, folder)
-    preds = standin.predictions(spark, folder).select("game_id", "p_home", "y")
+    preds = standin.predictions(spark, folder).select("game_id", "p_home", "y", "game_state")
     joined = state.join(preds, "game_id", "left")
     return joined.select(
         "game_id", "event_id", _probability().alias("p"), F.coalesce("p_home", F.lit(contest.NEUTRAL_PRIOR)).alias("prior"),
-        F.coalesce("y", F.lit(0)).alias("y"), (F.col("seconds_elapsed") / 3960.0).alias("game_progress"),
+        F.when(contest.is_completed(F.col("game_state")), F.col("y")).alias("y"), (F.col("seconds_elapsed") / 3960.0).alias("game_progress"),
     )
 
 
 def phase_buckets(spark, folder):
-    return scores.phase_buckets(_scored(spark, folder))
+    return scores.phase_buckets(_scored(spark, folder).filter(F.col("y").isNotNull()))
 
 
 _SCORED = f"""st AS (SELECT *, {_counter_sql(("score",))} FROM plays_v),
 scored AS (SELECT st.game_id, st.event_id, 1 / (1 + exp(-((st.home_score - st.away_score) / sqrt(greatest(0, 3600 - least(seconds_elapsed, 3600)) + 1.0::DOUBLE) * 20))) AS p,
-  COALESCE(p_home, 0.54::DOUBLE) AS prior, COALESCE(y, 0) AS y, seconds_elapsed / 3960.0::DOUBLE AS game_progress FROM st LEFT JOIN preds_v USING (game_id))"""
+  COALESCE(p_home, 0.54::DOUBLE) AS prior, CASE WHEN game_state = 'OFF' THEN y END AS y, seconds_elapsed / 3960.0::DOUBLE AS game_progress FROM st LEFT JOIN preds_v USING (game_id))"""
 _LL = "-CASE WHEN y = 1 THEN ln(greatest(least(p, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)) ELSE ln(1 - greatest(least(p, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)) END"
 _PHASE = "CASE " + " ".join(
     f"WHEN x > {a} AND x <= {b} THEN '({a}, {b}]'" for a, b in zip(scores.PHASES[:-1], scores.PHASES[1:], strict=True)
@@ -247,7 +247,7 @@ _PHASE = "CASE " + " ".join(
 SQL_PHASE = with_views(
     "preds_v plays_v",
     f"""{_SCORED}, ph AS (SELECT *, {_PHASE} AS phase FROM (SELECT *, least(greatest(game_progress, 0.0::DOUBLE), 1.0::DOUBLE) AS x FROM scored) t),
-rk AS (SELECT *, rank() OVER (PARTITION BY phase ORDER BY p) + (COUNT(*) OVER (PARTITION BY phase, p) - 1) / 2.0::DOUBLE AS r FROM ph WHERE phase IS NOT NULL)
+rk AS (SELECT *, rank() OVER (PARTITION BY phase ORDER BY p) + (COUNT(*) OVER (PARTITION BY phase, p) - 1) / 2.0::DOUBLE AS r FROM ph WHERE phase IS NOT NULL AND y IS NOT NULL)
 SELECT phase, COUNT(*) AS n, {rnd(f'avg({RIGHT})', 4)} AS accuracy, {rnd(f'avg({_LL})', 4)} AS log_loss,
  {rnd('(SUM(CASE WHEN y = 1 THEN r END) - SUM(y) * (SUM(y) + 1) / 2.0::DOUBLE) / nullif(SUM(y) * (COUNT(*) - SUM(y)), 0)', 6)} AS auc FROM rk GROUP BY phase""",
 )
@@ -262,16 +262,19 @@ def prior_attach(spark, folder):
 SQL_PRIOR = with_views("preds_v plays_v", _SCORED + " SELECT game_id, MAX(prior) AS prior, COUNT(*) AS events FROM scored GROUP BY game_id")
 
 
+# share of a game that counts as its start
+START = 0.01
+
+
 def puck_drop_correlation(spark, folder):
     """Correlation of a live probability with its prior on the first events of the games."""
-    rows = _scored(spark, folder).filter(F.col("game_progress") < 0.05)
-    mixed = F.col("prior") * 0.8 + F.col("p") * 0.2
-    return rows.agg(F.count(F.lit(1)).alias("events"), (F.rint(F.corr(mixed, F.col("prior")) * 1e6) / 1e6).alias("correlation"))
+    rows = _scored(spark, folder).filter(F.col("game_progress") < START)
+    return rows.agg(F.count(F.lit(1)).alias("events"), (F.rint(F.corr("p", "prior") * 1e6) / 1e6).alias("correlation"))
 
 
 SQL_CORR = with_views(
     "preds_v plays_v",
-    _SCORED + f" SELECT COUNT(*) AS events, {rnd('corr(prior * 0.8::DOUBLE + p * 0.2::DOUBLE, prior)', 6)} AS correlation FROM scored WHERE game_progress < 0.05",
+    _SCORED + f" SELECT COUNT(*) AS events, {rnd('corr(p, prior)', 6)} AS correlation FROM scored WHERE game_progress < {START}",
 )
 
 QUERIES = {

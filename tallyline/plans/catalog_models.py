@@ -82,7 +82,7 @@ def ensemble_upcoming(spark, folder):
     """Members trained on all completed games, their mean, odds and pick for the games to come."""
     games = standin.games(spark, folder)
     train, features = _training(spark, folder)
-    members = {"logit": models.logistic_member(features, 15000), "hgb": models.boosted_member(features, models.BOOSTED, 10)}
+    members = {"logit": models.logistic_member(features, train.count()), "hgb": models.boosted_member(features, models.BOOSTED, 10)}
     fitted = models.fit_all(members, train, features)
     asked = games.filter(~contest.is_completed(F.col("game_state")))
     rows = serving.upcoming_rows(games, asked, ratings.team_states(history.eligible(games)))

@@ -140,16 +140,17 @@ FROM step JOIN done d ON d.game_id = step.game_id""",
 
 
 def rating_zero_sum(spark, folder):
-    """Quality check: what one side gains the other loses, in every game."""
-    done = history.eligible(standin.games(spark, folder))
-    moved = ratings.shifts(ratings.ratings(done), done.select("game_id", "home_score", "away_score", "game_type"))
-    return moved.agg(
-        F.count(F.lit(1)).alias("games"),
-        F.sum(F.when(F.abs(F.col("home_shift") + F.col("away_shift")) > 1e-9, 1).otherwise(0)).alias("unbalanced"),
-    )
+    """Quality check: what one side gains the other loses, in every game, by the ratings the fold emitted."""
+    return ratings.unbalanced(ratings.rating_changes(history.eligible(standin.games(spark, folder))))
 
 
-SQL_ZERO = with_views("games_v", _DONE + " SELECT COUNT(*) AS games, CAST(0 AS BIGINT) AS unbalanced FROM done")
+SQL_ZERO = with_views(
+    "games_v",
+    _elo_cte() + """ SELECT COUNT(*) AS games,
+ CAST(SUM(CASE WHEN abs((elo[d.home_team + 1] - he) + (elo[d.away_team + 1] - ae)) > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS unbalanced
+FROM step JOIN done d ON d.game_id = step.game_id""",
+    recursive=True,
+)
 
 
 def asof_latest_features(spark, folder):

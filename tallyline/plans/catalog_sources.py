@@ -330,7 +330,7 @@ def active_teams(spark, folder):
         F.col("team").alias("id"), F.col("name").alias("fullName"), F.concat(F.lit("T"), F.col("team").cast("string")).alias("triCode"), F.lit(None).cast("string").alias("rawTricode")
     )
     codes = flatten.team_codes(directory)
-    played = standin.games(spark, folder).filter(F.col("game_id") % 7 == 0).select("season", F.col("home_team").alias("teamId"))
+    played = standin.games(spark, folder).select("season", F.col("home_team").alias("teamId"))
     some = flatten.active_codes(codes, played.filter(F.col("season") == 20002001)).withColumn("season", F.lit("20002001"))
     none = flatten.active_codes(codes, played.filter(F.col("season") == 20302031)).withColumn("season", F.lit("20302031"))
     return some.unionByName(none)
@@ -338,7 +338,7 @@ def active_teams(spark, folder):
 
 SQL_ACTIVE = with_views(
     "games_v",
-    """SELECT DISTINCT 'T' || CAST(home_team AS VARCHAR) AS code, '20002001' AS season FROM games_v WHERE game_id % 7 = 0 AND season = 20002001
+    """SELECT DISTINCT 'T' || CAST(home_team AS VARCHAR) AS code, '20002001' AS season FROM games_v WHERE season = 20002001
 UNION ALL SELECT 'T' || CAST(n_nationkey AS VARCHAR), '20302031' FROM nation""",
 )
 

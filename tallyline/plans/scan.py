@@ -17,11 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
-# Session settings and their defaults.
-# A key with more rows than this is treated as hot. A task sorts this many narrow rows easily.
-HOT_ROWS = ("spark.tallyline.hotRows", 2_000_000)
+# Session setting and its default.
 # Width of a block of ids or positions. They are unique, so a block never holds more rows than this.
 BLOCK_ROWS = ("spark.tallyline.blockRows", 65_536)
 
@@ -36,10 +32,8 @@ def id_block(column: str) -> Column:
 
 
 def position_levels(column: str) -> dict[str, Column]:
-    """Two levels over a position within a key: wide blocks, and narrow ones inside them."""
-    rows = setting(BLOCK_ROWS)
-    width = max(2, int(rows**0.5))
-    return {"top": F.floor(F.col(column) / (rows * width)).cast("long"), "part": F.floor(F.col(column) / rows).cast("long")}
+    """Blocks of positions within a key. A window over a key's blocks sorts one row per 65,536, so one level is enough."""
+    return {"part": F.floor(F.col(column) / setting(BLOCK_ROWS)).cast("long")}
 
 
 @dataclass(frozen=True)
@@ -71,16 +65,6 @@ def running_lag(name: str, value: Column) -> Running:
     return Running(name, "lag", value)
 
 
-def find_hot(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The hot keys, or None where there are none. Runs one narrow counting pass.
-
-    At most ``rows / hot rows`` keys can be hot, which bounds what is broadcast.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > setting(HOT_ROWS)).select(*keys)
-    return None if hot.isEmpty() else hot
-
-
 def _over(r: Running, window: WindowSpec) -> Column:
     if r.kind == "lag":
         return F.lag(r.value).over(window)
@@ -89,11 +73,6 @@ def _over(r: Running, window: WindowSpec) -> Column:
     return made(r.value).over(frame)
 
 
-def _plain(df: DataFrame, keys: Sequence[str], order: Sequence[Column], running: Sequence[Running]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.select("*", *[_over(r, window).alias(r.name) for r in running])
-
-
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n] == right[n] for n in names])
 
@@ -111,10 +90,13 @@ def blocked(
     be the same as sorting by ``order``. The window over block totals at a
     level runs within the level above it.
     """
+    # every key takes this way, whatever its size: behaviour must not depend on how much data there is
     keys = list(keys)
     level_names = [f"_b{i}" for i in range(len(levels))]
     grain = keys + level_names
     rows = df.select("*", *[c.alias(n) for n, c in zip(level_names, levels.values(), strict=True)])
+    # block totals and the rows themselves read this one exchange, so the input is evaluated once
+    rows = rows.repartition(*[F.col(n) for n in grain])
 
     def seed(r: Running) -> Column:
         if r.kind in ("sum", "max"):
@@ -197,31 +179,3 @@ def with_halo(df: DataFrame, index: str, width: int) -> DataFrame:
 
 def without_halo(df: DataFrame) -> DataFrame:
     return df.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
-
-
-def ordered_running(
-    df: DataFrame,
-    keys: Sequence[str],
-    levels: dict[str, Column],
-    order: Sequence[Column],
-    running: Sequence[Running],
-    hot: DataFrame | None = None,
-    checked: bool = False,
-) -> DataFrame:
-    """Running values per key: a plain window for ordinary keys, blocks for hot ones.
-
-    One narrow counting pass finds the hot keys (pass ``hot`` and ``checked``
-    to reuse an earlier one). Without any the plan is a single shuffle; with
-    some, only their rows take the blocked way. The hot key list is broadcast:
-    it holds at most ``rows / hot_rows`` keys.
-    """
-    if not checked:
-        hot = find_hot(df, keys)
-    if hot is None:
-        return _plain(df, keys, order, running)
-    # several branches read the rows now, so they are written once instead of being recomputed by each
-    df = materialise(df, "scan")
-    hot = F.broadcast(hot)
-    cold_part = _plain(df.join(hot, list(keys), "left_anti"), keys, order, running)
-    hot_part = blocked(df.join(hot, list(keys), "left_semi"), keys, levels, order, running)
-    return cold_part.unionByName(hot_part)

@@ -30,7 +30,7 @@ PLAYS = """plays_v AS (
                         WHEN 'error' THEN 'penalty' ELSE 'faceoff' END AS event_type,
         CASE WHEN k % 2 = 0 THEN 'home' ELSE 'away' END AS side,
         CASE WHEN k % 10 < 2 THEN '1541' WHEN k % 10 < 4 THEN '1451' ELSE '1551' END AS situation_code,
-        CAST(n * 40 AS BIGINT) AS seconds_elapsed,
+        CAST((n - 1) * 40 AS BIGINT) AS seconds_elapsed,
         CAST(CASE WHEN event_type = 'error' THEN CASE WHEN k % 5 = 0 THEN 5 ELSE 2 END END AS BIGINT) AS penalty_minutes
  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) e)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import season_of
-from ..plans.scan import ordered_running, running_sum
+from ..plans.scan import blocked, running_sum
 
 
 _schemas: dict[str, T.StructType] = {}
@@ -80,7 +80,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 def plays(spark: SparkSession, folder: str) -> DataFrame:
     """One row per event; a user's events are the plays of one game."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    numbered = ordered_running(
+    numbered = blocked(
         events,
         ["user_id"],
         {"day": F.to_date("ts"), "minute": F.hour("ts") * 60 + F.minute("ts")},
@@ -102,7 +102,7 @@ def plays(spark: SparkSession, folder: str) -> DataFrame:
         .alias("event_type"),
         F.when(k % 2 == 0, "home").otherwise("away").alias("side"),
         F.when(k % 10 < 2, "1541").when(k % 10 < 4, "1451").otherwise("1551").alias("situation_code"),
-        (F.col("n") * 40).alias("seconds_elapsed"),
+        ((F.col("n") - 1) * 40).alias("seconds_elapsed"),
         F.when(kind == "error", F.when(k % 5 == 0, 5).otherwise(2)).cast("long").alias("penalty_minutes"),
     )
 
