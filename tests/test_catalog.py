@@ -27,7 +27,7 @@ def test_flagship_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-# names whose operators cut hot keys; small settings force that way on small data
+# names whose operators cut keys into blocks; a small setting makes many blocks of small data
 BLOCKED = (
     "play_counters", "active_penalties", "decay_form", "series_state", "season_game_index", "auc", "longest_streak",
     "strategy_backtest", "member_leaderboard", "state_from_documents",
@@ -37,11 +37,9 @@ BLOCKED = (
 @pytest.mark.parametrize("name", BLOCKED)
 def test_hot_keys_give_the_same_result(spark, duck, sf, name):
     run, sql = registered()[name]
-    spark.conf.set("spark.tallyline.hotRows", "60")
     spark.conf.set("spark.tallyline.blockRows", "16")
     try:
         got = run(spark, sf).toPandas()
     finally:
-        spark.conf.unset("spark.tallyline.hotRows")
         spark.conf.unset("spark.tallyline.blockRows")
     assert compare(got, duck.execute(sql).df()) is None

@@ -15,99 +15,102 @@ SCHEMA = (
 )
 
 
-def game(i, day, home, away, hs, as_, period="REG", season=20252026, state="OFF", kind=2):
+def game(i, day, home, away, hs, as_, period="REG", season=20242025, state="OFF", kind=2):
     return (i, season, dt.date.fromisoformat(day), home, away, hs, as_, period, kind, state)
 
 
 BOOK = [
-    game(1, "2025-10-01", "TOR", "MTL", 4, 1),
-    game(2, "2025-10-03", "MTL", "TOR", 2, 5),
-    game(3, "2025-10-05", "TOR", "BOS", 1, 3),
-    game(4, "2025-10-07", "BOS", "TOR", 0, 2),
+    game(11, "2024-11-02", "ORCA", "LYNX", 2, 5),
+    game(12, "2024-11-05", "LYNX", "IBIS", 3, 0),
+    game(13, "2024-11-06", "IBIS", "LYNX", 4, 3),
+    game(14, "2024-11-11", "LYNX", "ORCA", 1, 6),
+    game(15, "2024-11-12", "ORCA", "IBIS", 2, 3),
 ]
 
 
-def form(spark, home, away, day, season=20252026, book=BOOK, cap=14):
+def asked_for(spark, home, away, day, season=20242025, book=BOOK, cap=14):
     games = spark.createDataFrame(book, SCHEMA)
     asked = spark.createDataFrame([game(99, day, home, away, None, None, season=season, state="FUT")], SCHEMA)
     return history.score_features(games, asked, cap).first().asDict()
 
 
-def test_no_form_before_the_first_game(spark):
-    row = form(spark, "TOR", "BOS", "2025-09-30")
-    assert row["home_last_5_win_pct"] is None and row["home_rest_days"] is None
-    assert row["home_back_to_back"] == 0.0
+def test_four_results_of_one_team(spark):
+    row = asked_for(spark, "LYNX", "WOLF", "2024-11-12")
+    want = {
+        "last_5_win_pct": 0.5, "last_5_goals_for_avg": 3.0, "last_5_goals_against_avg": 3.0, "rest_days": 1.0, "back_to_back": 1.0,
+        "games_last_3_days": 1.0, "games_last_7_days": 3.0, "games_last_14_days": 4.0, "home_win_pct_before_game": 0.5,
+        "road_win_pct_before_game": 0.5, "home_goal_diff_avg_before_game": -1.0, "road_goal_diff_avg_before_game": 1.0,
+        "season_points_pct_before_game": 0.5, "goal_diff_last_10": 0.0,
+    }
+    assert {k: row[f"home_{k}"] for k in want} == want
+    assert row["away_last_5_win_pct"] is None and row["away_games_last_14_days"] == 0.0
 
 
-def test_the_day_of_a_game_does_not_see_it(spark):
-    assert form(spark, "TOR", "BOS", "2025-10-06")["home_last_5_win_pct"] == form(spark, "TOR", "BOS", "2025-10-07")["home_last_5_win_pct"]
+def test_shuffled_input_gives_the_same_rows(spark):
+    book = [BOOK[i] for i in (3, 0, 4, 2, 1)]
+    assert asked_for(spark, "IBIS", "ORCA", "2024-11-20", book=book) == asked_for(spark, "IBIS", "ORCA", "2024-11-20")
 
 
-def test_form_grows(spark):
-    assert form(spark, "TOR", "BOS", "2025-10-02")["home_last_5_win_pct"] == 1.0
-    row = form(spark, "TOR", "MTL", "2025-10-08")
-    assert row["home_last_5_win_pct"] == 0.75
-    assert row["home_last_5_goals_for_avg"] == 3.0
-    assert row["away_last_5_goals_against_avg"] == 4.5
-    assert (row["home_rest_days"], row["home_back_to_back"]) == (1.0, 1.0)
-    assert (row["home_games_last_7_days"], row["home_games_last_3_days"]) == (4.0, 2.0)
-    assert (row["home_home_win_pct_before_game"], row["home_road_win_pct_before_game"]) == (0.5, 1.0)
+def test_own_date_is_never_seen(spark):
+    on_the_day = asked_for(spark, "ORCA", "IBIS", "2024-11-12")
+    assert (on_the_day["home_last_5_win_pct"], on_the_day["away_last_5_win_pct"]) == (0.5, 0.5)
+    day_after = asked_for(spark, "ORCA", "IBIS", "2024-11-13")
+    assert (day_after["home_last_10_win_pct"], day_after["away_last_10_win_pct"]) == (pytest.approx(0.3333), pytest.approx(0.6667))
 
 
-def test_rest_is_capped_only_for_serving(spark):
-    assert form(spark, "TOR", "MTL", "2026-05-01")["home_rest_days"] == 14
-    assert form(spark, "TOR", "MTL", "2026-05-01", cap=None)["home_rest_days"] == 206
+def test_nothing_is_known_of_a_first_game(spark):
+    row = asked_for(spark, "ORCA", "LYNX", "2024-11-02")
+    unknown = ("rest_days", "last_5_win_pct", "season_points_pct_before_game", "home_win_pct_before_game")
+    assert [row[f"{s}_{c}"] for s in ("home", "away") for c in unknown] == [None] * 8
+    assert (row["home_back_to_back"], row["away_games_last_3_days"]) == (0.0, 0.0)
 
 
-def test_a_new_season_starts_its_records_over(spark):
-    row = form(spark, "TOR", "MTL", "2026-10-08", season=20262027)
-    assert row["home_season_points_pct_before_game"] is None
-    assert row["home_last_5_win_pct"] == 0.75
+def test_season_records_end_with_the_season_but_form_does_not(spark):
+    row = asked_for(spark, "LYNX", "IBIS", "2025-10-09", season=20252026)
+    assert (row["home_season_points_pct_before_game"], row["away_home_win_pct_before_game"]) == (None, None)
+    assert row["home_last_5_win_pct"] == 0.5 and row["away_last_5_win_pct"] == pytest.approx(0.6667)
 
 
-def meeting(spark, home, away):
-    games = spark.createDataFrame(BOOK, SCHEMA)
-    asked = spark.createDataFrame([game(99, "2025-10-08", home, away, None, None, state="FUT")], SCHEMA)
-    return matchups.head_to_head(games, asked).first()
-
+@pytest.mark.parametrize(("cap", "days"), [(None, 221), (14, 14), (30, 30)])
+def test_long_rest(spark, cap, days):
+    assert asked_for(spark, "LYNX", "IBIS", "2025-06-20", cap=cap)["home_rest_days"] == days
 
-def test_head_to_head_is_read_from_the_home_side(spark):
-    row = meeting(spark, "TOR", "MTL")
-    assert row["h2h_home_team_win_pct_last_5"] == 1.0 and row["h2h_games_last_365_days"] == 2
-    assert meeting(spark, "MTL", "TOR")["h2h_home_team_win_pct_last_5"] == 0.0
-    none = meeting(spark, "TOR", "VAN")
-    assert none["h2h_games_last_365_days"] == 0 and none["h2h_home_team_win_pct_last_5"] is None
 
-
-def test_last_five_marks(spark):
-    book = [game(1, "2025-10-01", "TOR", "MTL", 4, 1), game(2, "2025-10-03", "TOR", "BOS", 2, 3, "OT"), game(3, "2025-10-05", "TOR", "OTT", 1, 4)]
-    rows = history.team_games(spark.createDataFrame(book, SCHEMA))
-    marks = {r["team"]: r["form"] for r in board.last_form(rows, ["team"], overtime=True).collect()}
-    assert marks["TOR"] == "W,O,L"
-    many = [game(i, f"2025-10-{i + 1:02d}", "TOR", "MTL", 3, 1) for i in range(8)]
-    assert board.last_form(history.team_games(spark.createDataFrame(many, SCHEMA)), ["team"]).filter("team = 'TOR'").first()["form"] == "W,W,W,W,W"
+@pytest.mark.parametrize(
+    ("home", "away", "games", "share", "diff"),
+    [("IBIS", "ORCA", 1, 1.0, 1.0), ("ORCA", "IBIS", 1, 0.0, -1.0), ("LYNX", "ORCA", 2, 0.5, -1.0), ("LYNX", "WOLF", 0, None, None)],
+)
+def test_earlier_meetings(spark, home, away, games, share, diff):
+    asked = spark.createDataFrame([game(99, "2024-11-14", home, away, None, None, state="FUT")], SCHEMA)
+    row = matchups.head_to_head(spark.createDataFrame(BOOK, SCHEMA), asked).first()
+    got = (row["h2h_games_last_365_days"], row["h2h_home_team_win_pct_last_5"], row["h2h_home_team_goal_diff_avg_last_5"])
+    assert got == (games, share, diff)
 
 
-def test_row_order_of_the_input_does_not_matter(spark):
-    a = form(spark, "TOR", "MTL", "2025-10-08")
-    assert a == form(spark, "TOR", "MTL", "2025-10-08", book=BOOK[::-1])
+def test_marks_of_the_last_results(spark):
+    extra = game(16, "2024-11-15", "LYNX", "IBIS", 2, 3, "SO")
+    rows = history.team_games(spark.createDataFrame([*BOOK, extra], SCHEMA))
+    with_extra_time = {r["team"]: r["form"] for r in board.last_form(rows, ["team"], overtime=True).collect()}
+    assert with_extra_time == {"LYNX": "W,W,L,L,O", "IBIS": "L,W,W,W", "ORCA": "L,W,L"}
+    plain = {r["team"]: r["form"] for r in board.last_form(rows, ["team"], n=2).collect()}
+    assert plain == {"LYNX": "L,L", "IBIS": "W,W", "ORCA": "W,L"}
 
 
 def test_many_games_on_one_day(spark):
     """Twelve games on one date: only the last ten by id count, none of them on the date itself."""
     book = [game(i, "2025-10-01", "A", f"B{i}", 1 if i > 2 else 3, 2) for i in range(1, 13)]
-    row = form(spark, "A", "C", "2025-10-02", book=book)
+    row = asked_for(spark, "A", "C", "2025-10-02", book=book)
     assert row["home_last_10_win_pct"] == 0.0 and row["home_season_points_pct_before_game"] == pytest.approx(0.1667)
-    assert form(spark, "A", "C", "2025-10-01", book=book)["home_last_10_win_pct"] is None
+    assert asked_for(spark, "A", "C", "2025-10-01", book=book)["home_last_10_win_pct"] is None
 
 
 def test_differences_cover_every_declared_pair(spark):
     assert len(history.diff_pairs()) == 34 and len(history.TEAM_FEATURES) == 38
     games = spark.createDataFrame(BOOK, SCHEMA)
     made = history.with_differences(history.score_features(games))
-    row = made.filter("game_id = 4").first()
-    assert row["season_points_pct_diff"] == pytest.approx(1.0 - 0.6667)
-    assert row["home_ice_split_win_pct_diff"] is None  # no home game of BOS yet
+    row = made.filter("game_id = 14").first()
+    assert row["season_points_pct_diff"] == pytest.approx(0.6667)
+    assert row["home_ice_split_win_pct_diff"] is None  # the visitors have no road game yet
 
 
 def test_serving_differences_use_both_spellings(spark):

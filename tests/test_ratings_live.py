@@ -67,6 +67,14 @@ def test_ratings_equal_the_recurrence(spark):
     assert states == pytest.approx({t: s[0] for t, s in final.items()}, abs=1e-9)
 
 
+def test_an_unbalanced_game_is_counted(spark):
+    changes = ratings.rating_changes(spark.createDataFrame(some_games(), GAMES))
+    n = len(some_games())
+    assert tuple(ratings.unbalanced(changes).first()) == (n, 0)
+    broken = changes.withColumn("away_after", F.col("away_after") + F.when(F.col("game_id") == some_games()[3][1], 0.5).otherwise(0.0))
+    assert tuple(ratings.unbalanced(broken).first()) == (n, 1)
+
+
 def test_catch_up_is_incremental_and_idempotent(spark):
     games = spark.createDataFrame(some_games(), GAMES)
     cut = dt.date(2024, 9, 1)
@@ -86,16 +94,15 @@ def test_season_change_happens_once(spark):
     assert ratings.enter_season(once, 20242025).first() == row
 
 
-@pytest.mark.parametrize("block", [7, 512])
+@pytest.mark.parametrize("block", [1, 3, 7, 20, 512])
 def test_decayed_form_equals_the_recurrence(spark, block):
     rows = some_games()
     want, _ = by_hand(rows)
-    # short blocks keep too much to be dropped after three of them, so they are compared loosely
     made = ratings.decayed_form(history.team_games(spark.createDataFrame(rows, GAMES)), block=block)
     home = {r[1]: r[6] for r in rows}
     for r in made.collect():
         if r["team"] == home[r["game_id"]]:
-            assert r["decay_goal_diff"] == pytest.approx(want[r["game_id"]][3], abs=1e-9 if block == 512 else 0.3)
+            assert r["decay_goal_diff"] == pytest.approx(want[r["game_id"]][3], abs=1e-9)
 
 
 PLAYS = "game_id long, event_id long, sort_order long, event_type string, side string, situation_code string, seconds_elapsed long, penalty_minutes double, goalie_in_net_id long, home_score_event long, away_score_event long"
@@ -197,7 +204,7 @@ def training(spark, n=400):
 
 def test_walk_forward_trains_on_earlier_months_only(spark):
     df = training(spark)
-    assert models.feature_columns(df) == ["y", "f1", "f2"]
+    assert models.feature_columns(df) == ["f1", "f2"]  # never the outcome
     made = models.walk_forward(df, ["f1", "f2"], [20232024], lambda cols, n: {"logit": models.logistic_member(cols, n)}, min_train=100)
     months = {r["game_date"].month for r in made.collect()}
     assert months == {2, 3, 4}  # January has no earlier games

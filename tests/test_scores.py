@@ -22,28 +22,11 @@ def probs(spark, values):
     return spark.createDataFrame([(v,) for v in values], "p double")
 
 
-def test_perfect_and_coin_flip(spark):
-    row = scores.score(pairs(spark, [(1.0, 1), (0.0, 0)]), "p", "y").first()
-    assert (row["accuracy"], row["brier"], row["log_loss"]) == (100.0, 0.0, 0.0)
-    row = scores.score(pairs(spark, [(0.5, 1), (0.5, 0)]), "p", "y").first()
-    assert (row["brier"], row["log_loss"], row["baseline_log_loss"]) == (0.25, 0.6931, 0.6931)
-
-
-def ece(spark, rows):
-    return scores.calibration_error(scores.reliability_curve(pairs(spark, rows))).first()["ece"]
-
-
-def test_calibration_error_of_honest_and_boastful(spark):
-    assert ece(spark, [(0.7, 1)] * 70 + [(0.7, 0)] * 30) < 1
-    assert ece(spark, [(0.9, 1)] * 50 + [(0.9, 0)] * 50) > 35
-
-
-def test_folding_and_empty_bands(spark):
-    curve = scores.reliability_curve(pairs(spark, [(0.2, 0), (0.8, 1)])).orderBy("band").collect()
-    assert len(curve) == 10 and sum(r["games"] for r in curve) == 2
-    hit = [r for r in curve if r["games"]]
-    assert len(hit) == 1 and hit[0]["range"] == "80-85%"
-    assert curve[0]["predicted"] is None
+def test_scores_of_three_games(spark):
+    row = scores.score(pairs(spark, [(0.8, 1), (0.3, 0), (0.6, 0)]), "p", "y").first()
+    losses = [-math.log(x) for x in (0.8, 0.7, 0.4)]
+    got = (row["accuracy"], row["brier"], row["log_loss"], row["baseline_log_loss"])
+    assert got == (pytest.approx(66.7), pytest.approx(0.49 / 3, abs=1e-4), pytest.approx(sum(losses) / 3, abs=1e-4), pytest.approx(math.log(2), abs=1e-4))
 
 
 def test_auc(spark):
@@ -52,38 +35,52 @@ def test_auc(spark):
     assert got == {"m": 0.875, "one": None}
 
 
-def psi(spark, a, b):
-    return scores.psi(probs(spark, a), probs(spark, b)).first()["psi"]
+def test_reliability_bands(spark):
+    """Both sides of one half fold together: .08 without a win is as good as .92 with one."""
+    rows = [(0.08, 0), (0.92, 1), (0.93, 0), (0.61, 1)]
+    bands = {r["range"]: r for r in scores.reliability_curve(pairs(spark, rows)).collect()}
+    assert len(bands) == 10
+    assert {k: r["games"] for k, r in bands.items() if r["games"]} == {"90-95%": 3, "60-65%": 1}
+    assert bands["50-55%"]["predicted"] is None
+
+
+@pytest.mark.parametrize(("p", "wins", "losses", "low", "high"), [(0.62, 62, 38, 0.0, 0.6), (0.82, 41, 41, 31.0, 33.0), (0.18, 9, 41, 0.0, 0.6)])
+def test_calibration_error(spark, p, wins, losses, low, high):
+    curve = scores.reliability_curve(pairs(spark, [(p, 1)] * wins + [(p, 0)] * losses))
+    assert low <= scores.calibration_error(curve).first()["ece"] <= high
+
+
+def summary(spark, wins, games, p=0.64):
+    return scores.summarise(pairs(spark, [(p, int(i < wins)) for i in range(games)]))
 
 
-def test_psi(spark):
-    same = [0.3, 0.45, 0.5, 0.55, 0.7, 0.9] * 10
-    assert psi(spark, same, same) == 0.0
-    assert psi(spark, [0.5] * 200, [0.95] * 200) > scores.PSI_MODERATE
-    assert psi(spark, [], [0.5]) is None and psi(spark, [0.5], []) is None
+@pytest.mark.parametrize(
+    ("wins", "games", "status"), [(128, 200, "on-track"), (190, 200, "above-baseline"), (50, 200, "below-baseline"), (7, 9, "warming-up")]
+)
+def test_live_sample_beside_the_reference(spark, wins, games, status):
+    live = summary(spark, wins, games)
+    assert scores.compare(live, summary(spark, 64, 100)).first()["status"] == status
+    assert live.first()["enough"] is (games >= scores.MIN_SAMPLE)
 
 
-def test_drift_report_sizes(spark):
-    few = scores.drift_report(probs(spark, [0.5] * 500), probs(spark, [0.9] * 5)).first()
-    assert (few["psi"], few["verdict"], few["provisional"]) == (None, "unknown", True)
-    some = scores.drift_report(probs(spark, [0.5] * 500), probs(spark, [0.9] * 40)).first()
-    assert some["psi"] is not None and some["provisional"]
-    assert not scores.drift_report(probs(spark, [0.5] * 500), probs(spark, [0.9] * 200)).first()["provisional"]
+@pytest.mark.parametrize(("current", "known", "provisional"), [(12, False, True), (60, True, True), (150, True, False)])
+def test_drift_needs_enough_games(spark, current, known, provisional):
+    row = scores.drift_report(probs(spark, [0.35, 0.65] * 120), probs(spark, [0.8] * current)).first()
+    assert ((row["psi"] is not None), row["provisional"]) == (known, provisional)
+    assert row["verdict"] == ("shifted" if known else "unknown")
 
 
-def test_verdict_words(spark):
-    df = spark.createDataFrame([(0.05,), (0.15,), (0.4,), (None,)], "v double")
-    assert [r[0] for r in df.select(scores.drift_verdict(F.col("v"))).collect()] == ["stable", "watch", "shifted", "unknown"]
+def test_psi_of_equal_far_and_missing_samples(spark):
+    index = lambda a, b: scores.psi(probs(spark, a), probs(spark, b)).first()["psi"]
+    mixed = [i / 40 for i in range(1, 40)]
+    assert index(mixed, mixed[::-1]) == 0.0
+    assert index([0.22] * 80, [0.78] * 80) > scores.PSI_MODERATE
+    assert index(mixed, []) is None and index([], mixed) is None
 
 
-def test_small_samples_say_so_and_comparison(spark):
-    small = scores.summarise(pairs(spark, [(0.6, 1)] * 5))
-    assert small.first()["enough"] is False and small.first()["accuracy"] is None
-    reference = scores.summarise(pairs(spark, [(0.7, 1)] * 60 + [(0.7, 0)] * 40))
-    near = scores.summarise(pairs(spark, [(0.7, 1)] * 59 + [(0.7, 0)] * 41))
-    low = scores.summarise(pairs(spark, [(0.7, 1)] * 30 + [(0.7, 0)] * 70))
-    status = lambda live: scores.compare(live, reference).first()["status"]
-    assert (status(near), status(low), status(small)) == ("on-track", "below-baseline", "warming-up")
+def test_drift_words(spark):
+    words = spark.createDataFrame([(None,), (0.02,), (0.19,), (1.3,)], "v double").select(scores.drift_verdict(F.col("v")))
+    assert [r[0] for r in words.collect()] == ["unknown", "stable", "watch", "shifted"]
 
 
 def test_phase_buckets_are_right_closed(spark):
@@ -153,6 +150,11 @@ def test_guarded_upsert_and_results(spark):
     new = spark.createDataFrame([(1, "upcoming", 0.9), (2, "upcoming", 0.8), (3, "upcoming", 0.7)], "game_id long, status string, prob double")
     got = store.upsert(old, new, ["game_id"], keep=("status",), guard=F.col("status") == "upcoming")
     assert {tuple(r) for r in got.collect()} == {(1, "final", 0.6), (2, "upcoming", 0.8), (3, "upcoming", 0.7)}
+    twice = spark.createDataFrame([(3, "b", 0.2), (3, "a", 0.9), (1, "z", 0.1)], new.schema)
+    assert [tuple(r) for r in store.insert_absent(old, twice, ["game_id"], ["prob"]).filter("game_id = 3").collect()] == [(3, "b", 0.2)]
+    assert [tuple(r) for r in store.upsert(old, twice, ["game_id"], order=["prob"]).filter("game_id = 3").collect()] == [(3, "a", 0.9)]
+    sets = {"prob": F.col("_n_prob")}
+    assert store.update_where(old, twice, ["game_id"], F.lit(True), sets).count() == old.count()
     assert {tuple(r) for r in store.insert_absent(old, new, ["game_id"]).collect()} == {(1, "final", 0.6), (2, "upcoming", 0.5), (3, "upcoming", 0.7)}
 
 
