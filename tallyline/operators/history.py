@@ -106,6 +106,12 @@ def last_items(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - (n - 1), F.lit(1)), n)
 
 
+def latest_rows_of_day(df: DataFrame, day_keys: list[str], depth: int = 10) -> DataFrame:
+    """The rows a day's last ``depth`` games leave: what is wider is joined to these alone."""
+    newest = Window.partitionBy(*day_keys).orderBy(F.col("game_id").desc())
+    return df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= depth).drop("_rank")
+
+
 def latest_of_day(df: DataFrame, day_keys: list[str], payload: list[str], depth: int, out: str) -> DataFrame:
     """Per day, its last ``depth`` games by id as an array in order.
 

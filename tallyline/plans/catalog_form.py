@@ -267,7 +267,7 @@ SQL_STARTER = with_views("goalies_v", _STARTER + " SELECT * FROM start_v")
 
 
 def es_attempt_share(spark, folder):
-    return boxes.side_counts(standin.plays(spark, folder), ["game_id", "side"])
+    return boxes.side_counts(standin.play_events(spark, folder), ["game_id", "side"])
 
 
 SQL_ES = with_views(
@@ -312,13 +312,11 @@ def merged_dataset(spark, folder):
     """Every feature of a completed game: both sides, differences, head to head, series."""
     done = history.eligible(standin.games(spark, folder))
     sides = history.team_games(done)
-    rows = boxes.full_history(
-        sides,
-        standin.box_scores(spark, folder),
-        standin.plays(spark, folder),
-        standin.goalie_lines(spark, folder),
-        standin.skater_lines(spark, folder),
-    )
+    # form looks at ten games of a day at most: only those are joined with box scores, plays and players
+    recent = history.latest_rows_of_day(sides, ["team", "game_date"])
+    ids = recent.select("game_id").distinct()
+    tables = (standin.box_scores, standin.play_events, standin.goalie_lines, standin.skater_lines)
+    rows = boxes.full_history(recent, *[t(spark, folder).join(ids, "game_id", "left_semi") for t in tables])
     metrics = tuple(dict.fromkeys((*history.LAST_5, *history.LAST_10, *history.LAST_3, "starting_goalie_id", "starting_goalie_name")))
     days = history.team_days(rows, None, metrics, totals=sides)
     base = matchups.head_to_head(done, matchups.series_state(done), keys_of=done)

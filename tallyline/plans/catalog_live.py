@@ -110,7 +110,7 @@ FLAGS = ("home_skaters", "away_skaters", "home_goalie_on_ice", "away_goalie_on_i
 
 
 def situation_parse(spark, folder):
-    return _long(live.with_situation(standin.plays(spark, folder)), list(FLAGS))
+    return _long(live.with_situation(standin.play_events(spark, folder)), list(FLAGS))
 
 
 SQL_SIT = with_views(
@@ -210,7 +210,7 @@ SELECT game_id, event_index, {rnd("seconds_elapsed / 60.0::DOUBLE", 1)} AS minut
 
 def pbp_event_rollup(spark, folder):
     """Distinct games, events and the truncated median of events per game."""
-    sizes = standin.plays(spark, folder).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = standin.play_events(spark, folder).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(
         F.count(F.lit(1)).alias("games"), F.sum("n").alias("events"), F.floor(F.median("n")).cast("long").alias("events_per_game")
     )

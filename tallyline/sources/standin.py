@@ -77,6 +77,27 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _play_columns() -> dict:
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    kind = F.col("event_type")
+    return {
+        "event_type": F.when(kind == "purchase", "goal")
+        .when(kind == "click", "shot-on-goal")
+        .when(kind == "view", "missed-shot")
+        .when(kind == "error", "penalty")
+        .otherwise("faceoff"),
+        "side": F.when(k % 2 == 0, "home").otherwise("away"),
+        "situation_code": F.when(k % 10 < 2, "1541").when(k % 10 < 4, "1451").otherwise("1551"),
+        "penalty_minutes": F.when(kind == "error", F.when(k % 5 == 0, 5).otherwise(2)).cast("long"),
+    }
+
+
+def play_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The plays without their place in the game, for what counts them in any order."""
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return events.select(F.col("user_id").alias("game_id"), "event_id", "ts", *[c.alias(n) for n, c in _play_columns().items()])
+
+
 def plays(spark: SparkSession, folder: str) -> DataFrame:
     """One row per event; a user's events are the plays of one game."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "props")
@@ -87,23 +108,11 @@ def plays(spark: SparkSession, folder: str) -> DataFrame:
         [F.col("ts"), F.col("event_id")],
         [running_sum("n", F.lit(1))],
     )
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    kind = F.col("event_type")
+    made = _play_columns()
     return numbered.select(
-        F.col("user_id").alias("game_id"),
-        "event_id",
-        "ts",
-        F.col("n").alias("sort_order"),
-        F.when(kind == "purchase", "goal")
-        .when(kind == "click", "shot-on-goal")
-        .when(kind == "view", "missed-shot")
-        .when(kind == "error", "penalty")
-        .otherwise("faceoff")
-        .alias("event_type"),
-        F.when(k % 2 == 0, "home").otherwise("away").alias("side"),
-        F.when(k % 10 < 2, "1541").when(k % 10 < 4, "1451").otherwise("1551").alias("situation_code"),
-        ((F.col("n") - 1) * 40).alias("seconds_elapsed"),
-        F.when(kind == "error", F.when(k % 5 == 0, 5).otherwise(2)).cast("long").alias("penalty_minutes"),
+        F.col("user_id").alias("game_id"), "event_id", "ts", F.col("n").alias("sort_order"), made["event_type"].alias("event_type"),
+        made["side"].alias("side"), made["situation_code"].alias("situation_code"), ((F.col("n") - 1) * 40).alias("seconds_elapsed"),
+        made["penalty_minutes"].alias("penalty_minutes"),
     )
 
 

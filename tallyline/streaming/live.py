@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.contest import NEUTRAL_PRIOR, is_completed
 from ..operators import ratings
-from ..session import scratch_path
+from ..session import remove_folder, scratch_path
 
 WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,9 +29,9 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType, files: s
     return read_stream(spark, folder, schema, files, per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(writer, label: str, spark: SparkSession) -> None:
-    """Run a stream over what is there now, with its progress in the shared folder."""
-    query = writer.option("checkpointLocation", scratch_path(spark, f"progress-{label}")).trigger(availableNow=True).start()
+def run_available(writer, label: str, spark: SparkSession, progress: str | None = None) -> None:
+    """Run a stream over what is there now. A run with the ``progress`` folder of an earlier one goes on where that one ended."""
+    query = writer.option("checkpointLocation", progress or scratch_path(spark, f"progress-{label}")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -171,21 +171,35 @@ def scored_events(spark: SparkSession, events: DataFrame, priors: DataFrame, sco
 # ---- rating catch-up ---------------------------------------------------------------------------------------------
 
 
-def rating_stream(spark: SparkSession, games: DataFrame) -> DataFrame:
+def rating_stream(spark: SparkSession, games: DataFrame, out: str | None = None, progress: str | None = None) -> DataFrame:
     """Keep team states up to date from a stream of games.
 
     Each micro-batch folds its finished games into the states the batch before
     left behind and writes the result under its own number, so a batch that is
-    run again writes the same rows to the same place.
+    run again writes the same rows to the same place. States carry the date
+    their pool is folded up to: a game of that date or before is not folded
+    again, however often it is delivered. Of the versions only the last two
+    are kept. With ``out`` and ``progress`` of an earlier run the stream resumes.
     """
-    out = scratch_path(spark, "ratings")
+    out = out or scratch_path(spark, "ratings")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(f"{out}/batch={batch_id - 1}") if batch_id > 0 else None
         fresh = batch.filter(is_completed(F.col("game_state")))
-        ratings.team_states(fresh, before).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    run_available(games.writeStream.foreachBatch(fold), "ratings", spark)
+        before = None
+        if batch_id > 0:
+            before = spark.read.parquet(f"{out}/batch={batch_id - 1}")
+            known = before.groupBy("pool").agg(F.max("as_of").alias("as_of"))
+            fresh = fresh.join(known, "pool", "left").filter(F.col("as_of").isNull() | (F.col("game_date") > F.col("as_of"))).drop("as_of")
+        dates = fresh.select("pool", F.col("game_date").alias("day"))
+        if before is not None:
+            dates = dates.unionByName(before.select("pool", F.col("as_of").alias("day")))
+        as_of = dates.groupBy("pool").agg(F.max("day").alias("as_of"))
+        states = ratings.team_states(fresh, None if before is None else before.drop("as_of"))
+        states.join(as_of, "pool").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if batch_id > 1:
+            remove_folder(spark, f"{out}/batch={batch_id - 2}")
+
+    run_available(games.writeStream.foreachBatch(fold), "ratings", spark, progress)
     versions = spark.read.parquet(out)
     newest = versions.agg(F.max("batch").alias("batch"))
-    return versions.join(F.broadcast(newest), "batch", "left_semi").drop("batch")  # one row
+    return versions.join(F.broadcast(newest), "batch", "left_semi").drop("batch", "as_of")  # one row
