@@ -1,40 +1,18 @@
-"""What several operators share: shipping the package, appended columns, connected components."""
+"""What several operators share: appended columns, connected components."""
 
 from __future__ import annotations
 
-import os
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import materialise
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per application (Spark serves the archive itself)."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(package)
-    target = os.path.join(SparkFiles.getRootDirectory(), f"{name}_code.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, files in os.walk(package):
-            for file in sorted(files):
-                if file.endswith(".py"):
-                    full = os.path.join(folder, file)
-                    archive.write(full, os.path.join(name, os.path.relpath(full, package)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+from ..session import materialise, remove_folder, ship
 
+__all__ = ["components", "free_name", "remove_folder", "ship", "table", "with_computed"]
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -115,9 +93,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars = pairs.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("component"))
     roots = pairs.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return stars.unionByName(roots.join(stars, "node", "left_anti"))
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a finished intermediate folder wherever it is stored."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
