@@ -149,14 +149,18 @@ def shares(df: DataFrame, p: str, keys: tuple[str, ...], edges: tuple[float, ...
 
 def psi(reference: DataFrame, current: DataFrame, p: str = "p", edges: tuple[float, ...] = PSI_EDGES) -> DataFrame:
     """One row: sizes of both samples and the population stability index, null if either is empty."""
-    tagged = reference.select(F.lit(0).alias("now"), p).unionByName(current.select(F.lit(1).alias("now"), p))
+    return psi_of(reference.select(F.lit(0).alias("now"), p).unionByName(current.select(F.lit(1).alias("now"), p)), p, edges)
+
+
+def psi_of(tagged: DataFrame, p: str = "p", edges: tuple[float, ...] = PSI_EDGES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same for rows tagged 0 (reference) or 1 (current) in ``now``, per key, out of one aggregation."""
     band = band_of(F.col(p), edges)
     now = F.col("now") == 1
     per_band = {}
     for i in range(len(edges) - 1):
         per_band[f"a{i}"] = F.sum(F.when(now & (band == i), 1.0).otherwise(0.0))
         per_band[f"e{i}"] = F.sum(F.when(~now & (band == i), 1.0).otherwise(0.0))
-    counts = tagged.agg(
+    counts = tagged.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(~now, 1).otherwise(0)), F.lit(0)).alias("reference_games"),
         F.coalesce(F.sum(F.when(now, 1).otherwise(0)), F.lit(0)).alias("current_games"),
         F.sum(F.when(~now & band.isNotNull(), 1.0).otherwise(0.0)).alias("ref_in"),
@@ -171,7 +175,7 @@ def psi(reference: DataFrame, current: DataFrame, p: str = "p", edges: tuple[flo
         e = F.greatest(F.coalesce(F.try_divide(f"e{i}", "ref_in"), F.lit(0.0)), floor)
         total = total + (a - e) * F.ln(a / e)
     both = (F.col("reference_games") > 0) & (F.col("current_games") > 0)
-    return counts.select("reference_games", "current_games", F.when(both, round_even(total, 4)).alias("psi"))
+    return counts.select(*keys, "reference_games", "current_games", F.when(both, round_even(total, 4)).alias("psi"))
 
 
 def drift_verdict(value: Column) -> Column:

@@ -100,13 +100,12 @@ def _upcoming(preds):
 
 
 def psi_drift(spark, folder):
-    preds = standin.predictions(spark, folder)
-    out = None
-    for m in MODELS:
-        one = scores.psi(_reference(preds).select(F.col(m).alias("p")), _upcoming(preds).select(F.col(m).alias("p")))
-        one = one.withColumn("verdict", scores.drift_verdict(F.col("psi"))).withColumn("model", F.lit(m))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Stability of every model's probabilities, published seasons against the slate: one read, one aggregation."""
+    done = contest.is_completed(F.col("game_state"))
+    now = F.when(~done, 1).when(F.col("season") <= BASELINE_SEASON, 0)
+    preds = standin.predictions(spark, folder).withColumn("now", now).filter(F.col("now").isNotNull())
+    made = scores.psi_of(scores.to_long(preds, list(MODELS), ["now"]), keys=("model",))
+    return made.withColumn("verdict", scores.drift_verdict(F.col("psi")))
 
 
 def _psi_sql(reference: str, current: str) -> str:
@@ -138,9 +137,9 @@ def drift_report(spark, folder):
 _REPORT = f"""SELECT reference_games, current_games, CASE WHEN reference_games >= 30 AND current_games >= 30 THEN psi END AS psi,
  CASE WHEN reference_games >= 30 AND current_games >= 30 THEN {VERDICT} ELSE 'unknown' END AS verdict,
  current_games < 100 OR reference_games < 30 AS provisional,
- CASE WHEN reference_games < 30 OR current_games < 30 THEN 'needs at least 30 games on both sides'
-      WHEN current_games < 100 THEN 'based on only ' || CAST(current_games AS VARCHAR) || ' games'
-      ELSE 'based on ' || CAST(current_games AS VARCHAR) || ' games' END AS note FROM psi WHERE model = 'p_home'"""
+ CASE WHEN reference_games < 30 OR current_games < 30 THEN 'too few games: 30 are wanted in each sample'
+      WHEN current_games < 100 THEN CAST(current_games AS VARCHAR) || ' current games, a first reading'
+      ELSE CAST(current_games AS VARCHAR) || ' current games' END AS note FROM psi WHERE model = 'p_home'"""
 SQL_DRIFT = with_views("preds_v", ALL_LONG + "," + _psi_sql("ref_v", "up_v") + _REPORT)
 
 
