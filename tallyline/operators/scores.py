@@ -229,6 +229,39 @@ def compare(live: DataFrame, reference: DataFrame, tolerance: float = TOLERANCE)
     return both.select("live_games", "ref_games", "live_accuracy", "ref_accuracy", delta.alias("delta"), status.alias("status"))
 
 
+def monitoring(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """The monitoring report as one row, out of rows tagged ``ref``, ``live`` or ``slate`` in ``section`` (with ``p`` and ``y``).
+
+    Three keyed aggregations make scores, calibration and drift; the current
+    sample of the drift is the slate, or the live games where there is none.
+    """
+    scored = score(rows, "p", "y", ("section",)).join(
+        calibration_error(reliability_curve(rows, keys=("section",)), ("section",)), "section"
+    )
+    shown = ("games", "accuracy", "log_loss", "ece")
+    one = scored.agg(*[F.max(F.when(F.col("section") == s, F.col(c))).alias(f"{s}_{c}") for s in ("ref", "live") for c in shown])
+    beside = F.when(F.col("section") == "ref", F.array(F.lit("slate"), F.lit("live"))).otherwise(F.array("section"))
+    drift = psi_of(rows.select(F.explode(beside).alias("beside"), (F.col("section") != "ref").cast("int").alias("now"), "p"), keys=("beside",))
+    rank = F.when((F.col("beside") == "slate") & (F.col("current_games") > 0), 2).when(F.col("beside") == "live", 1).otherwise(0)
+    drift = drift.agg(F.max_by(F.struct("psi", "current_games", "reference_games"), rank).alias("drift"))
+    # two rows that know one half each
+    both = one.unionByName(drift, allowMissingColumns=True)
+    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    games = {s: F.coalesce(f"{s}_games", F.lit(0)) for s in ("ref", "live")}
+    seen = lambda s, c: F.when(games[s] >= MIN_SAMPLE, F.col(f"{s}_{c}"))
+    delta = round_even(seen("live", "accuracy") - seen("ref", "accuracy"), 1)
+    status = F.when(delta.isNull(), "warming-up").when(delta < -tolerance, "below-baseline").when(delta > tolerance, "above-baseline").otherwise("on-track")
+    now, then = F.col("drift.current_games"), F.col("drift.reference_games")
+    value = F.when((now >= MIN_SAMPLE) & (then >= MIN_SAMPLE), F.col("drift.psi"))
+    return row.select(
+        games["live"].alias("live_games"), games["ref"].alias("ref_games"), seen("live", "accuracy").alias("live_accuracy"),
+        seen("ref", "accuracy").alias("ref_accuracy"), delta.alias("delta"), status.alias("status"),
+        *[seen(s, c).alias(f"{s}_{c}") for s in ("ref", "live") for c in ("ece", "log_loss")],
+        value.alias("psi"), drift_verdict(value).alias("drift_verdict"), ((now < DRIFT_CONFIDENT) | (then < MIN_SAMPLE)).alias("provisional"),
+        now.alias("drift_games"),
+    )
+
+
 def season_scorecard(df: DataFrame, p: str = "p_home", y: str = "y") -> DataFrame:
     """Scores per season and over all seasons (``ALL``), with mean, spread and the home rate."""
     prob, out = F.col(p), F.col(y)

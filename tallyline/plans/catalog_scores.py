@@ -145,23 +145,12 @@ SQL_DRIFT = with_views("preds_v", ALL_LONG + "," + _psi_sql("ref_v", "up_v") + _
 
 def monitoring_summary(spark, folder):
     """Reference, live and drift sections of the monitoring report as one row; the slate falls back to live games."""
-    preds = standin.predictions(spark, folder).withColumn("p", F.col("p_home"))
+    preds = standin.predictions(spark, folder)
     done = contest.is_completed(F.col("game_state"))
-    first = preds.filter(done).agg(F.min("season").alias("baseline_season"))
-    ref = preds.filter(done & (F.col("season") <= first.scalar()))
-    live = preds.filter(done & (F.col("season") > first.scalar()))
-    slate = preds.filter(~done)
-    no_slate = slate.agg(F.count(F.lit(1)) == 0).scalar()
-    current = slate.select("p").unionByName(live.select("p").filter(no_slate))
-    reference_sum, live_sum = scores.summarise(ref), scores.summarise(live)
-    compared = scores.compare(live_sum, reference_sum)
-    drift = scores.drift_report(ref.select("p"), current).select(
-        F.col("psi"), F.col("verdict").alias("drift_verdict"), "provisional", F.col("current_games").alias("drift_games")
-    )
-    eces = reference_sum.select(F.col("ece").alias("ref_ece"), F.col("log_loss").alias("ref_log_loss")).join(
-        F.broadcast(live_sum.select(F.col("ece").alias("live_ece"), F.col("log_loss").alias("live_log_loss")))
-    )
-    return first.join(F.broadcast(compared)).join(F.broadcast(eces)).join(F.broadcast(drift))
+    first = preds.filter(done).agg(F.min("season").alias("baseline_season")).scalar()
+    section = F.when(~done, "slate").when(F.col("season") <= first, "ref").otherwise("live")
+    rows = preds.select(section.alias("section"), F.col("p_home").alias("p"), "y")
+    return scores.monitoring(rows).select(first.alias("baseline_season"), "*")
 
 
 SQL_MONITOR = with_views(
