@@ -65,7 +65,8 @@ def leaderboard(settled: DataFrame, key: str = "user_id") -> DataFrame:
     The rank runs over all members; it is taken in blocks of equal points and
     right picks and ranges of ids, not in one task.
     """
-    rows = settled.filter(F.col("is_correct").isNotNull())
+    # sums, latest misses and streaks read this one exchange; a member's picks are spread over id ranges
+    rows = settled.filter(F.col("is_correct").isNotNull()).repartition(F.col(key), id_block("game_id"))
     sums = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_picks"), F.sum("is_correct").alias("correct_picks"), F.sum("points").alias("points")
     )
@@ -91,10 +92,13 @@ def results_page(preds: DataFrame, only: str = "all", page: int = 1, size: int =
         "missed": ~F.col("model_was_right"),
         "playoffs": F.col("game_type") == PLAYOFF,
     }[only]
-    rows = rows.filter(chosen)
-    pages = max(1, -(-rows.count() // size))
-    at = min(max(1, page), pages)
-    return rows.orderBy(F.col("game_date").desc(), F.col("game_id").desc()).offset((at - 1) * size).limit(size)
+    newest = [F.col("game_date").desc(), F.col("game_id").desc()]
+    levels = {"day": -F.unix_date("game_date"), "ids": -id_block("game_id")}
+    # places are numbered in blocks, so a deep page is as cheap as the first
+    numbered = blocked(rows.filter(chosen), [], levels, newest, [running_sum("_place", F.lit(1))])
+    pages = F.ceil(numbered.agg(F.max("_place").alias("n")).scalar() / size)
+    first = (F.greatest(F.lit(1), F.least(F.lit(page), pages)) - 1) * size
+    return numbered.filter((F.col("_place") > first) & (F.col("_place") <= first + size)).orderBy(*newest).drop("_place")
 
 
 def graded(preds: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def plays(spark: SparkSession, folder: str) -> DataFrame:
     numbered = blocked(
         events,
         ["user_id"],
-        {"day": F.to_date("ts"), "minute": F.hour("ts") * 60 + F.minute("ts")},
+        {"minute": F.floor(F.col("ts").cast("timestamp").cast("long") / 60)},
         [F.col("ts"), F.col("event_id")],
         [running_sum("n", F.lit(1))],
     )
