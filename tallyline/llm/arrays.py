@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # bytes of text that are worked on at a time; a longer text is a slice of its own
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,19 +47,20 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes each, or of one row."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes and ``rows`` rows each, or of one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(j, i + rows)
         yield i, j
         i = j
 
 
-def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(i, j, bytes, offsets)`` of rows ``i`` to ``j``."""
     buf, offsets = text_buffer(column)
-    for i, j in slices(offsets, most):
+    for i, j in slices(offsets, most, rows):
         yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 

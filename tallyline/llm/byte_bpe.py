@@ -3,8 +3,10 @@
 1. *Words and positions.* Texts are cut into pre-tokens by the public pattern.
    A task numbers the distinct pre-tokens of a block of text (up to
    ``BLOCK_BYTES``) and keeps each document as the list of those numbers, by
-   position. Blocks are written once to the shared folder, so what follows
-   never depends on how a lost task is run again.
+   position. Words and documents of the blocks come from two passes over the
+   texts, because keeping the documents in between would store the corpus
+   twice; both passes sign their blocks, and a block whose signatures differ
+   (an input whose rows come in another order each time) raises an error.
 2. *Distinct words.* The blocks' word lists are shuffled by word hash. A word is
    merged to ids once, whatever the number of blocks that have it; a word's
    group has a row per block, not per occurrence.
@@ -26,6 +28,7 @@ table gives no rows. A very long text is a block of its own.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,20 +41,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
 from .arrays import mix, ragged, span_hashes, text_slices
 from .chunks import pack, split_by, unpack
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 24 << 20
-_WORK = 1 << 21
+BLOCK_BYTES = 12 << 20
+_WORK = 1 << 20
 
-DOCUMENT, WORDS = 0, 1
+DOCUMENT, WORDS, SIGNATURE = 0, 1, 2
 BLOCKS = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()),
-    T.StructField("numbers", T.BinaryType()), T.StructField("words", T.BinaryType()),
+    T.StructField("signature", T.LongType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.BinaryType()),
 ])
-REPLIES = T.StructType([T.StructField("block", T.LongType()), T.StructField("numbers", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+REPLIES = T.StructType([T.StructField("block", T.LongType()), T.StructField("signature", T.LongType()), T.StructField("numbers", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 # no byte of UTF-8 text
 _BETWEEN = b"\xff"
@@ -113,8 +115,10 @@ class Numbering:
         return [numbers[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _blocks(pattern: str, n_buckets: int):
-    def rows(block: int, numbering: Numbering) -> Iterator[tuple]:
+def _blocks(pattern: str, n_buckets: int, wanted: int):
+    """Rows of one kind: the blocks' words by bucket (``WORDS``), or their documents and signatures (``DOCUMENT``)."""
+
+    def words_of(block: int, signature: int, numbering: Numbering) -> Iterator[tuple]:
         words = list(numbering.number)
         if not words:
             return
@@ -124,26 +128,33 @@ def _blocks(pattern: str, n_buckets: int):
         home = (mix(span_hashes(buf, ends - size, ends)) % np.uint64(n_buckets)).astype(np.int64)
         for bucket, mine in split_by(home, n_buckets):
             mine = np.array(sorted(mine.tolist(), key=words.__getitem__))
-            yield block, WORDS, bucket, pack(mine.astype(np.uint32)), _compress(_BETWEEN.join([words[i] for i in mine.tolist()]))
+            yield block, WORDS, bucket, signature, pack(mine.astype(np.uint32)), _compress(_BETWEEN.join([words[i] for i in mine.tolist()]))
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found, strict=True), kinds, strict=True)], names=BLOCKS.names)
 
+    def closed(block: int, signature: int, numbering: Numbering) -> list[tuple]:
+        if wanted == WORDS:
+            return list(words_of(block, signature, numbering))
+        return [(block, SIGNATURE, None, signature, None, None)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        numbering, held = Numbering(pattern), 0
+        numbering, held, signature = Numbering(pattern), 0, 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, j, buf, offsets in text_slices(batch.column(1), _WORK):
                 if held and held + len(buf) > BLOCK_BYTES:
-                    if found := list(rows(block, numbering)):
+                    if found := closed(block, signature, numbering):
                         yield batch_of(found)
-                    block, numbering, held = block + 1, Numbering(pattern), 0
+                    block, numbering, held, signature = block + 1, Numbering(pattern), 0, 0
                 held += len(buf)
+                signature = zlib.crc32(buf, zlib.crc32(offsets, signature))
                 documents = numbering.documents(buf, offsets)
-                yield batch_of([(block, DOCUMENT, ids[i + r], pack(d), None) for r, d in enumerate(documents)])
-        if found := list(rows(block, numbering)):
+                if wanted == DOCUMENT:
+                    yield batch_of([(block, DOCUMENT, ids[i + r], None, pack(d), None) for r, d in enumerate(documents)])
+        if found := closed(block, signature, numbering):
             yield batch_of(found)
 
     return run
@@ -169,7 +180,7 @@ def _encode_words(path: str):
             sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
             flat = np.fromiter((t for x in lists for t in x), np.uint32, int(sizes.sum()))
             replies.append(_two(sizes, flat))
-        return pa.Table.from_arrays([table.column("block"), table.column("numbers"), pa.chunked_array([pa.array(replies, pa.binary())])], names=REPLIES.names)
+        return pa.Table.from_arrays([table.column("block"), table.column("signature"), table.column("numbers"), pa.chunked_array([pa.array(replies, pa.binary())])], names=REPLIES.names)
 
     return run
 
@@ -196,8 +207,14 @@ def _merger(path: str):
 
 def _reassemble(docs: pa.Table, replies: pa.Table) -> pa.Table:
     """Documents of a block: word numbers replaced by the words' ids, in place."""
-    n = docs.num_rows
-    lengths = np.zeros(n, np.int64)
+    kind = docs.column("kind").to_numpy()
+    if not len(kind):
+        return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=ENCODED.names)
+    signed = set(docs.column("signature").drop_null().to_pylist())
+    if len(signed) != 1 or not signed.issuperset(replies.column("signature").to_pylist()):
+        raise ValueError("the input's rows came in another order when read again; write it before encoding")
+    docs = docs.filter(pa.array(kind == DOCUMENT))
+    lengths = np.zeros(docs.num_rows, np.int64)
     flats = []
     if replies.num_rows:
         numbers = np.concatenate([unpack(b, "<u4")[0] for b in replies.column("numbers").to_pylist()]).astype(np.int64)
@@ -223,10 +240,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path(VOCABULARY)
     n_buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = materialise(slim.mapInArrow(_blocks(pattern, n_buckets), BLOCKS), "word-blocks")
-    words = blocks.filter(F.col("kind") == WORDS).select("block", "key", "numbers", "words")
+    words = slim.mapInArrow(_blocks(pattern, n_buckets, WORDS), BLOCKS)
     replies = words.groupBy("key").applyInArrow(_encode_words(path), REPLIES)
-    documents = blocks.filter(F.col("kind") == DOCUMENT).select("block", "key", "numbers")
+    documents = slim.mapInArrow(_blocks(pattern, n_buckets, DOCUMENT), BLOCKS).select("block", "kind", "key", "signature", "numbers")
     return documents.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_reassemble, ENCODED)
 
 
