@@ -41,6 +41,10 @@ THRESHOLD = 0.7
 SHAPES = 4096
 BINS = 16
 TERMS = SHAPES + 2 * BINS
+# texts whose dense term counts are held at a time
+ROWS = 256
+# a label value may hold most rows: its sample is drawn from shares first
+SHARES = 64
 
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate(
@@ -133,15 +137,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     """Fit on at most ``per_label`` labelled rows of each value (0 and 1) that are not held out."""
     known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_label"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id"))
-    nth = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = known.withColumn("_nth", nth).filter(F.col("_nth") <= per_label).select("_id", "_label")
+    order = (F.xxhash64("_id"), F.col("_id"))
+    share = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARES))
+    chosen = known.withColumn("_share", share)
+    for keys in (["_label", "_share"], ["_label"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("_nth", nth).filter(F.col("_nth") <= per_label)
+    chosen = chosen.select("_id", "_label")
     slim = docs.select(F.col(doc_id).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
     # at most 2 * per_label rows are broadcast
     sample = slim.join(F.broadcast(chosen), slim["_key"] == chosen["_id"]).select("_id", "_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, offsets in text_slices(batch.column(2)):
+            for i, j, buf, offsets in text_slices(batch.column(2), rows=ROWS):
                 rows = term_counts(buf, offsets)
                 packed = [r.astype("<f4").tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["id", "label", "terms"])
@@ -156,7 +165,7 @@ def scorer(model: Callable[[], Model | None]) -> Callable[[pa.Array], dict[str,
     def compute(column: pa.Array) -> dict[str, object]:
         fitted = model()
         score = np.zeros(len(column))
-        for i, j, buf, offsets in text_slices(column, 1 << 20):
+        for i, j, buf, offsets in text_slices(column, rows=ROWS):
             score[i:j] = 0.5 if fitted is None else fitted.score(term_counts(buf, offsets))
         score = np.clip(score, 0, 1)
         return {"score": score, "predicted": (score >= THRESHOLD).astype(np.int32)}
