@@ -249,3 +249,18 @@ def test_stream_puts_late_plays_in_place(spark, tmp_path):
     row = streams.latest_game_states(spark, stream).first()
     assert (row["event_index"], row["event_id"]) == (4, 4)
     assert (row["home_score"], row["away_score"], row["home_penalty_minutes"], row["home_sog"]) == (1, 1, 2, 2)
+
+
+def test_games_delivered_again_are_not_counted_and_a_second_run_adds_nothing(spark, tmp_path):
+    rows = some_games(60)
+    for i, part in enumerate((rows[:40], rows[20:])):
+        spark.createDataFrame(part, GAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={i}"))
+    folders = str(tmp_path / "states"), str(tmp_path / "progress")
+
+    def run():
+        stream = streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], GAMES).schema, per_trigger=1)
+        return {r["team"]: r["elo"] for r in streams.rating_stream(spark, stream, *folders).collect()}
+
+    want = {r["team"]: r["elo"] for r in ratings.team_states(spark.createDataFrame(rows, GAMES)).collect()}
+    assert run() == pytest.approx(want, abs=1e-9)
+    assert run() == pytest.approx(want, abs=1e-9)
