@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import text_slices
-from .quality_knn import held_out
+from .quality_knn import SHARES, held_out
 from .shared import with_computed
 
 SAMPLE_DOCS = 256
@@ -157,10 +157,12 @@ def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
     share = SAMPLE_BYTES // SAMPLE_DOCS
     known = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & (F.length("_text") > 0) & ~held_out("_id"))
-    # each task passes on at most SAMPLE_DOCS rows per language
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    slim = known.select("_lang", "_id", F.substring("_text", 1, share).alias("_head"))
-    chosen = slim.withColumn("_nth", nth).filter(F.col("_nth") <= SAMPLE_DOCS)
+    # a language may hold most rows: the sample is drawn from shares of it first
+    part = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARES))
+    chosen = known.select("_lang", "_id", F.substring("_text", 1, share).alias("_head"), part.alias("_share"))
+    for keys in (["_lang", "_share"], ["_lang"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id"))
+        chosen = chosen.withColumn("_nth", nth).filter(F.col("_nth") <= SAMPLE_DOCS)
     samples: dict[str, list[bytes]] = {}
     for row in chosen.orderBy("_lang", "_nth").collect():
         samples.setdefault(row["_lang"], []).append(row["_head"].lower().encode()[:share])
