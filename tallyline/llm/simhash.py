@@ -45,6 +45,8 @@ SEED = 42
 MOST_BITS = 4
 # keys that one reducing task holds at a time
 BUCKET_KEYS = 1 << 21
+# fingerprints that one task makes keys of
+SPREAD = 1 << 14
 # a group of equal keys up to this size is compared by shifting; larger ones in blocks
 SHIFTED = 24
 BLOCK = 1024
@@ -257,8 +259,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     known = distinct.filter("doc is not null")
     n = known.count()
     n_buckets = max(1, -(-n * 190 // BUCKET_KEYS))
-    # fingerprints are few bytes: spread them, as making keys is what costs
-    spread = known.repartition("fp")
+    # fingerprints are few bytes and their keys are many: they are spread by number, not by size
+    spread = known.repartition(-(-n // SPREAD) or 1, "fp")
     packed = spread.select("fp", "doc").mapInArrow(_emit_keys(n_buckets), _PACKED)
     links = packed.groupBy("bucket").applyInArrow(_reduce, _LINKS)
     stars = components(links)
