@@ -41,7 +41,8 @@ class Running:
     """One running value, the current row included.
 
     ``kind`` is ``sum`` or ``max`` (of ``value``), ``last`` (latest non-null
-    ``value``) or ``lag`` (``value`` of the row before, which may be null).
+    ``value``), ``max_before`` (of all earlier rows only) or ``lag`` (``value``
+    of the row before, which may be null).
     """
 
     name: str
@@ -57,8 +58,8 @@ def running_last(name: str, value: Column) -> Running:
     return Running(name, "last", value)
 
 
-def running_max(name: str, value: Column) -> Running:
-    return Running(name, "max", value)
+def running_max_before(name: str, value: Column) -> Running:
+    return Running(name, "max_before", value)
 
 
 def running_lag(name: str, value: Column) -> Running:
@@ -68,6 +69,8 @@ def running_lag(name: str, value: Column) -> Running:
 def _over(r: Running, window: WindowSpec) -> Column:
     if r.kind == "lag":
         return F.lag(r.value).over(window)
+    if r.kind == "max_before":
+        return F.max(r.value).over(window.rowsBetween(Window.unboundedPreceding, -1))
     frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}[r.kind]
     return made(r.value).over(frame)
@@ -99,7 +102,7 @@ def blocked(
     rows = rows.repartition(*[F.col(n) for n in grain])
 
     def seed(r: Running) -> Column:
-        if r.kind in ("sum", "max"):
+        if r.kind in ("sum", "max", "max_before"):
             return F.sum(r.value) if r.kind == "sum" else F.max(r.value)
         # the latest value of a block is the largest (order, value) pair
         pair = F.struct(*_positions(order), r.value.alias("v"))
@@ -140,7 +143,7 @@ def blocked(
         start = F.col(f"_s_{r.name}")
         if r.kind == "sum":
             value = F.coalesce(start, F.lit(0)) + _over(r, inside)
-        elif r.kind == "max":
+        elif r.kind in ("max", "max_before"):
             value = F.greatest(start, _over(r, inside))
         elif r.kind == "last":
             value = F.coalesce(_over(r, inside), start["v"])
@@ -149,7 +152,8 @@ def blocked(
             before = F.lag(F.struct(r.value.alias("v"))).over(inside)
             value = F.when(before.isNotNull(), before["v"]).otherwise(start["v"])
         out.append(value.alias(r.name))
-    return joined.select(*[rows[c] for c in df.columns], *out)
+    # the starts have names of their own, so columns are picked by name
+    return joined.select(*df.columns, *out)
 
 
 def _positions(order: Sequence[Column]) -> list[Column]:
