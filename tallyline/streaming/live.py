@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from ..functions.contest import NEUTRAL_PRIOR, is_completed
 from ..operators import ratings
 from ..session import remove_folder, scratch_path
 
+# the driver's streaming runner is a process of its own that has no shipped files: the processor goes to it by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
