@@ -6,8 +6,9 @@ longest phrases found there; where the next byte cannot continue, a new phrase
 starts. Phrases times log2(sample length), per byte, estimate the entropy of
 the text under that language; the smallest wins.
 
-The automata become dense tables (state by byte class), and many stretches of
-text walk through a table in lockstep, one gather per byte. Stretches are
+The automata become dense tables (state by byte class; every byte value that
+occurs in a language's sample has a class of its own there), and many stretches
+of text walk through a table in lockstep, two gathers per byte. Stretches are
 ``STRETCH`` bytes, so whole texts are parsed, in parallel; a cut adds at most
 one phrase, for every language alike.
 
@@ -39,7 +40,7 @@ from .shared import with_computed
 SAMPLE_DOCS = 256
 SAMPLE_BYTES = 32_768
 STRETCH = 256
-CLASSES = 64
+PAD = 256  # beyond the byte values: fills short stretches
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 # the upper two bits of an entry count the phrases that end at this byte
@@ -80,6 +81,15 @@ def automaton(text: bytes) -> list[dict[int, int]]:
     return following
 
 
+def byte_classes(sample: bytes) -> tuple[np.ndarray, int]:
+    """The class of each byte value and of ``PAD``, and their number: 0 pads, 1 is any byte that the sample lacks."""
+    own = np.unique(np.frombuffer(sample, np.uint8))
+    class_of = np.ones(PAD + 1, np.uint32)
+    class_of[own] = np.arange(2, 2 + len(own))
+    class_of[PAD] = 0
+    return class_of, 2 + len(own)
+
+
 def dense_table(following: list[dict[int, int]], class_of: np.ndarray, n_classes: int) -> np.ndarray:
     """Flat table of next offsets (state * classes), with the number of phrases that end in the upper bits.
 
@@ -89,22 +99,20 @@ def dense_table(following: list[dict[int, int]], class_of: np.ndarray, n_classes
     """
     start = np.zeros(n_classes, np.uint32)
     for byte, to in following[0].items():
-        if class_of[byte] > 1:
-            start[class_of[byte]] = to * n_classes
+        start[class_of[byte]] = to * n_classes
     table = np.tile(np.where(start > 0, start | _ONE, 2 * _ONE).astype(np.uint32), (len(following), 1))
     table[0] = np.where(start > 0, start, _ONE)
     table[:, 0] = np.arange(len(following), dtype=np.uint32) * n_classes
     for state, row in enumerate(following):
         for byte, to in row.items():
-            if class_of[byte] > 1:
-                table[state, class_of[byte]] = to * n_classes
+            table[state, class_of[byte]] = to * n_classes
     return table.ravel()
 
 
 @dataclass
 class Model:
     languages: list[str]
-    class_of: np.ndarray
+    classes: list[np.ndarray]
     tables: list[np.ndarray]
     bits: list[float]
 
@@ -114,13 +122,13 @@ def fit_model(samples: dict[str, bytes]) -> Model | None:
     samples = {k: v for k, v in samples.items() if v}
     if not samples:
         return None
-    seen = np.bincount(np.frombuffer(b"".join(samples.values()), np.uint8), minlength=256)
-    class_of = np.ones(256, np.int64)
-    own = [b for b in np.argsort(-seen, kind="stable")[: CLASSES - 2] if seen[b]]
-    class_of[own] = np.arange(2, 2 + len(own))
     languages = sorted(samples)
-    tables = [dense_table(automaton(samples[k]), class_of, CLASSES) for k in languages]
-    return Model(languages, class_of.astype(np.uint32), tables, [float(np.log2(len(samples[k]) + 1)) for k in languages])
+    classes, tables = [], []
+    for k in languages:
+        class_of, n_classes = byte_classes(samples[k])
+        classes.append(class_of)
+        tables.append(dense_table(automaton(samples[k]), class_of, n_classes))
+    return Model(languages, classes, tables, [float(np.log2(len(samples[k]) + 1)) for k in languages])
 
 
 def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -134,14 +142,15 @@ def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, len(model.languages)), np.int64)
     # lanes of like length together, so that short texts don't pad to a full stretch
     order = np.argsort(lane_length, kind="stable")
-    classes = np.append(model.class_of[buf], np.zeros(STRETCH, np.uint32))
+    padded = np.append(buf.astype(np.uint16), np.full(STRETCH, PAD, np.uint16))
     for at in range(0, len(order), 4096):
         part = order[at : at + 4096]
         steps = int(lane_length[part].max())
         grid = np.arange(steps)[:, None]
-        codes = classes[lane_start[part][None, :] + grid]
-        codes[grid >= lane_length[part][None, :]] = 0
-        for k, table in enumerate(model.tables):
+        values = padded[lane_start[part][None, :] + grid]
+        values[grid >= lane_length[part][None, :]] = PAD
+        for k, (class_of, table) in enumerate(zip(model.classes, model.tables, strict=True)):
+            codes = class_of[values]
             state = np.zeros(len(part), np.uint32)
             ended = np.zeros(len(part), np.uint32)
             for step in range(steps):
