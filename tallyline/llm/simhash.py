@@ -17,7 +17,8 @@ differs and none in more than two. Hence two kinds of keys:
 
 Every pair within four bits shares a key. Rows with equal keys meet, and each
 meeting is verified on the full fingerprints; what is linked goes to
-connected components over document ids.
+connected components over fingerprints. A component's name is looked up
+afterwards, so neither null nor repeated document ids play a part in it.
 
 Fingerprints are made distinct first, so a group of identical texts is one
 row. Inside a key no pairs are emitted for large groups, only the links of a
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .arrays import mix
-from .shared import components, with_computed
+from .shared import components, free_name, with_computed
 
 SHINGLE = 4
 SEED = 42
@@ -165,14 +166,13 @@ def _emit_keys(n_buckets: int):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 fp = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                doc = part.column(1).to_numpy(zero_copy_only=False)
                 key, row = fuzzy_keys(fp)
                 home = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.lexsort((key, home))
                 key, row, home = key[order], row[order], home[order]
                 cuts = np.flatnonzero(np.diff(home, prepend=-1))
                 ends = np.append(cuts[1:], len(home))
-                blobs = [zip_.compress(key[a:b].tobytes() + fp[row[a:b]].tobytes() + doc[row[a:b]].tobytes()) for a, b in zip(cuts, ends, strict=True)]
+                blobs = [zip_.compress(key[a:b].tobytes() + fp[row[a:b]].tobytes()) for a, b in zip(cuts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(home[cuts]), pa.array((ends - cuts).astype(np.int32)), pa.array(blobs, pa.binary())], names=_PACKED.names
                 )
@@ -232,9 +232,9 @@ def links_of(key: np.ndarray, fp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
 
 
 def _reduce(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint64).reshape(3, -1) for b in table.column("packed").to_pylist()]
+    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint64).reshape(2, -1) for b in table.column("packed").to_pylist()]
     whole = np.concatenate(parts, axis=1)
-    a, b = links_of(whole[0], whole[1], whole[2].view(np.int64))
+    a, b = links_of(whole[0], whole[1], whole[1].view(np.int64))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -245,33 +245,52 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return made.select("doc_id", F.col(names["fp"]).alias("fp"))
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """``(_fp, _group, component_id)`` per distinct fingerprint: its component and the least document id in it."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
+    n = distinct.count()
+    n_buckets = max(1, -(-n * 190 // BUCKET_KEYS))
+    # fingerprints are few bytes and their keys are many: they are spread by number, not by size
+    spread = distinct.select("fp").repartition(-(-n // SPREAD) or 1, "fp")
+    packed = spread.mapInArrow(_emit_keys(n_buckets), _PACKED)
+    links = packed.groupBy("bucket").applyInArrow(_reduce, _LINKS)
+    stars = components(links)
+    members = distinct.join(stars, distinct["fp"] == stars["node"], "left").select(
+        F.col("fp").alias("_fp"), "doc", F.coalesce("component", "fp").alias("_group")
+    )
+    members = materialise(members, "members")
+    # written, so that the join below can split a large component
+    names = materialise(members.groupBy(F.col("_group").alias("_named")).agg(F.min("doc").alias("component_id")), "component-names")
+    return members.join(names, members["_group"] == names["_named"]).select("_fp", "_group", "component_id")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` per row of ``docs``.
 
     ``component_id`` is the smallest document id reachable by links of at most
     four differing bits, the row's own included. Rows that repeat a document id
-    each get a row. A null document id is never a component's name; a component
-    of such rows alone has a null one. An empty table gives an empty result.
+    each get a row; different texts under one id are not linked by it. A null
+    document id is never a component's name; a component of such rows alone has
+    a null one. An empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    distinct = materialise(distinct, "distinct-fingerprints")
-    known = distinct.filter("doc is not null")
-    n = known.count()
-    n_buckets = max(1, -(-n * 190 // BUCKET_KEYS))
-    # fingerprints are few bytes and their keys are many: they are spread by number, not by size
-    spread = known.repartition(-(-n // SPREAD) or 1, "fp")
-    packed = spread.select("fp", "doc").mapInArrow(_emit_keys(n_buckets), _PACKED)
-    links = packed.groupBy("bucket").applyInArrow(_reduce, _LINKS)
-    stars = components(links)
-    named = distinct.join(stars, distinct["doc"] == stars["node"], "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "doc").alias("component_id")
-    )
+    named = _named(prints)
     return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group; of rows that repeat that id, one."""
-    groups = near_groups(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(groups, docs[doc_id].cast("long") == groups["_keep"], "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """One row of each group of near copies: the first by (``doc_id``, ``text``), nulls last.
+
+    A row whose document id is null stays where its group has no other id, and
+    different texts under one id stay where they are no near copies.
+    """
+    named = _named(materialise(fingerprints(docs, doc_id, text), "fingerprints"))
+    made, names = with_computed(docs, [text], {"fp": T.LongType()}, _fingerprints)
+    fp, group, first = names["fp"], free_name("_group", made.columns), free_name("_first", made.columns)
+    row = free_name("_row", made.columns)
+    named = named.select(F.col("_fp"), F.col("_group").alias(group), F.col("component_id").alias(first))
+    # at most the rows that repeat the first id of a group are left to choose from
+    firsts = made.join(named, (made[fp] == named["_fp"]) & made[doc_id].cast("long").eqNullSafe(named[first]))
+    whole = F.struct(*[made[c] for c in docs.columns])
+    order = F.struct(made[text].isNull(), made[text].cast("string"))
+    return firsts.groupBy(group).agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from tallyline.llm import langid
+from tallyline.llm import langid, simhash
+from tallyline.llm.shared import ship
 
 CYRILLIC = "съешь же ещё этих мягких французских булок да выпей чаю"
 CJK = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
@@ -29,3 +30,20 @@ def test_every_byte_of_a_rare_language_is_learned():
         raw = text.encode()
         got = langid.phrases(model, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
         assert got == [longest_matches(raw, samples[k]) for k in model.languages], text
+
+def test_keep_one_keeps_null_ids_and_different_texts_under_one_id(spark):
+    ship(spark)
+    texts = [" ".join(f"{w}{i}x{j}" for j in range(40)) for i, w in enumerate(("ash", "oak", "elm", "fir", "yew"))]
+    rows = [(None, texts[0], "a"), (7, texts[1], "b"), (7, texts[2], "c"), (None, texts[3], "d"), (9, texts[3], "e"), (8, texts[3], "f"), (None, texts[4], "g"), (None, texts[4], "g")]
+    frame = spark.createDataFrame([*rows, (5, None, "h"), (5, "", "i"), (None, " ", "j")], "doc_id long, text string, _fp string")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    want = [(None, texts[0], "a"), (7, texts[1], "b"), (7, texts[2], "c"), (8, texts[3], "f"), (None, texts[4], "g"), (5, "", "i")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_null_id_near_copy_is_named_after_a_reachable_id(spark):
+    ship(spark)
+    frame = spark.createDataFrame([(None, "one and the same text"), (4, "One and the  same text"), (None, "nobody's copy")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in simhash.near_groups(frame).select("doc_id", "component_id").collect()), key=str)
+    assert got == [(4, 4), (None, 4), (None, None)]
