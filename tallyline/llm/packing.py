@@ -14,12 +14,16 @@ Ranks within a length are numbered in parallel: hashed shards number their own
 rows, and a small sum over (length, shard) counts gives each shard its start.
 
 Text is tokenised slice by slice. Distinct space-delimited words of a slice
-are found by hashing, encoded once each, and gathered back by position.
+are found by hashing, encoded once each, and gathered back by position. With
+``added_tokens`` (as the registered query and the pipeline ask for) the added
+tokens of the vocabulary file stand for themselves in a text, as they do in the
+library by default; without, their letters are text like any other.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +31,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,15 +67,27 @@ class WordEncoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.path = path
+        self.unmodified: Tokenizer | None = None
+        self.added = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.merger = self._merger(vocabulary)
-        import re
-
         # the pattern of the file, for lower-case ASCII
         self.split = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.plain = re.compile(rb"[!-~]+")
-        self.special = re.compile(rb"<\|")
+
+    def holds_added(self, column: pa.Array) -> list[bool]:
+        """Which texts hold an added token, be it inside a word."""
+        if not self.added:
+            return [False] * len(column)
+        return pc.fill_null(pc.match_substring_regex(column.cast(pa.large_string()), self.added), False).to_pylist()
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        """Ids of a text by the library as it is, added tokens included."""
+        if self.unmodified is None:
+            self.unmodified = Tokenizer.from_file(self.path)
+        return np.array(self.unmodified.encode(text, add_special_tokens=False).ids, np.uint32)
 
     @staticmethod
     def _merger(vocabulary: dict[str, int]) -> tiktoken.Encoding:
@@ -121,9 +138,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def token_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
-    """``(row, ids)`` of each text, without an end mark; null is empty."""
-    encode = encoder(path).encode
+def token_ids(column: pa.Array, path: str, added_tokens: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """``(row, ids)`` of each text, without an end mark; null is empty. ``added_tokens``: see the module."""
+    made = encoder(path)
+    encode = made.encode
+    whole = made.holds_added(column) if added_tokens else [False] * len(column)
     for i, _, buf, offsets in text_slices(column):
         starts, ends, first = words(buf, offsets)
         raw = buf.tobytes()
@@ -138,10 +157,12 @@ def token_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
         np.cumsum(counts, out=bound[1:])
         cut = bound[first]
         for r in range(len(offsets) - 1):
-            yield i + r, ids[cut[r] : cut[r + 1]]
+            yield i + r, made.encode_whole(column[i + r].as_py()) if whole[i + r] else ids[cut[r] : cut[r + 1]]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", added_tokens: bool = False
+) -> DataFrame:
     """One row per piece: ids plus end mark, cut only if longer than ``capacity``."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -150,7 +171,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for r, ids in token_ids(batch.column(1), path):
+            for r, ids in token_ids(batch.column(1), path, added_tokens):
                 whole = np.append(ids, np.uint32(END)).astype("<u4")
                 for k, at in enumerate(range(0, len(whole), capacity)):
                     part = whole[at : at + capacity]
@@ -246,14 +267,16 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return plan
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", added_tokens: bool = False
+) -> DataFrame:
     """Pieces with the sequence and the offset each is packed at.
 
     Null text is an empty document: one piece holding the end mark. Repeated
     rows are packed each. An empty table gives no rows. Which piece of equal
     length goes to which sequence is fixed by (shard, doc_id, piece).
     """
-    cut = materialise(pieces(docs, capacity, vocabulary, doc_id, text), "pieces")
+    cut = materialise(pieces(docs, capacity, vocabulary, doc_id, text, added_tokens), "pieces")
     n_shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     sharded = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_shards)).cast("int"))
     counts = sharded.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))

@@ -58,7 +58,7 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(table(spark, folder, "documents"), added_tokens=True)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
-from tallyline.llm import langid, simhash
+import corpus_pipeline
+from tallyline.llm import langid, packing, queries, simhash
 from tallyline.llm.shared import ship
 
 CYRILLIC = "съешь же ещё этих мягких французских булок да выпей чаю"
@@ -47,3 +52,18 @@ def test_null_id_near_copy_is_named_after_a_reachable_id(spark):
     frame = spark.createDataFrame([(None, "one and the same text"), (4, "One and the  same text"), (None, "nobody's copy")], "doc_id long, text string")
     got = sorted((tuple(r) for r in simhash.near_groups(frame).select("doc_id", "component_id").collect()), key=str)
     assert got == [(4, 4), (None, 4), (None, None)]
+
+
+def test_added_tokens_are_packed_as_the_unmodified_library_gives_them(spark, tmp_path):
+    ship(spark)
+    texts = ["hi <|endoftext|> you", "hi<|endoftext|>You", "HI <|ENDOFTEXT|> x", "<|startoftext|>é <|endoftext|><|endoftext|>", None, "", "plain words", "<|endof", "text|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    want = {}
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, packing.END]
+        want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert want[0][0] == 4
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op5_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got.collect()} == want
