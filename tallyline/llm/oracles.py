@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import checksum_sql, hash_tree, quality_rules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -109,7 +109,34 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM counted
 """
 
+
+
+def descent(name: str, tree: hash_tree.Tree) -> str:
+    """Relation ``name(k, shard)``: where each of ``keys(k)`` ends in the tree."""
+    rows = ", ".join(f"('{p}', '{label}', {w!r}::DOUBLE, {'NULL' if s is None else s})" for p, of in hash_tree.children(tree).items() for label, w, s in of)
+    made = [f"{name}_kids(parent, label, weight, shard) AS (VALUES {rows})", f"{name}_0 AS (SELECT k, '' AS node, NULL AS shard FROM keys)"]
+    draw = f"-ln((('0x' || substr(md5(k || '|' || label), 1, {hash_tree.DIGITS}))::BIGINT + 0.5::DOUBLE) / {float(16**hash_tree.DIGITS)!r}::DOUBLE) / weight"
+    made += [
+        f"{name}_{i + 1} AS (SELECT k, arg_min(label, {draw}) AS node, arg_min(c.shard, {draw}) AS shard FROM {name}_{i} p JOIN {name}_kids c ON p.node = c.parent GROUP BY k)"
+        for i in range(hash_tree.LEVELS)
+    ]
+    return ", ".join([*made, f"{name} AS (SELECT k, shard FROM {name}_{hash_tree.LEVELS})"])
+
+
+SHARDS = f"""
+WITH {checksum_sql.TABLE},
+d AS (
+  SELECT doc_id, coalesce('=' || doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+    {checksum_sql.crc32("coalesce(text, '')")} AS text_crc32
+  FROM documents, crc_table
+),
+keys AS (SELECT DISTINCT k FROM d), {descent("held", hash_tree.even_tree(8))}, {descent("grown", hash_tree.add_weight(hash_tree.even_tree(8), 8))}
+SELECT doc_id, size, text_crc32, 'key' AS law, held.shard::INT AS shard, grown.shard::INT AS grown_shard,
+  row_number() OVER (PARTITION BY held.shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM d JOIN held USING (k) JOIN grown USING (k)
+"""
+
 ORACLES = {
     "op2_embedding_near_dedup": LINKS, "op4_chat_formatting": CHAT, "op6_suffix_array_dedup": BYTES, "op7_substring_dedup": PASSAGES,
-    "op9_quality_rules": RULES,
+    "op9_quality_rules": RULES, "op11_sharding": SHARDS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embed_dedup, langid, packing, quality_knn, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, chat, embed_dedup, hash_tree, langid, packing, quality_knn, quality_rules, simhash, substring_dedup, suffix_dedup
 from .oracles import ORACLES  # noqa: F401
 from .shared import ship, table
 
@@ -96,10 +96,16 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    tree = hash_tree.even_tree(8)
+    return hash_tree.place(table(spark, folder, "documents"), tree, hash_tree.add_weight(tree, 8))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_level_bpe, op2_embedding_near_dedup, op3_language_id, op4_chat_formatting, op5_best_fit_packing, op6_suffix_array_dedup, op7_substring_dedup, op8_quality_classifier,
-        op9_quality_rules, op10_simhash_near_dedup,
+        op9_quality_rules, op10_simhash_near_dedup, op11_sharding,
     )
 }
