@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checksum_sql, hash_tree, quality_rules
+from . import checksum_sql, hash_tree, lexical, quality_rules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -136,7 +136,30 @@ SELECT doc_id, size, text_crc32, 'key' AS law, held.shard::INT AS shard, grown.s
 FROM d JOIN held USING (k) JOIN grown USING (k)
 """
 
+SEARCH = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}') AS terms FROM documents
+),
+totals AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')) AS term FROM benchmark
+),
+tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+),
+parts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(terms) * n_docs) // n_terms))) AS part
+  FROM tf JOIN d USING (r) JOIN weights USING (term), totals
+),
+scores AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(part)::BIGINT AS score FROM wanted JOIN parts USING (term) GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
 ORACLES = {
     "op2_embedding_near_dedup": LINKS, "op4_chat_formatting": CHAT, "op6_suffix_array_dedup": BYTES, "op7_substring_dedup": PASSAGES,
-    "op9_quality_rules": RULES, "op11_sharding": SHARDS,
+    "op9_quality_rules": RULES, "op11_sharding": SHARDS, "op13_ranked_lexical_search": SEARCH,
 }
