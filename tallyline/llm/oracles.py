@@ -159,7 +159,85 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM scores WHERE score > 0 QUALIFY rank <= 50
 """
 
+
+
+def _step(source: str, letter: str, cost: str, said: str | None) -> str:
+    """A path of state ``source`` with one more edit; no path stays none."""
+    text = f"{source}.said" if said is None else f"{source}.said || CASE WHEN {source}.said = '' THEN '' ELSE chr(10) END || {said}"
+    return f"CASE WHEN {source} IS NOT NULL THEN {{'cost': {source}.cost + {cost}, 'edits': {source}.edits || '{letter}', 'said': {text}}} END"
+
+
+def _dynamic_programme() -> tuple[str, str]:
+    """The columns of one row's step over the four role states, after inserts, and the inserts themselves."""
+    insert = (
+        f"x0, x1, least(x2, {_step('x0', 'I', '2', chr(39) + 'user:' + chr(39))}, {_step('x1', 'I', '2', chr(39) + 'user:' + chr(39))}, "
+        f"{_step('x3', 'I', '2', chr(39) + 'user:' + chr(39))}) AS x2, x3"
+    )
+    insert_second = f"x0, x1, x2, least(x3, {_step('x2', 'I', '2', chr(39) + 'assistant:' + chr(39))}) AS x3"
+    keep, fix = "role || ':' || text", {"user": "'user:' || text", "assistant": "'assistant:' || text"}
+
+    def kept(source: str, initial: str) -> str:
+        return f"CASE WHEN NOT gone AND role[1:1] = '{initial}' THEN {_step(source, 'K', 'cut', keep)} END"
+
+    def fixed(source: str, role: str) -> str:
+        return f"CASE WHEN NOT gone THEN {_step(source, 'R', '2 + cut', fix[role])} END"
+
+    drop = {q: _step(q, "D", "3", None) for q in ("x0", "x1", "x2", "x3")}
+    row = ", ".join([
+        f"{drop['x0']} AS x0", f"least({drop['x1']}, {kept('x0', 's')}) AS x1",
+        f"least({drop['x2']}, {', '.join(kept(q, 'u') + ', ' + fixed(q, 'user') for q in ('x0', 'x1', 'x3'))}) AS x2",
+        f"least({drop['x3']}, {kept('x2', 'a')}, {fixed('x2', 'assistant')}) AS x3",
+    ])
+    return row, f"SELECT * REPLACE ({insert_second.removeprefix('x0, x1, x2, ')}) FROM (SELECT * REPLACE ({insert.removeprefix('x0, x1, ').removesuffix(', x3')}) FROM %s)"
+
+
+_ROW, _INSERTS = _dynamic_programme()
+_NOTHING = "NULL::STRUCT(cost BIGINT, edits VARCHAR, said VARCHAR)"
+REPAIR = rf"""
+WITH RECURSIVE {checksum_sql.TABLE},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {checksum_sql.crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS damage
+  FROM conversations, crc_table
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE damage WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM given
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'B' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'D'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'T' ELSE '' END AS fault,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+),
+seen AS (SELECT DISTINCT conv_id FROM given),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'B') AS blank, count(*) FILTER (fault = 'D') AS duplicate,
+    count(*) FILTER (fault = 'T') AS truncated, count(*) FILTER (before IS NOT NULL AND before || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY conv_id
+),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'cost': 0::BIGINT, 'edits': ''::VARCHAR, 'said': ''::VARCHAR}} AS x0, {_NOTHING} AS x1, {_NOTHING} AS x2, {_NOTHING} AS x3 FROM seen
+  UNION ALL
+  SELECT conv_id, i, {_ROW} FROM ({_INSERTS % (
+      "(SELECT w.conv_id, f.i, x0, x1, x2, x3, role, text, fault IN ('B', 'D') AS gone, (fault = 'T')::BIGINT AS cut "
+      "FROM walk w JOIN faults f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1)"
+  )})
+),
+ends AS (
+  SELECT conv_id, least(x0, x3) AS best FROM ({_INSERTS % (
+      "(SELECT w.* FROM walk w LEFT JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id WHERE w.i = coalesce(c.n, 0))"
+  )})
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.cost AS cost, best.edits AS audit, sha256(best.said) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLES = {
     "op2_embedding_near_dedup": LINKS, "op4_chat_formatting": CHAT, "op6_suffix_array_dedup": BYTES, "op7_substring_dedup": PASSAGES,
-    "op9_quality_rules": RULES, "op11_sharding": SHARDS, "op13_ranked_lexical_search": SEARCH,
+    "op9_quality_rules": RULES, "op11_sharding": SHARDS, "op12_conversation_repair": REPAIR, "op13_ranked_lexical_search": SEARCH,
 }

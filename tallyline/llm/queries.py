@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embed_dedup, hash_tree, langid, lexical, packing, quality_knn, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, chat, embed_dedup, hash_tree, langid, lexical, packing, quality_knn, quality_rules, simhash, substring_dedup, suffix_dedup, turn_repair
 from .oracles import ORACLES  # noqa: F401
 from .shared import ship, table
 
@@ -102,6 +102,11 @@ def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return hash_tree.place(table(spark, folder, "documents"), tree, hash_tree.add_weight(tree, 8))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return turn_repair.repair(turn_repair.damage(table(spark, folder, "conversations")))
+
+
 def op13_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -112,6 +117,6 @@ QUERIES = {
     for f in (
         op1_byte_level_bpe, op2_embedding_near_dedup, op3_language_id, op4_chat_formatting, op5_best_fit_packing, op6_suffix_array_dedup, op7_substring_dedup, op8_quality_classifier,
         op9_quality_rules, op10_simhash_near_dedup, op11_sharding,
-        op13_ranked_lexical_search,
+        op12_conversation_repair, op13_ranked_lexical_search,
     )
 }
