@@ -43,3 +43,14 @@ def test_hot_keys_give_the_same_result(spark, duck, sf, name):
     finally:
         spark.conf.unset("spark.tallyline.blockRows")
     assert compare(got, duck.execute(sql).df()) is None
+
+
+@pytest.mark.parametrize("missing", ["tallyline.llm.queries", "corpus_pipeline"])
+def test_entry_lists_the_rest_without_the_optional_parts(monkeypatch, missing):
+    import sys
+
+    whole = set(entry.queries())
+    monkeypatch.setitem(sys.modules, missing, None)
+    left = set(entry.queries())
+    assert set(registered()) <= left <= whole and "pipeline" not in left
+    assert set(entry.oracle_sql()) <= left
