@@ -35,6 +35,15 @@ PLAYS = """plays_v AS (
  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) e)"""
 
+DETAILED = """detailed_v AS (
+ SELECT game_id, event_id, sort_order, side, situation_code, seconds_elapsed, penalty_minutes,
+        CASE WHEN event_type = 'faceoff' THEN ['hit', 'giveaway', 'takeaway', 'blocked-shot', 'faceoff'][event_id % 5 + 1] ELSE event_type END AS event_type,
+        CASE WHEN event_type IN ('goal', 'shot-on-goal') THEN CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 100 + event_id % 3 END END AS goalie_in_net_id,
+        CASE WHEN event_type = 'goal' AND event_id % 3 = 0 THEN event_id % 5 END AS home_score_event,
+        CASE WHEN event_type = 'goal' AND event_id % 4 < 2 THEN event_id % 3 END AS away_score_event,
+        game_id % 1000 * 600 + seconds_elapsed AS fed_second
+ FROM plays_v)"""
+
 BOX = """box_v AS (
  SELECT l_orderkey AS game_id, CAST(l_linenumber % 2 AS BIGINT) AS is_home,
         CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS shots_for,
@@ -66,7 +75,7 @@ PICKS = """picks_v AS (
  SELECT o_custkey AS user_id, o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS made_on,
         CASE WHEN o_orderkey % 3 = 0 THEN 'away' ELSE 'home' END AS pick FROM orders)"""
 
-_ALL = {"games_v": GAMES, "preds_v": PREDS, "plays_v": PLAYS, "box_v": BOX, "skaters_v": SKATERS, "goalies_v": GOALIES, "picks_v": PICKS}
+_ALL = {"games_v": GAMES, "preds_v": PREDS, "plays_v": PLAYS, "detailed_v": DETAILED, "box_v": BOX, "skaters_v": SKATERS, "goalies_v": GOALIES, "picks_v": PICKS}
 
 
 def with_views(names: str, body: str, recursive: bool = False) -> str:

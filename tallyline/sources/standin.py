@@ -116,6 +116,25 @@ def plays(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def detailed_plays(spark: SparkSession, folder: str) -> DataFrame:
+    """Plays with every kind of event, goalies in net, stated scores and the time each play was fed.
+
+    Games start ten minutes apart, so many are under way at any time.
+    """
+    kind, event = F.col("event_type"), F.col("event_id")
+    shots = kind.isin("goal", "shot-on-goal")
+    other = F.element_at(F.array(*[F.lit(k) for k in ("hit", "giveaway", "takeaway", "blocked-shot", "faceoff")]), (event % 5 + 1).cast("int"))
+    offset = F.col("game_id") % 1000 * 600 + F.col("seconds_elapsed")
+    return plays(spark, folder).drop("ts").select(
+        "*",
+        F.when(shots, F.when(event % 4 == 1, 0).when(event % 4 > 1, 100 + event % 3)).alias("goalie_in_net_id"),
+        F.when((kind == "goal") & (event % 3 == 0), event % 5).alias("home_score_event"),
+        F.when((kind == "goal") & (event % 4 < 2), event % 3).alias("away_score_event"),
+        offset.alias("fed_second"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=offset.cast("decimal(18,6)"))).alias("fed_at"),
+    ).withColumn("event_type", F.when(kind == "faceoff", other).otherwise(kind))
+
+
 def skater_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per line item as a skater's box-score line."""
     lines = table(spark, folder, "lineitem").select(
