@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import live
 from ..session import materialise, scratch_path
 from ..sources import standin
-from ..streaming import games
+from ..streaming import games, late
 from .catalog_live import SIT, SQL_PENALTIES, W
 from .catalog_scores import rnd
 from .views_sql import with_views
@@ -116,7 +116,48 @@ SELECT {_columns()}, hsk - ask AS manpower_diff_home, CAST(hsk > ask AS BIGINT)
   CAST(hsk = ask AS BIGINT) AS even_strength, {', '.join(live.PENALTY_COLUMNS)} FROM made JOIN penalties USING (game_id, event_index)""",
 )
 
+# ---- sessions and late rows ---------------------------------------------------------------------------------------
+
+# every seventh play is this late: beyond the delay where a file ends in between; a session breaks where a play is missing
+TOO_LATE_BY, GAP = 2000, 70
+
+
+def _split(spark, folder):
+    plays = replay(spark, folder, TOO_LATE_BY)
+    return plays, late.split_late(spark, plays)
+
+
+def stream_sessions(spark, folder):
+    """Sessions of the plays that came in time."""
+    plays, split = _split(spark, folder)
+    made = late.run_sessions(spark, late.rows_in_time(spark, split, plays.schema), f"{GAP} seconds")
+    second = F.unix_timestamp("starts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return made.select("game_id", second.alias("starts"), (F.unix_timestamp("ends") - F.unix_timestamp("starts")).alias("seconds"), "plays", "goals", "least_event", "greatest_event")
+
+
+def stream_late_rows(spark, folder):
+    """The plays that came behind the line, with the micro-batch they came in."""
+    plays, split = _split(spark, folder)
+    return late.late_rows(spark, split, plays.schema).select("game_id", "event_id", "event_type", F.col("batch").cast("long").alias("batch"))
+
+
+_LATE = f"""delivered AS (SELECT *, fed_second + CASE WHEN event_id % 7 = 0 THEN {TOO_LATE_BY} ELSE 0 END AS due FROM detailed_v),
+parted AS (SELECT *, due // ((SELECT (MAX(fed_second) + {TOO_LATE_BY}) // {FILES} + 1 FROM detailed_v)) AS batch FROM delivered),
+lines AS (SELECT batch, MAX(MAX(fed_second)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {late.DELAY_MINUTES * 60} AS line FROM parted GROUP BY batch),
+judged AS (SELECT parted.*, coalesce(fed_second < line, false) AS late FROM parted JOIN lines USING (batch))"""
+SQL_LATE_ROWS = with_views("plays_v detailed_v", f"{_LATE} SELECT game_id, event_id, event_type, CAST(batch AS BIGINT) AS batch FROM judged WHERE late")
+SQL_SESSIONS = with_views(
+    "plays_v detailed_v",
+    f"""{_LATE},
+opened AS (SELECT *, coalesce(fed_second - lag(fed_second) OVER (PARTITION BY game_id ORDER BY fed_second) >= {GAP}, true) AS fresh FROM judged WHERE NOT late),
+numbered AS (SELECT *, SUM(fresh::INT) OVER (PARTITION BY game_id ORDER BY fed_second) AS session FROM opened)
+SELECT game_id, CAST(MIN(fed_second) AS BIGINT) AS starts, CAST(MAX(fed_second) - MIN(fed_second) + {GAP} AS BIGINT) AS seconds, COUNT(*) AS plays,
+  COUNT(*) FILTER (event_type = 'goal') AS goals, MIN(event_id) AS least_event, MAX(event_id) AS greatest_event FROM numbered GROUP BY game_id, session""",
+)
+
 QUERIES = {
+    "stream_sessions": (stream_sessions, SQL_SESSIONS),
+    "stream_late_rows": (stream_late_rows, SQL_LATE_ROWS),
     "detailed_counters": (detailed_counters, SQL_DETAILED),
     "stream_state_rows": (stream_state_rows, SQL_STATES),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import live
 from tallyline.sources import standin
-from tallyline.streaming import games
+from tallyline.streaming import games, late
 
 START = dt.datetime(2024, 1, 1, 12, 0)
 PLAYS = (
@@ -87,3 +87,25 @@ def test_detailed_plays_have_every_kind(spark, sf):
     kinds = {r[0] for r in standin.detailed_plays(spark, sf).select("event_type").distinct().collect()}
     assert kinds >= {"goal", "shot-on-goal", "missed-shot", "blocked-shot", "hit", "giveaway", "takeaway", "faceoff", "penalty"}
     assert standin.detailed_plays(spark, sf).filter(F.col("fed_at").isNull()).count() == 0
+
+
+def test_rows_too_late_land_in_the_side_table_and_no_row_is_lost(spark, tmp_path):
+    rows = [
+        play(1, 1, "faceoff"), play(1, 2, "goal"), play(2, 30, "hit"),
+        # the line is at minute 20: minute 3 is too late, minute 25 is not
+        play(1, 3, "goal", part=1), play(2, 25, "goal", part=1), play(2, 31, "goal", part=1), play(1, 60, "hit", part=1),
+        # the line is at minute 50 and never moves back
+        play(1, 40, "goal", part=2), play(3, 51, "goal", part=2), play(3, 49, "hit", part=2),
+    ]
+    book = spark.createDataFrame(rows, PLAYS)
+    games.write_replay(book, str(tmp_path / "in"), 3)
+    schema = book.drop("part").schema
+    folder, progress = str(tmp_path / "split"), str(tmp_path / "progress")
+    for _ in range(2):  # a second run finds nothing new
+        late.split_late(spark, games.read_replay(spark, str(tmp_path / "in"), schema), out=folder, progress=progress)
+    aside = late.late_rows(spark, folder, book.drop("part").schema)
+    assert sorted((r["event_id"], r["batch"]) for r in aside.collect()) == [(3, 1), (40, 2), (49, 2)]
+    sessions = late.run_sessions(spark, late.rows_in_time(spark, folder, schema, per_trigger=1), "3 minutes").collect()
+    got = sorted((r["game_id"], (r["starts"] - START).seconds // 60, (r["ends"] - START).seconds // 60, r["plays"], r["goals"]) for r in sessions)
+    assert got == [(1, 1, 5, 2, 1), (1, 60, 63, 1, 0), (2, 25, 28, 1, 1), (2, 30, 34, 2, 1), (3, 51, 54, 1, 1)]
+    assert sum(s[3] for s in got) + aside.count() == len(rows)
