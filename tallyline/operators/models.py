@@ -262,3 +262,25 @@ def load_registry(spark, names: list[str], path: str) -> tuple[dict[str, Pipelin
     members = {n: PipelineModel.load(f"{path}/model={n}") for n in names}
     features = [r["name"] for r in spark.read.parquet(f"{path}/features").orderBy("at").collect()]
     return members, features, spark.read.parquet(f"{path}/states")
+
+
+def publish(members: dict[str, PipelineModel], features: list[str], spark, path: str, version: int) -> None:
+    """Store fitted members under a version; the version is listed last, so a reader never meets half a model."""
+    for name, model in members.items():
+        model.write().overwrite().save(f"{path}/version-{version}/model={name}")
+    order = spark.createDataFrame([(i, c) for i, c in enumerate(features)], "at int, name string")
+    order.write.mode("overwrite").parquet(f"{path}/version-{version}/features")
+    spark.createDataFrame([(version, sorted(members))], "version long, members array<string>").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def load_version(spark, path: str, version: int | None = None) -> tuple[dict[str, PipelineModel], list[str], int]:
+    """Members, feature order and number of a published version; the newest, if none is named."""
+    listed = spark.read.schema("version long, members array<string>").parquet(f"{path}/versions")
+    if version is not None:
+        listed = listed.filter(F.col("version") == version)
+    row = listed.orderBy(F.col("version").desc()).first()
+    if row is None:
+        raise ValueError(f"no version {version or ''} below {path}")
+    at = f"{path}/version-{row['version']}"
+    features = [r["name"] for r in spark.read.schema("at int, name string").parquet(f"{at}/features").orderBy("at").collect()]
+    return {n: PipelineModel.load(f"{at}/model={n}") for n in row["members"]}, features, row["version"]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import live
+from ..functions import contest
+from ..operators import live, models
 from ..session import materialise, scratch_path
 from ..sources import standin
 from ..streaming import games, late
+from ..streaming import live as live_streams
 from .catalog_live import SIT, SQL_PENALTIES, W
+from .catalog_models import SQL_STREAM_RATINGS
 from .catalog_scores import rnd
 from .views_sql import with_views
 
@@ -155,7 +158,62 @@ SELECT game_id, CAST(MIN(fed_second) AS BIGINT) AS starts, CAST(MAX(fed_second)
   COUNT(*) FILTER (event_type = 'goal') AS goals, MIN(event_id) AS least_event, MAX(event_id) AS greatest_event FROM numbered GROUP BY game_id, session""",
 )
 
+# ---- scoring by a stored model --------------------------------------------------------------------------------------
+
+
+def model_rows(state, preds):
+    """State rows with the in-game model's inputs."""
+    rows = models.live_rows(live.with_clock(state, F.lit(5)), preds)
+    kinds = preds.select("game_id", (F.col("game_type") == 3).cast("int").alias("_playoff"))
+    rows = rows.join(kinds, "game_id", "left").withColumn("is_playoff", F.coalesce("_playoff", F.lit(0))).drop("_playoff")
+    return rows.withColumn("period", F.floor(F.col("seconds_elapsed") / 1200) + 1)
+
+
+def train_and_publish(spark, folder, registry, version):
+    """A logistic model of all in-game inputs, fitted on all plays of completed games."""
+    events = live.GameEvents(standin.detailed_plays(spark, folder).drop("fed_at", "fed_second"))
+    state = live.running_state(events).join(live.active_penalties(events), ["game_id", "event_index"])
+    preds = standin.predictions(spark, folder)
+    known = preds.filter(contest.is_completed(F.col("game_state"))).select("game_id", "y")
+    features = list(models.LIVE_FEATURES)
+    rows = materialise(model_rows(state, preds).join(known, "game_id").select("y", *features), "live-train")
+    models.publish(models.fit_all({"logit": models.logistic_member(features, rows.count())}, rows, features), features, spark, registry, version)
+
+
+def stream_model_scoring(spark, folder):
+    """Home win probability after every play of a replay, by the newest published model."""
+    registry = scratch_path(spark, "registry")
+    train_and_publish(spark, folder, registry, 1)
+    preds = standin.predictions(spark, folder)
+    scored = games.run_scored(spark, replay(spark, folder), registry, lambda rows: model_rows(rows, preds))
+    return scored.select("game_id", "event_id", F.col("event_index").cast("long").alias("event_index"), "version", "p")
+
+
+# ---- ratings from a feed with late games ---------------------------------------------------------------------------
+
+
+def stream_late_ratings(spark, folder):
+    """Team states from a feed of several files: dates split over two files, and games a week late."""
+    orders = standin.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    half_days = 2 * F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) + F.col("o_orderkey") % 2
+    due = half_days + F.when(F.col("o_orderkey") % 97 == 0, 14).otherwise(0)
+    rows = orders.withColumn("_due", due)
+    ends = rows.agg(F.min("_due").alias("_a"), F.max("_due").alias("_b"))
+    # an odd number of half days, so that files end in the middle of a date
+    width = (F.floor((F.col("_b") - F.col("_a")) / FILES / 2) * 2 + 1).alias("_w")
+    parted = rows.join(F.broadcast(ends.select("_a", width)))  # one row
+    parted = parted.withColumn("part", F.least(F.floor((F.col("_due") - F.col("_a")) / F.col("_w")), F.lit(FILES - 1)).cast("int")).drop("_due", "_a", "_w")
+    parted = materialise(parted, "feed-rows")
+    path = scratch_path(spark, "feed")
+    games.write_parts(parted, path, FILES)
+    fed = games.read_replay(spark, path, parted.drop("part").schema)
+    made = live_streams.rating_stream(spark, standin.games_from(fed, standin.table(spark, folder, "customer")))
+    return made.select("pool", "team", "season", *[(F.rint(F.col(c) * 1e6) / 1e6).alias(c) for c in ("elo", "decay_gd", "decay_win")])
+
+
 QUERIES = {
+    "stream_model_scoring": (stream_model_scoring, None),
+    "stream_late_ratings": (stream_late_ratings, SQL_STREAM_RATINGS),
     "stream_sessions": (stream_sessions, SQL_SESSIONS),
     "stream_late_rows": (stream_late_rows, SQL_LATE_ROWS),
     "detailed_counters": (detailed_counters, SQL_DETAILED),

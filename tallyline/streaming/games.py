@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import contest
-from ..operators import live, penalty_box
-from ..session import remove_folder, scratch_path
+from ..operators import live, models, penalty_box
+from ..session import scratch_path
 from .live import ROCKSDB, WATERMARK, run_available
 
 # the driver's streaming runner is a process of its own that has no shipped files
@@ -219,19 +219,39 @@ def run_states(spark: SparkSession, plays: DataFrame, each=None, idle_minutes: i
     return spark.read.parquet(out).drop("batch")
 
 
+def run_scored(spark: SparkSession, plays: DataFrame, registry: str, prepare, version: int | None = None, **more) -> DataFrame:
+    """State rows scored as they settle by a published model, with its version.
+
+    The model is read once, when the stream starts, and serves all its
+    micro-batches, so a stream is scored by one version. ``prepare(rows)`` adds the
+    model's inputs (priors, clocks) to final state rows; several members are averaged.
+    """
+    members, features, number = models.load_version(spark, registry, version)
+
+    def each(rows: DataFrame) -> DataFrame:
+        scored = models.ensemble(members, prepare(derived(rows)), features, "p")
+        return scored.withColumn("version", F.lit(number).cast("long"))
+
+    return run_states(spark, plays, each, **more)
+
+
 # ---- replays -------------------------------------------------------------------------------------------------------
 
 
+def write_parts(rows: DataFrame, folder: str, files: int, part: str = "part") -> None:
+    """The rows of part 0, 1, … as files written one after another."""
+    for i in range(files):
+        rows.filter(F.col(part) == i).drop(part).coalesce(1).write.parquet(f"{folder}/{part}-{i}")
+
+
 def write_replay(plays: DataFrame, folder: str, files: int = 4, part: str = "part") -> None:
-    """A replay of plays: the plays of part 0, 1, … are written one after another, and last a heartbeat a day later.
+    """A replay of plays in parts, and last a heartbeat a day later.
 
     The heartbeat lets the watermark pass all plays, as the next day's feed would.
     """
-    spark = plays.sparkSession
-    for i in range(files):
-        plays.filter(F.col(part) == i).drop(part).coalesce(1).write.parquet(f"{folder}/{part}-{i}")
+    write_parts(plays, folder, files, part)
     last = plays.agg((F.max("fed_at") + F.lit(dt.timedelta(days=1))).alias("fed_at"))
-    beat = spark.createDataFrame([], plays.drop(part).schema).unionByName(
+    beat = plays.sparkSession.createDataFrame([], plays.drop(part).schema).unionByName(
         last.withColumns({"event_type": F.lit(HEARTBEAT), "game_id": F.lit(-1).cast("long")}), allowMissingColumns=True
     )
     beat.coalesce(1).write.parquet(f"{folder}/{part}-{files}")
@@ -240,7 +260,3 @@ def write_replay(plays: DataFrame, folder: str, files: int = 4, part: str = "par
 def read_replay(spark: SparkSession, folder: str, schema: T.StructType, per_trigger: int = 1) -> DataFrame:
     """The replay's files in the order they were written, ``per_trigger`` a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/*")
-
-
-def drop_replay(spark: SparkSession, folder: str) -> None:
-    remove_folder(spark, folder)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -176,35 +176,56 @@ def scored_events(spark: SparkSession, events: DataFrame, priors: DataFrame, sco
 # ---- rating catch-up ---------------------------------------------------------------------------------------------
 
 
-def rating_stream(spark: SparkSession, games: DataFrame, out: str | None = None, progress: str | None = None) -> DataFrame:
-    """Keep team states up to date from a stream of games.
+# dated snapshots of a pool that a late game can be re-folded from; before the oldest one, its games are folded anew
+SNAPSHOTS = 8
 
-    Each micro-batch folds its finished games into the states the batch before
-    left behind and writes the result under its own number, so a batch that is
-    run again writes the same rows to the same place. States carry the date
-    their pool is folded up to: a game of that date or before is not folded
-    again, however often it is delivered. Of the versions only the last two
-    are kept. With ``out`` and ``progress`` of an earlier run the stream resumes.
+
+def rating_stream(spark: SparkSession, games: DataFrame, out: str | None = None, progress: str | None = None, snapshots: int = SNAPSHOTS) -> DataFrame:
+    """Keep team states up to date from a stream of games that may come late, out of order or again.
+
+    Every micro-batch logs its finished games under its number, without those
+    logged before (by id, not by date: the second half of a date is new). A
+    version of the states holds each pool as of several dates. Snapshots of a
+    pool dated on or after its earliest new game are void; the newest of the
+    others is folded on with all logged games after it. So a late game costs a
+    fold from its date on, and the states are always those of a whole replay.
+    A batch that runs again reads the version before it and writes to the same
+    place. With ``out`` and ``progress`` of an earlier run the stream resumes.
     """
     out = out or scratch_path(spark, "ratings")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.filter(is_completed(F.col("game_state")))
-        before = None
+        logged = T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType())])
+        fresh = batch.filter(is_completed(F.col("game_state"))).dropDuplicates(["game_id"])
+        if batch_id > 0:
+            known = spark.read.schema(logged).parquet(f"{out}/games").filter(F.col("batch") < batch_id)
+            fresh = fresh.join(known.select("game_id"), "game_id", "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{out}/games/batch={batch_id}")
+        log = spark.read.schema(logged).parquet(f"{out}/games").filter(F.col("batch") <= batch_id)
+        earliest = log.filter(F.col("batch") == batch_id).groupBy("pool").agg(F.min("game_date").alias("_first"))
+        due = log.drop("batch").join(earliest, "pool")
+        states, valid = None, None
         if batch_id > 0:
-            before = spark.read.parquet(f"{out}/batch={batch_id - 1}")
-            known = before.groupBy("pool").agg(F.max("as_of").alias("as_of"))
-            fresh = fresh.join(known, "pool", "left").filter(F.col("as_of").isNull() | (F.col("game_date") > F.col("as_of"))).drop("as_of")
-        dates = fresh.select("pool", F.col("game_date").alias("day"))
-        if before is not None:
-            dates = dates.unionByName(before.select("pool", F.col("as_of").alias("day")))
-        as_of = dates.groupBy("pool").agg(F.max("day").alias("as_of"))
-        states = ratings.team_states(fresh, None if before is None else before.drop("as_of"))
-        states.join(as_of, "pool").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            before = spark.read.parquet(f"{out}/states/batch={batch_id - 1}").join(earliest, "pool", "left")
+            valid = before.filter(F.col("_first").isNull() | (F.col("as_of") < F.col("_first")))
+            base = valid.filter(F.col("_first").isNotNull()).groupBy("pool").agg(F.max("as_of").alias("_base"))
+            states = valid.join(base, "pool").filter(F.col("as_of") == F.col("_base")).drop("_base", "_first", "as_of")
+            due = due.join(base, "pool", "left").filter(F.col("_base").isNull() | (F.col("game_date") > F.col("_base"))).drop("_base")
+        due = due.drop("_first")
+        as_of = due.groupBy("pool").agg(F.max("game_date").alias("as_of"))
+        held = ratings.team_states(due, states).join(as_of, "pool")
+        if valid is not None:
+            held = held.unionByName(valid.drop("_first"))
+        dates = held.select("pool", "as_of").distinct()
+        nth = F.row_number().over(Window.partitionBy("pool").orderBy(F.col("as_of").desc()))
+        kept = dates.withColumn("_nth", nth).filter(F.col("_nth") <= snapshots).drop("_nth")
+        held.join(kept, ["pool", "as_of"]).write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
         if batch_id > 1:
-            remove_folder(spark, f"{out}/batch={batch_id - 2}")
+            remove_folder(spark, f"{out}/states/batch={batch_id - 2}")
 
     run_available(games.writeStream.foreachBatch(fold), "ratings", spark, progress)
-    versions = spark.read.parquet(out)
+    versions = spark.read.parquet(f"{out}/states")
     newest = versions.agg(F.max("batch").alias("batch"))
-    return versions.join(F.broadcast(newest), "batch", "left_semi").drop("batch", "as_of")  # one row
+    latest = versions.join(F.broadcast(newest), "batch", "left_semi")  # one row
+    day = latest.groupBy("pool").agg(F.max("as_of").alias("as_of"))
+    return latest.join(day, ["pool", "as_of"], "left_semi").drop("batch", "as_of")

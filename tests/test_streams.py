@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import live
+from tallyline.operators import live, models, ratings
+from tallyline.plans import catalog_streams
 from tallyline.sources import standin
 from tallyline.streaming import games, late
+from tallyline.streaming import live as streams
 
 START = dt.datetime(2024, 1, 1, 12, 0)
 PLAYS = (
@@ -109,3 +114,68 @@ def test_rows_too_late_land_in_the_side_table_and_no_row_is_lost(spark, tmp_path
     got = sorted((r["game_id"], (r["starts"] - START).seconds // 60, (r["ends"] - START).seconds // 60, r["plays"], r["goals"]) for r in sessions)
     assert got == [(1, 1, 5, 2, 1), (1, 60, 63, 1, 0), (2, 25, 28, 1, 1), (2, 30, 34, 2, 1), (3, 51, 54, 1, 1)]
     assert sum(s[3] for s in got) + aside.count() == len(rows)
+
+
+def some_games(n, pools=2):
+    rng, rows = random.Random(5), []
+    for i in range(n):
+        home, away = rng.sample(range(6), 2)
+        hs, as_ = rng.randrange(6), rng.randrange(6)
+        day = dt.date(2024, 6, 1) + dt.timedelta(days=i // 4)
+        season = 20232024 if day < dt.date(2024, 8, 1) else 20242025
+        rows.append((i % pools, i + 1, season, day, 2, "OFF", home, away, hs + (hs == as_), as_, "REG"))
+    return rows
+
+
+GAMES = (
+    "pool long, game_id long, season long, game_date date, game_type long, game_state string, home_team long, away_team long, "
+    "home_score long, away_score long, last_period_type string"
+)
+
+
+@pytest.mark.parametrize("snapshots", [1, 8])
+def test_late_games_and_split_dates_give_the_ratings_of_a_whole_replay(spark, tmp_path, snapshots):
+    rows = some_games(400)
+    scheduled = [(*rows[7][:5], "FUT", *rows[7][6:])]
+    late_games = [r for r in rows if r[1] in (30, 121, 122)]
+    in_time = [r for r in rows if r not in late_games]
+    # the second file starts in the middle of a date, the third brings games of weeks before and some again
+    files = [in_time[:101] + scheduled, in_time[101:250], late_games + in_time[90:120] + in_time[250:], rows[:50] + rows[-3:]]
+    folders = str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def run():
+        stream = streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], GAMES).schema, per_trigger=1)
+        made = streams.rating_stream(spark, stream, *folders, snapshots=snapshots)
+        return {(r["pool"], r["team"]): (r["season"], r["elo"], r["decay_gd"]) for r in made.collect()}
+
+    want = {(r["pool"], r["team"]): (r["season"], r["elo"], r["decay_gd"]) for r in ratings.team_states(spark.createDataFrame(rows, GAMES)).collect()}
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, GAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={i}"))
+        if i in (1, 3):
+            got = run()  # the second run resumes the first
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
+    assert spark.read.parquet(folders[0] + "/games").count() == len(rows)
+
+
+def test_streamed_probabilities_equal_the_batch_and_carry_the_version(spark, tmp_path):
+    book = spark.createDataFrame(BOOK, PLAYS)
+    preds = spark.createDataFrame([(1, 0.6, 2), (2, 0.4, 3)], "game_id long, p_home double, game_type long")
+    events = live.GameEvents(book.drop("part", "fed_at"))
+    state = catalog_streams.model_rows(live.running_state(events).join(live.active_penalties(events), ["game_id", "event_index"]), preds)
+    features, registry = list(models.LIVE_FEATURES), str(tmp_path / "registry")
+    for version, label in ((3, F.col("event_id") % 2), (4, F.col("event_index") % 2)):
+        fitted = models.fit_all({"logit": models.logistic_member(features, 14)}, state.withColumn("y", label.cast("long")), features)
+        models.publish(fitted, features, spark, registry, version)
+    games.write_replay(book, str(tmp_path / "in"), 3)
+    for version in (None, 3):
+        stream = games.read_replay(spark, str(tmp_path / "in"), book.drop("part").schema)
+        made = games.run_scored(spark, stream, registry, lambda rows: catalog_streams.model_rows(rows, preds), version)
+        got = {(r["game_id"], r["event_id"]): r["p"] for r in made.filter(F.col("version") == (version or 4)).collect()}
+        loaded, order, number = models.load_version(spark, registry, version)
+        assert number == (version or 4) and order == features
+        want = {(r["game_id"], r["event_id"]): r["p"] for r in models.ensemble(loaded, state, features, "p").collect()}
+        assert len(want) == len(BOOK) and got == pytest.approx(want, abs=1e-12)
+    with pytest.raises(ValueError):
+        models.load_version(spark, registry, 9)
