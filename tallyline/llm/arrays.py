@@ -19,8 +19,6 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_BASE = np.uint64(0x5851F42D4C957F2D)
-_BASE_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,26 +81,24 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.cumprod(table)
-    return _powers["up"], _powers["down"]
-
-
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, equal for equal bytes wherever they stand."""
-    up, down = _power_tables(len(buf))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[buf] * up[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * _ODD[2]))
+    """A 64-bit hash of each span's bytes, equal for equal bytes wherever they stand.
+
+    Every (place in the span, byte) gives a value of its own, mixed so that none
+    follows from another, and a span's values are summed: no algebra ties
+    different strings together, as it does for polynomials modulo 2^64.
+    """
+    lengths = ends - starts
+    total = int(lengths.sum())
+    bound = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=bound[1:])
+    place = np.arange(total, dtype=np.int64)
+    place -= np.repeat(bound[:-1], lengths)
+    value = _BYTE_VALUE[buf[place + np.repeat(starts, lengths)]]
+    value ^= (place.astype(np.uint64) + np.uint64(1)) * _ODD[3]
+    summed = np.zeros(total + 1, np.uint64)
+    np.cumsum(mix(value), out=summed[1:])
+    return mix((summed[bound[1:]] - summed[bound[:-1]]) ^ (lengths.astype(np.uint64) * _ODD[2]))
 
 
 def runs_of(h: np.ndarray, length: int) -> np.ndarray:

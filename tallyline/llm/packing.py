@@ -14,7 +14,8 @@ Ranks within a length are numbered in parallel: hashed shards number their own
 rows, and a small sum over (length, shard) counts gives each shard its start.
 
 Text is tokenised slice by slice. Distinct space-delimited words of a slice
-are found by hashing, encoded once each, and gathered back by position. With
+are found by hashing, encoded once each, and gathered back by position; the ids
+of words met lately are kept from slice to slice, in bounded tables. With
 ``added_tokens`` (as the registered query and the pipeline ask for) the added
 tokens of the vocabulary file stand for themselves in a text, as they do in the
 library by default; without, their letters are text like any other.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ from .arrays import ragged, span_hashes, text_slices, words
 CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
+# words of one generation whose ids a worker keeps
+KEPT_WORDS = 400_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -76,6 +80,27 @@ class WordEncoder:
         # the pattern of the file, for lower-case ASCII
         self.split = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.plain = re.compile(rb"[!-~]+")
+        # ids of words seen lately, as bytes: two generations, the older one is dropped when the newer is full
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def packed(self, batch: list[bytes]) -> list[bytes]:
+        """Ids of each word as unsigned 32-bit integers; words met in earlier slices are not encoded again."""
+        if len(self.recent) > KEPT_WORDS:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        out = list(map(recent.get, batch))
+        missing = []
+        for i, word in enumerate(batch):
+            if out[i] is None:
+                ids = older.get(word)
+                if ids is None:
+                    missing.append(i)
+                else:
+                    out[i] = recent[word] = ids
+        for i, ids in zip(missing, self.encode([batch[i] for i in missing]), strict=True):
+            out[i] = recent[batch[i]] = array("I", ids).tobytes()
+        return out
 
     def holds_added(self, column: pa.Array) -> list[bool]:
         """Which texts hold an added token, be it inside a word."""
@@ -108,12 +133,10 @@ class WordEncoder:
         merge = self.merger._core_bpe.encode_single_piece
         rest = []
         for i, word in enumerate(batch):
-            if self.plain.fullmatch(word):
-                low = word.lower()
-                if low.isalpha():
-                    out[i] = merge(low + b"\xff")
-                else:
-                    out[i] = [t for part in self.split.findall(low) for t in merge(part + b"\xff")]
+            if word.isalpha():
+                out[i] = merge(word.lower() + b"\xff")
+            elif self.plain.fullmatch(word):
+                out[i] = [t for part in self.split.findall(word.lower()) for t in merge(part + b"\xff")]
             else:
                 rest.append(i)
         if rest:
@@ -141,15 +164,14 @@ def encoder(path: str) -> WordEncoder:
 def token_ids(column: pa.Array, path: str, added_tokens: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """``(row, ids)`` of each text, without an end mark; null is empty. ``added_tokens``: see the module."""
     made = encoder(path)
-    encode = made.encode
     whole = made.holds_added(column) if added_tokens else [False] * len(column)
-    for i, _, buf, offsets in text_slices(column):
+    for i, _, buf, offsets in text_slices(column, 2 << 20):
         starts, ends, first = words(buf, offsets)
         raw = buf.tobytes()
         _, where, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        lists = encode([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((t for ids in lists for t in ids), np.uint32, int(sizes.sum()))
+        lists = made.packed([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.uint32)
         at = np.cumsum(sizes) - sizes
         counts = sizes[back]
         ids = flat[ragged(at[back], counts)] if len(back) else flat
