@@ -22,7 +22,6 @@ Null languages and null ids are not learned. Repeated rows are judged alike.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,7 +41,6 @@ SAMPLE_BYTES = 32_768
 STRETCH = 256
 PAD = 256  # beyond the byte values: fills short stretches
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 # the upper two bits of an entry count the phrases that end at this byte
 _ONE, _SHIFT = np.uint32(1 << 30), np.uint32(30)
 _STATE = np.uint32((1 << 30) - 1)
@@ -182,7 +180,7 @@ def predictor(model: Callable[[], Model | None]) -> Callable[[pa.Array], dict[st
     def compute(column: pa.Array) -> dict[str, object]:
         fitted = model()
         n = len(column)
-        has_letter = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
+        has_letter = np.array([t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
         best, score = np.zeros(n, np.int64), np.zeros(n)
         if fitted is not None:
             for i, j, buf, offsets in text_slices(pc.utf8_lower(column)):

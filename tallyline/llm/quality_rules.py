@@ -9,6 +9,9 @@ A line fails if it is
 * a stub: fewer than ``STUB_WORDS`` words and no sentence-ending punctuation;
 * a repeat: equal to an earlier line of the document that has at least ``REPEAT_WORDS`` words.
 
+``clean`` returns the kept documents without their failed lines; ``judge`` the
+counts and the verdict of every document. Lines without a word are left alone.
+
 A document is kept if the base checks pass and at least ``KEEP_SHARE`` of its
 word characters stand in lines that did not fail.
 
@@ -24,6 +27,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import covered, mix, per_text, runs_of, span_hashes, text_slices, words
@@ -75,13 +79,15 @@ def line_fails(line: str, n_chars: int, parts: list[str], repeated: bool) -> boo
     return n <= BOILERPLATE_WORDS and _BOILERPLATE.search(line) is not None
 
 
-def _lines(text: str) -> tuple[int, float]:
-    """Lines with a word that equal an earlier line; share of the word characters in removed lines."""
+def _lines(text: str) -> tuple[int, float, str]:
+    """Lines with a word that equal an earlier line; share of the word characters in removed lines; the text without those."""
     seen: set[str] = set()
+    kept: list[str] = []
     repeats = total = lost = 0
     for line in text.split("\n"):
         parts = [w for w in _SPLIT.split(line) if w]
         if not parts:
+            kept.append(line)
             continue
         again = line in seen
         if again:
@@ -92,7 +98,9 @@ def _lines(text: str) -> tuple[int, float]:
         total += n_chars
         if line_fails(line, n_chars, parts, again):
             lost += n_chars
-    return repeats, (lost / total if total else 0.0)
+        else:
+            kept.append(line)
+    return repeats, (lost / total if total else 0.0), "\n".join(kept) if lost else text
 
 
 def _measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -119,12 +127,13 @@ def _measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def measure(column: pa.Array) -> dict[str, object]:
-    """All fields of ``FIELDS`` for a column of texts."""
+    """All fields of ``FIELDS`` for a column of texts, and ``cleaned``, the texts without the lines that failed (null stays null)."""
     parts = [_measure(buf, offsets) for _, _, buf, offsets in text_slices(column)]
     out: dict[str, object] = {k: np.concatenate([p[k] for p in parts]) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words")}
     lines = [_lines(t or "") for t in column.to_pylist()]
-    out["n_dup_lines"] = np.array([r for r, _ in lines], np.int64)
-    lost = np.array([s for _, s in lines], float)
+    out["n_dup_lines"] = np.array([r for r, _, _ in lines], np.int64)
+    lost = np.array([s for _, s, _ in lines], float)
+    out["cleaned"] = pa.array([None if t is None else line[2] for t, line in zip(column.to_pylist(), lines, strict=True)], pa.string())
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * out["n_words"])
     out["lost_share"] = lost
     out["kept"] = ~out["base_failed"] & (lost <= 1 - KEEP_SHARE)
@@ -134,3 +143,10 @@ def measure(column: pa.Array) -> dict[str, object]:
 def judge(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the counts and the verdict of every row appended; see the module for each case."""
     return with_computed(docs, [text], FIELDS, measure)
+
+
+def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are kept, with the columns of ``docs`` and without the lines that failed."""
+    made, names = with_computed(docs, [text], FIELDS | {"cleaned": T.StringType()}, measure)
+    columns = [F.col(names["cleaned"]).alias(c) if c == text else F.col(c) for c in docs.columns]
+    return made.filter(names["kept"]).select(*columns)
