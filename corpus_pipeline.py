@@ -17,6 +17,11 @@ from tallyline.llm.shared import remove_folder, ship, table
 from tallyline.session import scratch_path
 
 
+def with_sizes(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where the table has it, says how long the texts are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts."""
     ship(spark)
@@ -26,10 +31,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the line-first rules keep."""
+    """Documents the line-first rules keep, without the lines that failed."""
     ship(spark)
-    made, names = quality_rules.judge(docs)
-    return made.filter(names["kept"]).select(*docs.columns)
+    return with_sizes(quality_rules.clean(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings that stand in earlier ones."""
     ship(spark)
-    cut = suffix_dedup.remove_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+    return with_sizes(suffix_dedup.remove_repeats(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
