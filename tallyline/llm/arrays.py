@@ -33,6 +33,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+# places whose values come from a table
+_NEAR = 64
+
+
+def _placed(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The value of a byte at a place of its span."""
+    return mix(_BYTE_VALUE[byte] ^ ((place.astype(np.uint64) + np.uint64(1)) * _ODD[3]))
+
+
+_PLACED = _placed(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256), _NEAR))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its texts; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,12 +104,19 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     total = int(lengths.sum())
     bound = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=bound[1:])
-    place = np.arange(total, dtype=np.int64)
-    place -= np.repeat(bound[:-1], lengths)
-    value = _BYTE_VALUE[buf[place + np.repeat(starts, lengths)]]
-    value ^= (place.astype(np.uint64) + np.uint64(1)) * _ODD[3]
+    place = np.arange(total, dtype=np.int32 if total < 1 << 31 else np.int64)
+    place -= np.repeat(bound[:-1].astype(place.dtype), lengths)
+    # spans that cover the buffer without gaps need no gathering
+    held = buf if total == len(buf) and (not total or (starts == bound[:-1]).all()) else buf[ragged(starts, lengths)]
+    if not total or int(lengths.max()) <= _NEAR:
+        value = _PLACED[(place << 8) | held]
+    else:
+        value = np.empty(total, np.uint64)
+        near = place < _NEAR
+        value[near] = _PLACED[(place[near] << 8) | held[near]]
+        value[~near] = _placed(place[~near], held[~near])
     summed = np.zeros(total + 1, np.uint64)
-    np.cumsum(mix(value), out=summed[1:])
+    np.cumsum(value, out=summed[1:])
     return mix((summed[bound[1:]] - summed[bound[:-1]]) ^ (lengths.astype(np.uint64) * _ODD[2]))
 
 
