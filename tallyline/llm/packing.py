@@ -15,7 +15,7 @@ rows, and a small sum over (length, shard) counts gives each shard its start.
 
 Text is tokenised slice by slice. Distinct space-delimited words of a slice
 are found by hashing, encoded once each, and gathered back by position; the ids
-of words met lately are kept from slice to slice, in bounded tables. With
+of words met lately are kept from slice to slice, in a bounded table. With
 ``added_tokens`` (as the registered query and the pipeline ask for) the added
 tokens of the vocabulary file stand for themselves in a text, as they do in the
 library by default; without, their letters are text like any other.
@@ -26,8 +26,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,8 +46,8 @@ from .arrays import ragged, span_hashes, text_slices, words
 CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-# words of one generation whose ids a worker keeps
-KEPT_WORDS = 400_000
+# words whose ids a worker keeps
+KEPT_WORDS = 500_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -58,6 +58,65 @@ PIECES = T.StructType([
 # ---- tokens
 
 
+class WordTable:
+    """Ids of words met in earlier slices, as flat arrays in the order of the words' hashes: some forty bytes a word.
+
+    A word is found by its hash and then compared byte by byte. A table that would
+    hold more than ``KEPT_WORDS`` keeps the words of the slice at hand alone, so it
+    is bounded by the greater of both, and what it forgets is encoded again.
+    """
+
+    def __init__(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.word_at, self.word_size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids_at, self.ids_size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.letters, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def _met(self, h: np.ndarray, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: is its hash in the table, and is the word."""
+        if not len(self.hash):
+            return np.zeros(len(h), bool), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        hashed = self.hash[at] == h
+        same = hashed & (self.word_size[at] == size)
+        some = np.flatnonzero(same)
+        differ = buf[ragged(starts[some], size[some])] != self.letters[ragged(self.word_at[at[some]], size[some])]
+        same[np.repeat(some, size[some])[differ]] = False
+        return hashed, same
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Forget all words but those at the given places."""
+        self.hash = self.hash[at]
+        for pool, place, size in (("letters", "word_at", "word_size"), ("ids", "ids_at", "ids_size")):
+            starts, sizes = getattr(self, place)[at], getattr(self, size)[at].astype(np.int64)
+            setattr(self, pool, getattr(self, pool)[ragged(starts, sizes)])
+            setattr(self, place, np.cumsum(sizes) - sizes)
+            setattr(self, size, getattr(self, size)[at])
+
+    def places(self, h: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], list[list[int]]]) -> np.ndarray:
+        """Where the words, distinct and by rising hash, stand in the table; those not met yet are encoded and added."""
+        size = ends - starts
+        hashed, same = self._met(h, buf, starts, size)
+        if (hashed & ~same).any():
+            self.__init__()
+            same[:] = False
+        elif len(self.hash) + int((~same).sum()) > KEPT_WORDS:
+            self._keep(np.searchsorted(self.hash, h[same]))
+        new = ~same
+        raw = buf.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+        lists = encode(words)
+        size, count = size[new].astype(np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+        place = np.searchsorted(self.hash, h[new])
+        for name, values in (
+            ("hash", h[new]), ("word_at", len(self.letters) + np.cumsum(size) - size), ("word_size", size), ("ids_at", len(self.ids) + np.cumsum(count) - count), ("ids_size", count),
+        ):
+            setattr(self, name, np.insert(getattr(self, name), place, values))
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(words), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum()))])
+        return np.searchsorted(self.hash, h)
+
+
 class WordEncoder:
     """Ids of space-delimited words, as the vocabulary file's own library gives them.
 
@@ -80,27 +139,7 @@ class WordEncoder:
         # the pattern of the file, for lower-case ASCII
         self.split = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.plain = re.compile(rb"[!-~]+")
-        # ids of words seen lately, as bytes: two generations, the older one is dropped when the newer is full
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def packed(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of each word as unsigned 32-bit integers; words met in earlier slices are not encoded again."""
-        if len(self.recent) > KEPT_WORDS:
-            self.older, self.recent = self.recent, {}
-        recent, older = self.recent, self.older
-        out = list(map(recent.get, batch))
-        missing = []
-        for i, word in enumerate(batch):
-            if out[i] is None:
-                ids = older.get(word)
-                if ids is None:
-                    missing.append(i)
-                else:
-                    out[i] = recent[word] = ids
-        for i, ids in zip(missing, self.encode([batch[i] for i in missing]), strict=True):
-            out[i] = recent[batch[i]] = array("I", ids).tobytes()
-        return out
+        self.known = WordTable()
 
     def holds_added(self, column: pa.Array) -> list[bool]:
         """Which texts hold an added token, be it inside a word."""
@@ -167,14 +206,11 @@ def token_ids(column: pa.Array, path: str, added_tokens: bool = False) -> Iterat
     whole = made.holds_added(column) if added_tokens else [False] * len(column)
     for i, _, buf, offsets in text_slices(column, 2 << 20):
         starts, ends, first = words(buf, offsets)
-        raw = buf.tobytes()
-        _, where, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        lists = made.packed([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), np.uint32)
-        at = np.cumsum(sizes) - sizes
-        counts = sizes[back]
-        ids = flat[ragged(at[back], counts)] if len(back) else flat
+        h, where, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        table = made.known
+        at = table.places(h, buf, starts[where], ends[where], made.encode)
+        counts = table.ids_size[at].astype(np.int64)[back]
+        ids = table.ids[ragged(table.ids_at[at][back], counts)]
         bound = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=bound[1:])
         cut = bound[first]

@@ -52,11 +52,22 @@ def test_rules_and_passages_do_not_take_the_pair_for_a_repeat(spark):
 
 def test_kept_words_change_no_ids(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
-    monkeypatch.setattr(packing, "KEPT_WORDS", 5)
-    made = packing.WordEncoder(path)
-    words = [f"w{i % 17}é{i % 5}" if i % 3 else f"Word{i % 11}" for i in range(300)]
-    for i in range(0, 300, 30):
-        batch = [w.encode() for w in words[i : i + 30]]
-        want = [e.ids for e in made.library.encode_batch([w.decode() for w in batch], add_special_tokens=False)]
-        assert [np.frombuffer(ids, np.uint32).tolist() for ids in made.packed(batch)] == want
-        assert len(made.recent) <= 5 + 30 and len(made.older) <= 5 + 30
+    texts = [" ".join(f"w{(i * j) % 17}é{i % 5}" if j % 3 else f"Word{(i + j) % 11}" for j in range(40)) for i in range(60)] + ["", None, PAIR, "w1é1"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for most in (5, 40, 400_000):
+        monkeypatch.setattr(packing, "KEPT_WORDS", most)
+        monkeypatch.setattr(packing, "_encoders", {})
+        for i in range(0, len(texts), 8):
+            got = [ids.tolist() for _, ids in packing.token_ids(pa.array(texts[i : i + 8], pa.string()), path, True)]
+            assert got == want[i : i + 8]
+        assert len(packing.encoder(path).known.hash) <= max(most, 150)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "_encoders", {})
+    monkeypatch.setattr(packing, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    library = Tokenizer.from_file(path)
+    for text in ("one three", "two seven", "six three", "one"):
+        got = [ids.tolist() for _, ids in packing.token_ids(pa.array([text]), path)]
+        assert got == [library.encode(text, add_special_tokens=False).ids]
