@@ -47,7 +47,7 @@ CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
 # words whose ids a worker keeps
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -204,7 +204,7 @@ def token_ids(column: pa.Array, path: str, added_tokens: bool = False) -> Iterat
     """``(row, ids)`` of each text, without an end mark; null is empty. ``added_tokens``: see the module."""
     made = encoder(path)
     whole = made.holds_added(column) if added_tokens else [False] * len(column)
-    for i, _, buf, offsets in text_slices(column, 2 << 20):
+    for i, _, buf, offsets in text_slices(column):
         starts, ends, first = words(buf, offsets)
         h, where, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         table = made.known
@@ -239,6 +239,8 @@ def pieces(
                     [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=PIECES.names,
                 )
+        # a worker serves other tasks too
+        encoder(path).known = WordTable()
 
     return slim.mapInArrow(run, PIECES)
 
