@@ -7,13 +7,17 @@ starts. Phrases times log2(sample length), per byte, estimate the entropy of
 the text under that language; the smallest wins.
 
 The automata become dense tables (state by byte class; every byte value that
-occurs in a language's sample has a class of its own there), and many stretches
-of text walk through a table in lockstep, two gathers per byte. Stretches are
-``STRETCH`` bytes, so whole texts are parsed, in parallel; a cut adds at most
-one phrase, for every language alike.
+occurs in a language's sample has a class of its own there). Stretches of
+``STRETCH`` bytes walk through a table in lockstep, each as if a phrase began
+there. The parse that comes out of a stretch then runs on through the next one
+until it is in the state that the next one's own walk had at that byte: from
+there on both agree. So a phrase may be of any length, and the counts are those
+of one parse from the first byte to the last.
 
-Sample bound: ``SAMPLE_DOCS`` documents per language (chosen by hash), the
-first ``SAMPLE_BYTES / SAMPLE_DOCS`` bytes of each. Text is lower-cased first.
+Sample bound: ``SAMPLE_DOCS`` documents per language (chosen by hash) and
+``SAMPLE_BYTES`` bytes. The bytes are shared evenly among the chosen documents;
+what short ones leave goes to longer ones. A document longer than its share
+gives a span at a hashed place of its whole text. Text is lower-cased first.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any
 labelled row everything is ``und``. Ties go to the language first in order.
@@ -39,7 +43,8 @@ from .shared import with_computed
 SAMPLE_DOCS = 256
 SAMPLE_BYTES = 32_768
 STRETCH = 256
-PAD = 256  # beyond the byte values: fills short stretches
+# stretches that walk together
+LANES = 4096
 UNKNOWN = "und"
 # the upper two bits of an entry count the phrases that end at this byte
 _ONE, _SHIFT = np.uint32(1 << 30), np.uint32(30)
@@ -80,18 +85,16 @@ def automaton(text: bytes) -> list[dict[int, int]]:
 
 
 def byte_classes(sample: bytes) -> tuple[np.ndarray, int]:
-    """The class of each byte value and of ``PAD``, and their number: 0 pads, 1 is any byte that the sample lacks."""
+    """The class of each byte value, and their number: 0 is any byte that the sample lacks."""
     own = np.unique(np.frombuffer(sample, np.uint8))
-    class_of = np.ones(PAD + 1, np.uint32)
-    class_of[own] = np.arange(2, 2 + len(own))
-    class_of[PAD] = 0
-    return class_of, 2 + len(own)
+    class_of = np.zeros(256, np.uint32)
+    class_of[own] = np.arange(1, 1 + len(own))
+    return class_of, 1 + len(own)
 
 
 def dense_table(following: list[dict[int, int]], class_of: np.ndarray, n_classes: int) -> np.ndarray:
     """Flat table of next offsets (state * classes), with the number of phrases that end in the upper bits.
 
-    Class 0 pads short stretches: it stays in its state and ends nothing.
     Where a byte can't continue a phrase, the open one ends and the byte begins
     the next; a byte that is nowhere in the sample is a phrase of its own.
     """
@@ -100,7 +103,6 @@ def dense_table(following: list[dict[int, int]], class_of: np.ndarray, n_classes
         start[class_of[byte]] = to * n_classes
     table = np.tile(np.where(start > 0, start | _ONE, 2 * _ONE).astype(np.uint32), (len(following), 1))
     table[0] = np.where(start > 0, start, _ONE)
-    table[:, 0] = np.arange(len(following), dtype=np.uint32) * n_classes
     for state, row in enumerate(following):
         for byte, to in row.items():
             table[state, class_of[byte]] = to * n_classes
@@ -135,44 +137,136 @@ def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lengths = np.diff(offsets)
     per = -(-lengths // STRETCH)
     text_of = np.repeat(np.arange(n), per)
-    lane_start = np.repeat(offsets[:-1], per) + (np.arange(len(text_of)) - np.repeat(np.cumsum(per) - per, per)) * STRETCH
+    nth = np.arange(len(text_of)) - np.repeat(np.cumsum(per) - per, per)
+    lane_start = np.repeat(offsets[:-1], per) + nth * STRETCH
     lane_length = np.minimum(STRETCH, offsets[1:][text_of] - lane_start)
     out = np.zeros((n, len(model.languages)), np.int64)
-    # lanes of like length together, so that short texts don't pad to a full stretch
-    order = np.argsort(lane_length, kind="stable")
-    padded = np.append(buf.astype(np.uint16), np.full(STRETCH, PAD, np.uint16))
-    for at in range(0, len(order), 4096):
-        part = order[at : at + 4096]
-        steps = int(lane_length[part].max())
-        grid = np.arange(steps)[:, None]
-        values = padded[lane_start[part][None, :] + grid]
-        values[grid >= lane_length[part][None, :]] = PAD
+    # the state in which the part before left the text that goes on in this one
+    left = [0] * len(model.languages)
+    for at in range(0, len(text_of), LANES):
+        part = slice(at, at + LANES)
+        walk = _Walk(buf, lane_start[part], lane_length[part], text_of[part])
+        goes_on = nth[at] > 0
         for k, (class_of, table) in enumerate(zip(model.classes, model.tables, strict=True)):
-            codes = class_of[values]
-            state = np.zeros(len(part), np.uint32)
-            ended = np.zeros(len(part), np.uint32)
-            for step in range(steps):
-                moved = table[state + codes[step]]
-                ended += moved >> _SHIFT
-                state = moved & _STATE
-            out[:, k] += np.bincount(text_of[part], ended + (state > 0), minlength=n).astype(np.int64)
+            counts, left[k] = walk.through(class_of, table, left[k] if goes_on else 0)
+            out[: walk.texts[-1] + 1, k] += np.bincount(walk.texts, counts).astype(np.int64)
     return out
 
 
+class _Walk:
+    """Consecutive stretches of texts, walked through one table after another."""
+
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, texts: np.ndarray):
+        # longest first: at each byte the stretches that reach it stand in front
+        self.order = np.argsort(-lengths, kind="stable")
+        self.place = np.empty_like(self.order)
+        self.place[self.order] = np.arange(len(self.order))
+        self.lengths, self.texts = lengths, texts
+        steps = np.arange(int(lengths.max()))
+        self.reach = np.searchsorted(-lengths[self.order], -steps, side="left")
+        self.values = buf[np.minimum(starts[self.order][None, :] + steps[:, None], len(buf) - 1)]
+        follows = np.zeros(len(texts), bool)
+        follows[1:] = texts[1:] == texts[:-1]
+        self.follows = follows
+
+    def through(self, class_of: np.ndarray, table: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+        """Phrases that begin in each stretch (their sum per text is exact), and the state at the end; the first begins in ``state``."""
+        lanes = len(self.order)
+        codes = class_of[self.values]
+        states = np.zeros((len(codes) + 1, lanes), np.uint32)
+        begun = np.zeros((len(codes) + 1, lanes), np.uint16)
+        states[0, self.place[0]] = state
+        for step, m in enumerate(self.reach):
+            now = states[step, :m]
+            moved = table[now + codes[step, :m]]
+            states[step + 1, :m] = moved & _STATE
+            begun[step + 1, :m] = begun[step, :m] + ((now == 0) | (moved >= _ONE))
+        place, lengths = self.place, self.lengths
+        end = states[lengths, place]
+        counts = begun[lengths, place].astype(np.int64)
+        last = int(end[-1])
+        at = np.flatnonzero(self.follows)
+        if not len(at):
+            return counts, last
+        # what comes out of the stretch before runs on until it meets the walk of this one
+        met, gone = np.full(lanes, -1), np.zeros(lanes, np.int64)
+        run, running = end[at - 1], at
+        for step in range(len(codes) + 1):
+            same = run == states[step, place[running]]
+            met[running[same]] = step
+            on = ~same & (lengths[running] > step)
+            run, running = run[on], running[on]
+            if not len(running):
+                break
+            moved = table[run + codes[step, place[running]]]
+            gone[running] += (run == 0) | (moved >= _ONE)
+            run = moved & _STATE
+        synced = at[met[at] >= 0]
+        counts[synced] += gone[synced] - begun[met[synced], place[synced]]
+        # stretches that are not met within themselves: from the first of a row of them, byte by byte
+        lane = 0
+        for lane_missed in np.flatnonzero(self.follows & (met < 0)).tolist():
+            if lane_missed < lane:
+                continue
+            lane, run = lane_missed, int(end[lane_missed - 1])
+            found = False
+            while not found and lane < lanes and (lane == lane_missed or self.follows[lane]):
+                n = 0
+                for step in range(int(lengths[lane]) + 1):
+                    if lane > lane_missed and run == states[step, place[lane]]:
+                        counts[lane] = n + int(begun[lengths[lane], place[lane]]) - int(begun[step, place[lane]])
+                        found = True
+                        break
+                    if step == lengths[lane]:
+                        break
+                    moved = int(table[run + int(codes[step, place[lane]])])
+                    n += run == 0 or moved >= int(_ONE)
+                    run = moved & int(_STATE)
+                if not found:
+                    counts[lane] = n
+                lane += 1
+            if not found and lane == lanes:
+                last = run
+        return counts, last
+
+
+def even_share(sizes: list[int], budget: int) -> int:
+    """The most that each may give so that all together give ``budget``, where smaller ones give all they have."""
+    for k, size in enumerate(sorted(sizes)):
+        share = budget // (len(sizes) - k)
+        if size >= share:
+            return share
+        budget -= size
+    return max(sizes)
+
+
 def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> Model | None:
     """Learn from rows that are not held out and have a language; see the module for the bound."""
-    share = SAMPLE_BYTES // SAMPLE_DOCS
-    known = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"))
+    spark = docs.sparkSession
+    known = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(lang).cast("string").alias("_lang"), F.lower(F.col(text).cast("string")).alias("_text"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & (F.length("_text") > 0) & ~held_out("_id"))
+    key = ["_lang", "_id", "_name"]
+    known = known.withColumn("_name", F.xxhash64("_text"))
     # a language may hold most rows: the sample is drawn from shares of it first
     part = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARES))
-    chosen = known.select("_lang", "_id", F.substring("_text", 1, share).alias("_head"), part.alias("_share"))
+    chosen = known.select(*key, F.octet_length("_text").alias("_size"), part.alias("_share"))
     for keys in (["_lang", "_share"], ["_lang"]):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id"))
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id", "_name"))
         chosen = chosen.withColumn("_nth", nth).filter(F.col("_nth") <= SAMPLE_DOCS)
+    # at most SAMPLE_DOCS rows a language; a repeated row is learned once
+    rows = {(r["_lang"], r["_id"], r["_name"]): r["_size"] for r in chosen.collect()}
+    if not rows:
+        return None
+    sizes: dict[str, list[int]] = {}
+    for (language, _, _), size in rows.items():
+        sizes.setdefault(language, []).append(size)
+    shares = {k: even_share(v, SAMPLE_BYTES) for k, v in sizes.items()}
+    wanted = spark.createDataFrame([(*k, shares[k[0]]) for k in rows], "_lang string, _id long, _name long, _most int")
+    place = F.pmod(F.xxhash64("_name", F.lit(11)), F.greatest(F.lit(1), F.length("_text") - F.col("_most") + 1))
+    spans = known.join(F.broadcast(wanted), key).select(*key, "_most", F.substring(F.col("_text"), (place + 1).cast("int"), F.col("_most")).alias("_span"))
     samples: dict[str, list[bytes]] = {}
-    for row in chosen.orderBy("_lang", "_nth").collect():
-        samples.setdefault(row["_lang"], []).append(row["_head"].lower().encode()[:share])
+    for row in spans.dropDuplicates(key).orderBy(*key).collect():
+        samples.setdefault(row["_lang"], []).append(row["_span"].encode()[: row["_most"]])
     return fit_model({k: b"\n".join(v) for k, v in samples.items()})
 
 
