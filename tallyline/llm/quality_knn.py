@@ -10,12 +10,16 @@ The labelled sample is bounded: at most ``PER_LABEL`` rows of each label value,
 chosen by hash of the id. Its vectors (``2 * PER_LABEL`` by ``RANK`` numbers)
 are broadcast; every text of the corpus is compared with all of them, exactly,
 one matrix product per block. The ``NEIGHBOURS`` nearest vote with weight
-``cosine ** POWER``.
+``cosine ** POWER``, times the labelled rows that each of them stands for (rows
+of its label value by rows of it in the sample), so that a score means the same
+whatever the size of the table.
 
 Null and empty texts have no terms; their latent vector is zero and they get
-the sample's share of label 1. Ties at the last neighbour are broken by the
-order of the sample. Repeated rows are scored each, equal texts alike. Without
-any labelled row every score is 0.5. Very long texts are one slice.
+label 1's share of the labelled rows. Ties at the last neighbour are broken by
+the order of the sample. Repeated rows are scored each, equal texts alike. An
+id labelled both 0 and 1 is not learned; of several texts under one id the
+least by its terms is. Without any labelled row every score is 0.5. Very long
+texts are one slice.
 """
 
 from __future__ import annotations
@@ -90,13 +94,14 @@ def term_counts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``columns`` of the counts, their ``idf``, ``directions``; latent ``vectors`` of the sample with their ``labels``."""
+    """``columns`` of the counts, their ``idf``, ``directions``; latent ``vectors`` of the sample with their ``labels`` and the rows each stands for."""
 
     columns: np.ndarray
     idf: np.ndarray
     directions: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    stands_for: np.ndarray
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
         x = _unit(np.log1p(counts[:, self.columns]) * self.idf)
@@ -105,19 +110,19 @@ class Model:
     def score(self, counts: np.ndarray) -> np.ndarray:
         near = self.latent(counts) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(near, best, axis=1), 0, 1).astype(float) ** POWER
+        best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        weight = np.clip(np.take_along_axis(near, best, axis=1), 0, 1).astype(float) ** POWER * self.stands_for[best]
         total = weight.sum(axis=1)
         votes = (weight * self.labels[best]).sum(axis=1)
-        return np.where(total > 1e-12, votes / np.maximum(total, 1e-12), self.labels.mean())
+        return np.where(total > 1e-12, votes / np.maximum(total, 1e-12), np.average(self.labels, weights=self.stands_for))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit_model(counts: np.ndarray, labels: np.ndarray) -> Model | None:
-    """Latent space and vectors of a sample; None for an empty one."""
+def fit_model(counts: np.ndarray, labels: np.ndarray, rows: dict[int, float] | None = None) -> Model | None:
+    """Latent space and vectors of a sample; None for an empty one. ``rows``: labelled rows there are of each label value."""
     if not len(labels):
         return None
     present = (counts > 0).sum(axis=0)
@@ -128,7 +133,10 @@ def fit_model(counts: np.ndarray, labels: np.ndarray) -> Model | None:
     x = _unit(np.log1p(counts[:, columns]) * idf)
     values, vectors = np.linalg.eigh(x.T @ x)
     directions = vectors[:, np.argsort(-values)[:RANK]]
-    model = Model(columns, idf.astype(np.float32), directions.astype(np.float32), np.zeros((0, 0)), labels.astype(float))
+    stands_for = np.ones(len(labels))
+    for label, n in (rows or {}).items():
+        stands_for[labels == label] = n / max(1, (labels == label).sum())
+    model = Model(columns, idf.astype(np.float32), directions.astype(np.float32), np.zeros((0, 0)), labels.astype(float), stands_for)
     model.vectors = model.latent(counts).astype(np.float32)
     return model
 
@@ -137,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     """Fit on at most ``per_label`` labelled rows of each value (0 and 1) that are not held out."""
     known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_label"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id"))
+    known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).filter("_label = _most").select("_id", "_label")
     order = (F.xxhash64("_id"), F.col("_id"))
     share = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARES))
     chosen = known.withColumn("_share", share)
@@ -155,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
                 packed = [r.astype("<f4").tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["id", "label", "terms"])
 
-    # equal ids may stand in several rows; the sample stays bounded by taking the first of each
-    rows = sample.mapInArrow(run, "id long, label int, terms binary").dropDuplicates(["id"]).orderBy("id").collect()
+    # equal ids may stand in several rows; the sample stays bounded by taking the least of each
+    rows = sample.mapInArrow(run, "id long, label int, terms binary").groupBy("id", "label").agg(F.min("terms").alias("terms")).orderBy("id").collect()
     counts = np.array([np.frombuffer(r["terms"], "<f4") for r in rows], np.float32).reshape(-1, TERMS)
-    return fit_model(counts, np.array([r["label"] for r in rows]))
+    there_are = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    return fit_model(counts, np.array([r["label"] for r in rows]), there_are)
 
 
 def scorer(model: Callable[[], Model | None]) -> Callable[[pa.Array], dict[str, object]]:
