@@ -2,17 +2,25 @@
 
 Vectors are compared on the unit sphere, where a cosine of at least c is a
 chord of at most ``sqrt(2 - 2c)``. Per label, points form a tree of nested
-nodes. Distributed levels split every node of more than ``LEAF`` points around
-centres chosen from a bounded sample of it (at most ``FAN`` of them); each
-point goes to its nearest centre, and a node's covering radius is the largest
-distance that was then measured, so bounds never rest on the sample. Inside a
-leaf, nested nets with halving radii (1, 1/2, 1/4, 1/8) continue the tree.
+nodes. Distributed levels split every node of more than ``LEAF`` points: a net
+of half the node's radius is drawn from a bounded sample of it (in hash order,
+so that dense parts get centres; at most ``FAN`` of them), each point goes to
+its nearest centre, and where much of the sample lies within half the radius of
+a centre, the points farther out are a child of their own. A child's covering
+radius is the largest distance measured in it, so bounds never rest on the
+sample. A child that has neither half the radius nor half the points of its
+parent, or whose points are all near duplicates of each other by its radius, is
+dealt by id next, under the centre it has. So depth is bounded by the spread
+and the logarithm of the size, for any data. Inside a leaf, nested nets with
+halving radii (1, 1/2, 1/4, 1/8) continue the tree, built once per leaf.
 
 Two trees are traversed together. A pair of nodes whose centres are farther
 apart than both covering radii and the threshold chord is dropped; others are
 replaced by the pairs of their children, level by level, first as joins of node
 tables, then inside each surviving pair of leaves, and at last as points, whose
-cosine is computed in double precision and compared with the threshold.
+cosine is computed in double precision and compared with the threshold. Where
+bounds prune too little of a pair of leaves to pay, its points are compared as
+one matrix product.
 
 Equal vectors of a label are one point with a weight. A pair of leaves returns
 how many rows each point is linked to and the links of a spanning forest, never
@@ -27,6 +35,7 @@ rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +51,15 @@ from .shared import components
 THRESHOLD = 0.93
 LEAF = 1024
 FAN = 64
-LEVELS = 24
+# share of a node's sample (one in …) near a centre from which points farther out are kept apart
+DENSE = 16
+# node pairs cost this many times a pair inside a matrix product
+GATHER = 32
+# chords below this are rounding
+FINEST = 1e-6
 NETS = (1.0, 0.5, 0.25, 0.125)
 # bounds are compared with this much room for rounding; the last comparison is exact
 SLACK = 1e-9
-# pairs whose vectors are gathered at a time
-PAIRS = 1 << 15
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -86,47 +98,64 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 # ---- distributed levels
 
 
+_CENTRES = "node string, centres binary, k int, half double, apart binary, pieces int"
+
+
 def _centres(fan_for: int):
-    """From a node's sample: centres a net would take, farthest first, as one blob."""
+    """From a node's sample: a net of half its radius, or the node's own centre where it is dealt by id."""
 
     def run(table: pa.Table) -> pa.Table:
-        v = _vectors(table.column("vector"))
-        want = int(min(FAN, max(2, -(-2 * table.column("n")[0].as_py() // fan_for))))
-        chosen, far = [0], chords(v, v[:1])[:, 0]
-        while len(chosen) < min(want, len(v)) and far.max() > 0:
-            nxt = int(far.argmax())
-            chosen.append(nxt)
-            far = np.minimum(far, chords(v, v[nxt : nxt + 1])[:, 0])
-        return pa.table({"node": table.column("node").slice(0, 1), "centres": pa.array([v[chosen].tobytes()], pa.binary()), "k": pa.array([len(chosen)], pa.int32())})
+        first = {c: table.column(c)[0].as_py() for c in ("node", "n", "far", "deal", "centre")}
+        pieces = -(-2 * first["n"] // fan_for)
+        if first["deal"]:
+            c = np.frombuffer(first["centre"], np.float64)[None, :]
+            half, apart = np.inf, np.zeros(1, np.uint8)
+        else:
+            half, pieces, v = first["far"] / 2, 1, _vectors(table.column("vector"))
+            d, chosen = chords(v, v), [0]
+            least = d[0].copy()
+            for i in range(1, len(v)):
+                if least[i] > half and len(chosen) < min(FAN, max(2, -(-2 * first["n"] // fan_for))):
+                    chosen.append(i)
+                    least = np.minimum(least, d[i])
+            c, own = v[chosen], d[:, chosen].argmin(axis=1)
+            near = np.bincount(own[least <= half], minlength=len(chosen))
+            apart = (near * DENSE > len(v)).astype(np.uint8)
+        row = {"node": first["node"], "centres": c.tobytes(), "k": len(c), "half": half, "apart": apart.tobytes(), "pieces": pieces}
+        return pa.Table.from_pylist([row], schema=_CENTRES_ARROW)
 
     return run
 
 
+_CENTRES_ARROW = pa.schema([("node", pa.string()), ("centres", pa.binary()), ("k", pa.int32()), ("half", pa.float64()), ("apart", pa.binary()), ("pieces", pa.int32())])
+
+
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each point of a split node to its nearest centre; ``(…, child, distance)``."""
+    """Each point of a split node to its nearest centre; ``(…, child, far, centre)``."""
     for batch in batches:
-        child, far, centre = [], [], []
-        known: dict[bytes, np.ndarray] = {}
-        columns = [batch.column(c).to_pylist() for c in ("vector", "centres", "k", "vec_id")]
-        for vector, centres, k, spread in zip(*columns, strict=True):
-            if centres not in known:
-                known[centres] = np.frombuffer(centres, np.float64).reshape(k, -1)
-            c = known[centres]
-            d = chords(unit(np.frombuffer(vector, np.float64)[None, :]), c)[0]
-            at = int(d.argmin())
-            # a node without any extent is dealt by id, under the one centre it has
-            child.append(at if k > 1 else spread % FAN)
-            far.append(float(d[at]))
-            centre.append(c[at].tobytes())
+        if not batch.num_rows:
+            continue
+        nodes = np.array(batch.column("node").to_pylist(), object)
+        vectors, spread = batch.column("vector").to_pylist(), batch.column("spread").to_numpy()
+        child, far, centre = np.zeros(len(nodes), np.int64), np.zeros(len(nodes)), np.empty(len(nodes), object)
+        for node in dict.fromkeys(nodes):
+            at = np.flatnonzero(nodes == node)
+            row = batch.slice(int(at[0]), 1).select(["centres", "k", "half", "apart", "pieces"]).to_pylist()[0]
+            c = np.frombuffer(row["centres"], np.float64).reshape(row["k"], -1)
+            d = chords(unit(np.frombuffer(b"".join([vectors[i] for i in at]), np.float64).reshape(len(at), -1)), c)
+            own = d.argmin(axis=1)
+            far[at] = d[np.arange(len(at)), own]
+            outside = np.frombuffer(row["apart"], np.uint8)[own] * (far[at] > row["half"])
+            # one of the two factors is always one: a node has several centres or several pieces
+            child[at] = (own * 2 + outside) * row["pieces"] + spread[at] % row["pieces"]
+            blobs = [x.tobytes() for x in c]
+            centre[at] = [blobs[k] for k in own]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("node", "vec_id", "weight", "vector")] + [pa.array(child, pa.int64()), pa.array(far, pa.float64()), pa.array(centre, pa.binary())],
+            [batch.column(c) for c in ("node", "vec_id", "weight", "vector")] + [pa.array(child), pa.array(far), pa.array(centre, pa.binary())],
             names=["node", "vec_id", "weight", "vector", "child", "far", "centre"],
         )
 
 
-_PAIR = "a binary, b binary, a_far double, b_far double"
-
-
 def _near(chord: float):
     """Node pairs that covering radii can't rule out."""
 
@@ -152,6 +181,18 @@ def _near(chord: float):
 class Tree:
     """Nested nets over a leaf: at each level a centre per node, its covering radius, its children on the next level."""
 
+    @classmethod
+    def read(cls, made: bytes, vectors: np.ndarray) -> Tree:
+        """A tree that ``written`` gave, over the same vectors."""
+        tree = cls.__new__(cls)
+        tree.vectors = vectors
+        tree.nets, tree.radii, tree.child_at, tree.children = pickle.loads(made)
+        return tree
+
+    def written(self) -> bytes:
+        whole = [[x.astype(np.int32) for x in part] for part in (self.nets, self.child_at, self.children)]
+        return pickle.dumps((whole[0], self.radii, whole[1], whole[2]))
+
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         n = len(vectors)
@@ -189,36 +230,24 @@ class Tree:
 def linked(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of points (of a, of b) with cosine at least ``threshold``, by descending both trees together."""
     chord = float(np.sqrt(2 - 2 * threshold))
-    found_a, found_b = [], []
-    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    i = j = np.zeros(1, np.int64)
     last = len(a.nets) - 1
-    while stack:
-        level, i, j = stack.pop()
-        if len(i) > PAIRS:
-            for at in range(0, len(i), PAIRS):
-                stack.append((level, i[at : at + PAIRS], j[at : at + PAIRS]))
-            continue
+    for level in range(last):
         x, y = a.vectors[a.nets[level][i]], b.vectors[b.nets[level][j]]
-        cosine = (x * y).sum(axis=1)
-        if level == last:
-            near = cosine >= threshold
-            found_a.append(i[near])
-            found_b.append(j[near])
-            continue
-        near = np.sqrt(np.maximum(0.0, 2 - 2 * cosine)) <= a.radii[level][i] + b.radii[level][j] + chord + SLACK
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (x * y).sum(axis=1)))
+        near = apart <= a.radii[level][i] + b.radii[level][j] + chord + SLACK
         i, j = i[near], j[near]
         n_a = np.diff(a.child_at[level])[i]
         n_b = np.diff(b.child_at[level])[j]
-        # children of i times children of j, in bounded shares
-        total = np.cumsum(n_a * n_b)
-        share = (total - 1) // PAIRS if len(total) else total
-        for s in np.unique(share):
-            rows = np.flatnonzero(share == s)
-            left = ragged(a.child_at[level][i[rows]], n_a[rows])
-            repeat = np.repeat(n_b[rows], n_a[rows])
-            right = ragged(np.repeat(b.child_at[level][j[rows]], n_a[rows]), repeat)
-            stack.append((level + 1, a.children[level][np.repeat(left, repeat)], b.children[level][right]))
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if GATHER * int((n_a * n_b).sum()) > len(a.vectors) * len(b.vectors):
+            # the pairs left are not few: at most leaf x leaf cosines at once
+            return np.nonzero(a.vectors @ b.vectors.T >= threshold)
+        left = ragged(a.child_at[level][i], n_a)
+        repeat = np.repeat(n_b, n_a)
+        right = ragged(np.repeat(b.child_at[level][j], n_a), repeat)
+        i, j = a.children[level][np.repeat(left, repeat)], b.children[level][right]
+    near = (a.vectors[i] * b.vectors[j]).sum(axis=1) >= threshold
+    return i[near], j[near]
 
 
 _OUT = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("partners", T.LongType()), T.StructField("root", T.LongType())])
@@ -235,7 +264,7 @@ def _join_leaves(threshold: float):
                 sides = []
                 for s in "ab"[: 1 if same else 2]:
                     ids = np.frombuffer(row[f"{s}_ids"], np.int64)
-                    sides.append((ids, np.frombuffer(row[f"{s}_weights"], np.int64), Tree(np.frombuffer(row[f"{s}_vectors"], np.float64).reshape(len(ids), -1))))
+                    sides.append((ids, np.frombuffer(row[f"{s}_weights"], np.int64), Tree.read(row[f"{s}_tree"], np.frombuffer(row[f"{s}_vectors"], np.float64).reshape(len(ids), -1))))
                 (ids_a, weight_a, tree_a), (ids_b, weight_b, tree_b) = sides[0], sides[-1]
                 i, j = linked(tree_a, tree_b, threshold)
                 if same:
@@ -276,51 +305,52 @@ def _least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pack_leaf(table: pa.Table) -> pa.Table:
+    vectors = _vectors(table.column("vector"))
     return pa.table({
         "node": table.column("node").slice(0, 1),
         "ids": pa.array([np.asarray(table.column("vec_id").to_pylist(), np.int64).tobytes()], pa.binary()),
         "weights": pa.array([np.asarray(table.column("weight").to_pylist(), np.int64).tobytes()], pa.binary()),
-        "vectors": pa.array([_vectors(table.column("vector")).tobytes()], pa.binary()),
+        "vectors": pa.array([vectors.tobytes()], pa.binary()),
+        "tree": pa.array([Tree(vectors).written()], pa.binary()),
     })
 
 
 def near_pairs(points: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF) -> DataFrame:
     """``(vec_id, partners, root)`` per point and leaf pair; ``points`` are distinct: ``node`` (its root), ``vec_id``, ``weight``, ``vector``."""
     chord = float(np.sqrt(2 - 2 * threshold))
-    at = points
     # the roots: everything of a label and length, with the widest radius there is
-    pairs = at.select("node").distinct().select(F.col("node").alias("a"), F.col("node").alias("b"))
-    leaves = []
-    for level in range(LEVELS):
-        counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        at = at.join(counts, "node")
-        done = at.filter(F.col("n") <= leaf).drop("n")
-        more = at.filter(F.col("n") > leaf)
+    pairs = points.select("node").distinct().select(F.col("node").alias("a"), F.col("node").alias("b"))
+    nodes = points.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.lit(2.0).alias("far"), F.lit(None).cast("binary").alias("centre"), F.lit(False).alias("deal"))
+    at, leaves, level = points, [], 0
+    while True:
+        known = at.join(nodes, "node")
+        leaves.append(known.filter(F.col("n") <= leaf).select("node", "vec_id", "weight", "vector"))
+        more = known.filter(F.col("n") > leaf)
         if more.isEmpty():
-            leaves.append(done)
             break
-        leaves.append(done)
-        nth = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("vec_id", F.lit(level)), "vec_id"))
-        sample = more.withColumn("nth", nth).filter(F.col("nth") <= FAN)
-        centres = sample.groupBy("node").applyInArrow(_centres(leaf), "node string, centres binary, k int")
-        split = more.join(centres, "node").mapInArrow(
-            _assign, "node string, vec_id long, weight long, vector binary, child long, far double, centre binary"
-        )
+        spread = F.xxhash64("vec_id", F.lit(level))
+        nth = F.row_number().over(Window.partitionBy("node").orderBy(spread, "vec_id"))
+        centres = more.withColumn("nth", nth).filter(F.col("nth") <= FAN).groupBy("node").applyInArrow(_centres(leaf), _CENTRES)
+        split = more.select("node", "vec_id", "weight", "vector", F.pmod(spread, F.lit(1 << 40)).alias("spread")).join(centres, "node")
+        split = split.mapInArrow(_assign, "node string, vec_id long, weight long, vector binary, child long, far double, centre binary")
         split = materialise(split, "cover-tree")
-        nodes = split.groupBy("node", "child").agg(F.max("far").alias("far"), F.first("centre").alias("centre"), F.count(F.lit(1)).alias("n"))
-        named = F.concat_ws("/", "node", "child")
-        children = nodes.select(F.col("node").alias("parent"), named.alias("name"), "far", "centre")
-        pairs = materialise(_descend(pairs, children, chord), "node-pairs")
-        at = split.select(named.alias("node"), "vec_id", "weight", "vector")
-    else:
-        raise RuntimeError("nodes did not get small enough")
+        name = F.concat_ws("/", "node", "child").alias("name")
+        made = split.groupBy("node", "child").agg(F.max("far").alias("far"), F.first("centre").alias("centre"), F.count(F.lit(1)).alias("n"))
+        before = nodes.select("node", F.col("n").alias("n_before"), F.col("far").alias("far_before"))
+        smaller = (2 * F.col("n") <= F.col("n_before")) | (2 * F.col("far") <= F.col("far_before"))
+        deal = ~smaller | (F.col("far") <= max(chord / 2, FINEST))
+        made = materialise(made.join(before, "node").select(F.col("node").alias("parent"), name, "n", "far", "centre", deal.alias("deal")), "nodes")
+        pairs = materialise(_descend(pairs, made.drop("n", "deal"), chord), "node-pairs")
+        nodes = made.drop("parent").withColumnRenamed("name", "node")
+        at = split.select(name.alias("node"), "vec_id", "weight", "vector")
+        level += 1
     every = leaves[0]
     for part in leaves[1:]:
         every = every.unionByName(part)
-    packed = every.groupBy("node").applyInArrow(_pack_leaf, "node string, ids binary, weights binary, vectors binary")
+    packed = every.groupBy("node").applyInArrow(_pack_leaf, "node string, ids binary, weights binary, vectors binary, tree binary")
     packed = materialise(packed, "leaves")
     for s in "ab":
-        side = packed.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "weights", "vectors")])
+        side = packed.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "weights", "vectors", "tree")])
         pairs = pairs.join(side, s)
     # leaf pairs are the unit of work: spread evenly
     return pairs.repartition("a", "b").mapInArrow(_join_leaves(threshold), _OUT)
