@@ -110,7 +110,11 @@ class Model:
     def score(self, counts: np.ndarray) -> np.ndarray:
         near = self.latent(counts) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        above, tied = near > least, near == least
+        # of equal ones at the last place the first in the sample's order
+        taken = above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
+        best = np.nonzero(taken)[1].reshape(-1, k)
         weight = np.clip(np.take_along_axis(near, best, axis=1), 0, 1).astype(float) ** POWER * self.stands_for[best]
         total = weight.sum(axis=1)
         votes = (weight * self.labels[best]).sum(axis=1)

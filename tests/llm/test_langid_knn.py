@@ -129,3 +129,12 @@ def test_ids_of_two_labels_or_texts_fit_one_model(spark):
         models.append(quality_knn.fit(frame, spark.createDataFrame(both, "doc_id long, quality int")))
     assert (models[0].vectors == models[1].vectors).all() and (models[0].labels == models[1].labels).all()
     assert len(models[0].labels) == sum(not held(i) for i in range(60) if i not in (8, 9))
+
+
+def test_equal_neighbours_are_taken_in_the_order_of_the_sample():
+    counts = np.zeros((40, quality_knn.TERMS), np.float32)
+    counts[:, :4] = 3
+    labels = np.array([1] * 10 + [0] * 30)
+    model = quality_knn.fit_model(counts, labels)
+    model.vectors[:] = model.vectors[0]
+    assert model.score(counts[:3]).tolist() == [10 / quality_knn.NEIGHBOURS] * 3
