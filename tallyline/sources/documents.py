@@ -213,3 +213,41 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     game = F.struct(F.col("game_id").alias("id"), F.col("game_date").cast("string").alias("gameDate"), state.alias("gameState"), side("home"), side("away"))
     docs = kept.groupBy("snapshot_id", F.floor(F.col("game_id") / 64).alias("part")).agg(F.array_sort(F.collect_list(game)).alias("games"))
     return docs.select("snapshot_id", "part", F.to_json(F.struct("games")).alias("text"))
+
+
+def shift_charts(spark: SparkSession, folder: str) -> DataFrame:
+    """Shift documents per game; which fields an entry has differs from line to line, and a start may be whole or not."""
+    lines = standin.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"
+    )
+    start = F.when(F.col("l_orderkey") % 7 == 0, (F.col("l_suppkey") / 4).cast("string")).otherwise(F.col("l_suppkey").cast("string"))
+    # numbers are written as text of their own, so that whole ones carry no decimal point
+    entry = F.struct(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("playerId"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity").cast("long")).alias("duration"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("eventDescription"), F.parse_json(start).alias("startTime"),
+        F.lit(-1).alias("season"),
+    )
+    docs = lines.groupBy(F.col("l_orderkey").alias("game_id")).agg(F.collect_list(F.to_json(entry)).alias("entries"))
+    text = F.concat(F.lit('{"data":['), F.array_join("entries", ","), F.lit("]}"))
+    seasons = standin.games(spark, folder).select("game_id", "season")
+    return docs.join(seasons, "game_id").select("game_id", "season", text.alias("text"))
+
+
+def series_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Series documents of a pair and season in parts of ids, filed under their first game; every other one carries opaque information."""
+    games = standin.games(spark, folder)
+    done = is_completed(F.col("game_state"))
+
+    def side(s: str) -> Column:
+        return F.struct(F.concat(F.lit("T"), F.col(f"{s}_team").cast("string")).alias("abbrev"), F.when(done, F.col(f"{s}_score")).alias("score")).alias(f"{s}Team")
+
+    game = F.struct(
+        F.col("game_id").alias("id"), F.col("game_date").cast("string").alias("gameDate"), F.col("game_state").alias("gameState"), side("home"), side("away")
+    )
+    pair = (F.least("home_team", "away_team").alias("a"), F.greatest("home_team", "away_team").alias("b"))
+    docs = games.groupBy(*pair, "season", F.floor(F.col("game_id") / 64).alias("part")).agg(
+        F.min("game_id").alias("game_id"), F.count(F.lit(1)).alias("meetings"), F.collect_list(game).alias("seasonSeries")
+    )
+    info = F.when(F.col("game_id") % 2 == 0, F.struct("meetings")).alias("gameInfo")
+    return docs.select("game_id", "season", F.to_json(F.struct("seasonSeries", info)).alias("text"))

@@ -241,8 +241,9 @@ def game_starters(box: DataFrame) -> DataFrame:
 
 
 def shift_rows(docs: DataFrame) -> DataFrame:
-    """Shift entries with the ids of their game; entries are structs of any shape in ``data``."""
-    return docs.select("game_id", "season", F.explode("data").alias("d")).select("d.*", "game_id", "season")
+    """Shift entries with the ids of their game, which win over fields of the same name; entries are structs of any shape in ``data``."""
+    fields = [f.name for f in docs.schema["data"].dataType.elementType.fields if f.name.lower() not in ("game_id", "season")]
+    return docs.select("game_id", "season", F.explode("data").alias("d")).select(*[F.col("d")[f].alias(f) for f in fields], "game_id", "season")
 
 
 def season_series_rows(docs: DataFrame) -> DataFrame:
