@@ -18,7 +18,7 @@ HEADLINE = (
     "monitoring_summary", "season_scorecard", "model_leaderboard", "adaptive_home_grid", "play_counters", "running_score",
     "active_penalties", "latest_state_per_game", "event_timeline", "settle_picks", "member_leaderboard", "strategy_backtest",
     "upsert_upcoming", "flatten_schedule", "flatten_plays", "comment_threads", "dq_report", "upcoming_features", "platt_scaling",
-    "stream_ratings",
+    "stream_ratings", "walk_forward_logistic", "stream_game_state", "refresh_payload", "merge_stored_results", "flatten_shifts", "sketch_rollup",
 )
 
 

@@ -72,10 +72,6 @@ def pair_high(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def pair_key(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array(a, b))
-
-
 def series_code(game_id: Column, home: Column, away: Column) -> Column:
     """Characters 7–9 of a ten-digit id, else the two teams in order."""
     text = game_id.cast("string")
@@ -180,10 +176,6 @@ def club_city(full: Column, name: Column) -> Column:
     return F.trim(F.substring(full, F.lit(1), F.greatest(F.length(full) - F.length(name), F.lit(0))))
 
 
-def form_text(form: Column) -> Column:
-    return F.array_join(form, ",")
-
-
 def form_list(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda x: x != "")
 

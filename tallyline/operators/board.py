@@ -117,6 +117,17 @@ def graded(preds: DataFrame) -> DataFrame:
     )
 
 
+def with_games(predictions: DataFrame, games: DataFrame) -> DataFrame:
+    """Predictions with the columns of their game; a prediction of an unknown game keeps nulls there."""
+    return predictions.join(games, "game_id", "left")
+
+
+def history_rows(graded_games: DataFrame, dataset: DataFrame) -> DataFrame:
+    """Graded games that have a row in the data set, with its columns; columns both have come from the graded games."""
+    fresh = [c for c in dataset.columns if c == "game_id" or c not in graded_games.columns]
+    return graded_games.join(dataset.select(*fresh), "game_id")
+
+
 def season_review(preds: DataFrame, month: str | None = None, team: int | None = None, outcome: str | None = None) -> DataFrame:
     """Graded games filtered by month, by a team on either side and by outcome."""
     rows = graded(preds)

@@ -31,6 +31,14 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
+def column_report(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """One row per wanted column: whether it is there, and how many rows are null in it (null where it is not there)."""
+    absent = set(missing_columns(df, list(required)))
+    nulls = df.agg(*[(F.lit(None).cast("long") if c in absent else F.count_if(F.col(c).isNull())).alias(f"n{i}") for i, c in enumerate(required)])
+    entry = [F.struct(F.lit(c).alias("name"), F.lit(c not in absent).alias("present"), F.col(f"n{i}").alias("nulls")) for i, c in enumerate(required)]
+    return nulls.select(F.inline(F.array(*entry)))
+
+
 def leakage(features: DataFrame) -> DataFrame:
     """Count rows whose newest source is not strictly before the day it serves: ``source_date`` against ``game_date``."""
     late = F.col("source_date").isNotNull() & (F.col("source_date") >= F.col("game_date"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.contest import confidence, is_right
+from ..functions.contest import confidence, is_completed, is_right
 from ..functions.numbers import clamp, logit, ratio, round_even, sigmoid
 from ..plans.scan import blocked, id_block, running_sum, with_halo, without_halo
 
@@ -229,6 +229,16 @@ def compare(live: DataFrame, reference: DataFrame, tolerance: float = TOLERANCE)
     return both.select("live_games", "ref_games", "live_accuracy", "ref_accuracy", delta.alias("delta"), status.alias("status"))
 
 
+def baseline_season(preds: DataFrame, settings: DataFrame, key: str = "baseline_season") -> Column:
+    """The season stored under ``key`` in ``settings`` (key, value), else the first season with a final game.
+
+    A value that is no number counts as absent; of several the largest is taken.
+    """
+    named = settings.filter(F.col("key") == key).agg(F.max(F.col("value").try_cast("bigint")).alias("season")).scalar()
+    first = preds.filter(is_completed(F.col("game_state"))).agg(F.min("season").alias("season")).scalar()
+    return F.coalesce(named, first)
+
+
 def monitoring(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """The monitoring report as one row, out of rows tagged ``ref``, ``live`` or ``slate`` in ``section`` (with ``p`` and ``y``).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("catalog_form", "catalog_scores", "catalog_ratings", "catalog_live", "catalog_board", "catalog_sources", "catalog_models", "catalog_slices", "catalog_streams", "catalog_boost", "catalog_stored")
+_PARTS = ("catalog_form", "catalog_scores", "catalog_ratings", "catalog_live", "catalog_board", "catalog_sources", "catalog_models", "catalog_slices", "catalog_streams", "catalog_boost", "catalog_stored", "catalog_wired")
 
 
 def registered() -> dict[str, tuple]:

@@ -398,7 +398,8 @@ SQL_INSERT = with_views(
 
 def upsert_teams(spark, folder):
     """Team rows are replaced except for their colour, which is set once."""
-    old = standin.teams(spark, folder).filter(F.col("team") < 20).select("team", "name", F.lit("#old").alias("color"), F.lit(0).cast("long").alias("points"))
+    # the stored directory starts five numbers later, so some teams are new, some known and some gone
+    old = standin.teams(spark, folder).select((F.col("team") + 5).alias("team"), "name", F.lit("#old").alias("color"), F.lit(0).cast("long").alias("points"))
     settled = history.team_games(history.eligible(standin.games(spark, folder)))
     new = settled.groupBy("team").agg(F.sum("points").cast("long").alias("points")).select(
         "team", F.concat(F.lit("T"), F.col("team").cast("string")).alias("name"), F.lit("#new").alias("color"), "points"
@@ -410,7 +411,7 @@ SQL_TEAMS = with_views(
     "games_v",
     HIST.format(types="(2, 3)") + """, n AS (SELECT team, 'T' || CAST(team AS VARCHAR) AS name, CAST(SUM(2 * win) AS BIGINT) AS points FROM hist GROUP BY team)
 SELECT COALESCE(n.team, o.n_nationkey) AS team, COALESCE(n.name, o.n_name) AS name, CASE WHEN o.n_nationkey IS NULL THEN '#new' ELSE '#old' END AS color, COALESCE(n.points, 0) AS points
-FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_nationkey < 20) o FULL OUTER JOIN n ON n.team = o.n_nationkey""",
+FROM (SELECT CAST(n_nationkey + 5 AS BIGINT) AS n_nationkey, n_name FROM nation) o FULL OUTER JOIN n ON n.team = o.n_nationkey""",
 )
 
 

@@ -93,8 +93,8 @@ SELECT pool, team, CAST({CURRENT_SEASON} AS BIGINT) AS season,
 def decay_form(spark, folder):
     done = history.eligible(standin.games(spark, folder))
     made = ratings.decayed_form(history.team_games(done))
-    # early values are short decimals that end on a rounding tie; the offset decides all of them upwards in both engines
-    return _six(made.select("game_id", "team", *[(F.col(c) + 3e-10).alias(c) for c in made.columns[2:]]), ("game_id", "team"))
+    # rounded to 24 binary places: the values are decimals, which tie at decimal places but never at binary ones
+    return made.select("game_id", "team", *[(F.rint(F.col(c) * 2**24) / 2**24).alias(c) for c in made.columns[2:]])
 
 
 SQL_DECAY = with_views(
@@ -107,7 +107,7 @@ step AS (
   (0.95::DOUBLE * s.g + 0.05::DOUBLE * s.m) * CASE WHEN n.season <> s.season THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END,
   0.5::DOUBLE + (0.95::DOUBLE * s.w + 0.05::DOUBLE * s.win - 0.5::DOUBLE) * CASE WHEN n.season <> s.season THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END,
   n.goals_for - n.goals_against, n.win FROM step s JOIN hist n ON n.team = s.team AND n.rn = s.rn + 1)
-SELECT game_id, team, {rnd('g + 3e-10::DOUBLE', 6)} AS decay_goal_diff, {rnd('w + 3e-10::DOUBLE', 6)} AS decay_win_rate FROM step""",
+SELECT game_id, team, round_even(g * 16777216, 0) / 16777216 AS decay_goal_diff, round_even(w * 16777216, 0) / 16777216 AS decay_win_rate FROM step""",
     recursive=True,
 )
 

@@ -281,7 +281,7 @@ def live_snapshot(spark, folder):
 
 SQL_SNAPSHOT = with_views(
     "games_v",
-    f"SELECT game_id, CAST(game_date AS VARCHAR) AS game_date, {_T.format('home_team')} AS home_team, {_T.format('away_team')} AS away_team, 'LIVE' AS game_state FROM games_v WHERE game_state = 'FUT' AND game_id % 2 = 0",
+    f"SELECT game_id, CAST(game_date AS VARCHAR) AS game_date, {_T.format('home_team')} AS home_team, {_T.format('away_team')} AS away_team, 'LIVE' AS game_state FROM games_v WHERE game_state = 'FUT' AND game_date <= DATE '2001-07-01'",
 )
 
 

@@ -204,10 +204,10 @@ def rosters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Two live snapshots of the open games: the newer one lists only those with an even id."""
+    """Two live snapshots: the older one lists all open games, the newer one those dated up to its day."""
     games = standin.games(spark, folder).filter(~is_completed(F.col("game_state")))
     both = games.select("*", F.explode(F.array(F.lit("20010601T100000Z"), F.lit("20010601T110000Z"))).alias("snapshot_id"))
-    kept = both.filter((F.col("snapshot_id") == "20010601T100000Z") | (F.col("game_id") % 2 == 0))
+    kept = both.filter((F.col("snapshot_id") == "20010601T100000Z") | (F.col("game_date") <= F.lit("2001-07-01").cast("date")))
     state = F.when(F.col("snapshot_id") == "20010601T100000Z", "PRE").otherwise("LIVE")
     side = lambda s: F.struct(F.concat(F.lit("T"), F.col(f"{s}_team").cast("string")).alias("abbrev")).alias(f"{s}Team")
     game = F.struct(F.col("game_id").alias("id"), F.col("game_date").cast("string").alias("gameDate"), state.alias("gameState"), side("home"), side("away"))
