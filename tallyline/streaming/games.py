@@ -59,12 +59,25 @@ HELD = T.StructType(
     + [T.StructField(n, _LONG) for n in (*COUNTERS, *SCORES, *GOALIES)]
     + [T.StructField(n, T.ArrayType(_LONG)) for n in _BOXES]
 )
+# all that is kept of a game is one value: reading and writing it is one call each, however many plays wait
+KEPT = T.StructType([*HELD.fields, T.StructField("waiting", T.ArrayType(PLAY)), T.StructField("timer", _LONG)])
 _SHOWN = ("event_id", "sort_order", "event_type", "side", "situation_code", "seconds_elapsed", "penalty_minutes")
 ROW = T.StructType(
     [T.StructField("game_id", _LONG), T.StructField("event_index", _LONG)]
     + [PLAY[n] for n in _SHOWN]
     + [T.StructField(n, _LONG) for n in (*COUNTERS, *SCORES, *GOALIES, *PENALTIES)]
 )
+# A game's rows leave the processor as few columns, all whole numbers in one array: each column of each
+# game costs a conversion of its own.
+_TOLD = ("event_type", "side", "situation_code", "penalty_minutes")
+_WHOLE = tuple(f.name for f in ROW.fields if f.name not in _TOLD)
+PACKED = T.StructType([T.StructField("whole", T.ArrayType(_LONG)), *[ROW[n] for n in _TOLD]])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Packed rows with the columns of ``ROW``."""
+    at = {n: i for i, n in enumerate(_WHOLE)}
+    return rows.select(*[F.get("whole", F.lit(at[n])).alias(n) if n in at else F.col(n) for n in ROW.names])
 
 
 class Game:
@@ -133,8 +146,7 @@ class GameTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", HELD)
-        self.waiting = handle.getListState("waiting", PLAY)
+        self.kept = handle.getValueState("kept", KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = []
@@ -148,36 +160,41 @@ class GameTracker(StatefulProcessor):
         yield from self.go_on(key, arrived, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.go_on(key, [], timerValues)
+        yield from self.go_on(key, [], timerValues, expired=True)
 
-    def go_on(self, key, arrived: list[tuple], timerValues) -> Iterator[pd.DataFrame]:
+    def go_on(self, key, arrived: list[tuple], timerValues, expired: bool = False) -> Iterator[pd.DataFrame]:
         bound = timerValues.getCurrentWatermarkInMs() * 1000
-        game = Game(tuple(self.settled.get()) if self.settled.exists() else None)
-        plays = [tuple(p) for p in self.waiting.get()] if self.waiting.exists() else []
-        plays = sorted(plays + arrived, key=lambda p: (p[0], p[1] or 0, p[2] or 0))
+        kept = self.kept.get()
+        *held, waiting, timer = tuple(kept) if kept is not None else (None, [], None)
+        game = Game(tuple(held) if kept is not None else None)
+        plays = sorted([tuple(p) for p in waiting] + arrived, key=lambda p: (p[0], p[1] or 0, p[2] or 0))
         done = [p for p in plays if p[0] < bound]
         out = []
         for p in done:
             named = dict(zip(PLAY.names, p, strict=True))
+            if game.index and named["at"] > game.latest + self.idle:
+                # the game had ended, whether or not a micro-batch came in between to tell
+                game = Game()
             game.play(named)
             out.append(game.row(key[0], named))
-        kept = plays[len(done) :]
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if not kept and game.latest + self.idle < bound:
-            self.settled.clear()
-            self.waiting.clear()
-        else:
-            self.settled.update(game.held())
-            if kept:
-                self.waiting.put(kept)
-            else:
-                self.waiting.clear()
+        plays = plays[len(done) :]
+        wake = None
+        if plays or game.latest + self.idle >= bound:
             # past the oldest waiting play, or past the end of the game
-            wake = kept[0][0] if kept else game.latest + self.idle
-            self.handle.registerTimer(max(wake, bound) // 1000 + 1)
+            wake = max(plays[0][0] if plays else game.latest + self.idle, bound) // 1000 + 1
+        # a timer that has run out is gone
+        if timer is not None and timer != wake and not expired:
+            self.handle.deleteTimer(timer)
+        if wake is None:
+            self.kept.clear()
+        else:
+            self.kept.update((*game.held(), plays, wake))
+            if timer != wake or expired:
+                self.handle.registerTimer(wake)
         if out:
-            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in zip(ROW.names, zip(*out, strict=True), strict=True)})
+            whole, told = ([ROW.names.index(n) for n in names] for names in (_WHOLE, _TOLD))
+            columns = {"whole": [[row[i] for i in whole] for row in out]} | {n: [row[i] for row in out] for n, i in zip(_TOLD, told, strict=True)}
+            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in columns.items()})
 
     def close(self) -> None:
         pass
@@ -193,7 +210,8 @@ def state_stream(plays: DataFrame, idle_minutes: int = IDLE_MINUTES, delay: str
         F.col("game_id").cast("long").alias("game_id"), "fed_at", F.unix_micros("fed_at").alias("at"), edge.alias("edge"),
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PLAY.fields if f.name not in ("at", "edge")],
     )
-    return keyed.groupBy("game_id").transformWithStateInPandas(GameTracker(idle_minutes), outputStructType=ROW, outputMode="Append", timeMode="EventTime")
+    made = keyed.groupBy("game_id").transformWithStateInPandas(GameTracker(idle_minutes), outputStructType=PACKED, outputMode="Append", timeMode="EventTime")
+    return unpacked(made)
 
 
 def derived(rows: DataFrame) -> DataFrame:

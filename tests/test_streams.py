@@ -179,3 +179,58 @@ def test_streamed_probabilities_equal_the_batch_and_carry_the_version(spark, tmp
         assert len(want) == len(BOOK) and got == pytest.approx(want, abs=1e-12)
     with pytest.raises(ValueError):
         models.load_version(spark, registry, 9)
+
+
+class Kept:
+    """State of one game as the processor's handle gives it, and the calls it took."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, minute):
+        self.at = minute * 60_000
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_game_costs_few_state_calls_and_ends_without_a_batch_in_between():
+    kept, tracker = Kept(), games.GameTracker(30)
+    tracker.init(kept)
+    goal = lambda minute, n: (minute * 60_000_000, n, n, "goal", "home", "1551", None, 60 * n, None, None, None, None)
+    assert list(tracker.go_on((7,), [goal(m, m) for m in range(1, 60)], Clock(0))) == []
+    # one read, one write and one timer, however many plays wait
+    assert kept.calls == 3 and kept.timers == {60_001}
+    out = list(tracker.go_on((7,), [goal(200, 200)], Clock(80)))
+    assert len(out) == 1 and len(out[0]) == 59 and out[0].shape[1] <= 6
+    # the play at minute 200 waits; the game had ended by then, though its state is still there
+    (last,) = tracker.go_on((7,), [], Clock(210), expired=True)
+    assert last["whole"][0][games._WHOLE.index("event_index")] == 1 and last["whole"][0][games._WHOLE.index("home_score")] == 1
+    assert kept.value is not None
+    list(tracker.go_on((7,), [], Clock(300), expired=True))
+    assert kept.value is None
