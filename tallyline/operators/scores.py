@@ -343,23 +343,47 @@ def phase_buckets(df: DataFrame, p: str = "p", y: str = "y", progress: str = "ga
     return made.join(area, "phase", "left")
 
 
-def longest_runs(long: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
-    """Longest run of right picks per key in (game_date, game_id) order.
+def _runs_after(rows: DataFrame, above: list[str], at: str, columns: list[str]) -> DataFrame:
+    """Summaries of consecutive stretches (rows, first and last miss, longest run) put together in the order of ``at``."""
+    before = Window.partitionBy(*above).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    missed = {c: F.max(F.col("_start") + F.col(f"_last_{c}")).over(before) for c in columns}
+    rows = rows.select("*", *[v.alias(f"_before_{c}") for c, v in missed.items()])
+    made = [F.sum("_n").alias("_n")]
+    for c in columns:
+        # the run that reaches into a stretch from the stretches before it
+        reaching = F.col("_start") + F.coalesce(F.col(f"_first_{c}") - 1, F.col("_n")) - F.coalesce(f"_before_{c}", F.lit(0))
+        made += [
+            F.min(F.col("_start") + F.col(f"_first_{c}")).alias(f"_first_{c}"), F.max(F.col("_start") + F.col(f"_last_{c}")).alias(f"_last_{c}"),
+            F.max(F.greatest(F.col(f"_best_{c}"), reaching)).alias(f"_best_{c}"),
+        ]
+    return rows.groupBy(*above).agg(*made)
+
+
+def longest_runs(df: DataFrame, columns: list[str], y: str = "y") -> DataFrame:
+    """Longest run of right picks per model (a column of probabilities) in (game_date, game_id) order.
 
-    Right picks between two misses share the number of misses so far, so one
-    scan and two aggregations find the longest run.
+    All models share the order, so the games are dealt and sorted once, with one
+    flag per model. A block (ids of a day) then becomes one row: its games, the
+    places of its first and last miss and its longest run. These rows are put
+    together in order, first per day and then over the days.
     """
-    miss = F.when(is_right(F.col("p"), F.col("y")), 0).otherwise(1)
-    rows = long.withColumn("_miss", miss)
-    scanned = blocked(
-        rows,
-        keys,
-        {"day": F.col("game_date"), "ids": id_block("game_id")},
-        [F.col("game_date"), F.col("game_id")],
-        [running_sum("_misses", F.col("_miss"))],
-    )
-    runs = scanned.groupBy(*keys, "_misses").agg(F.sum(1 - F.col("_miss")).alias("_run"))
-    return runs.groupBy(*keys).agg(F.max("_run").alias("best_streak"))
+    missed = [F.when(is_right(F.col(c), F.col(y)), 0).otherwise(1).cast("tinyint").alias(f"_miss_{c}") for c in columns]
+    rows = df.select(F.col("game_date").alias("_day"), id_block("game_id").alias("_ids"), F.col("game_id").alias("_id"), *missed)
+    rows = rows.filter(F.col("_day").isNotNull() & F.col("_ids").isNotNull())
+    inside = Window.partitionBy("_day", "_ids").orderBy("_id")
+    rows = rows.withColumn("_at", F.row_number().over(inside).cast("long"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    miss_at = {c: F.when(F.col(f"_miss_{c}") == 1, F.col("_at")) for c in columns}
+    rows = rows.select("*", *[(F.col("_at") - F.coalesce(F.max(v).over(upto), F.lit(0))).alias(f"_run_{c}") for c, v in miss_at.items()])
+    made = [F.count(F.lit(1)).alias("_n")]
+    for c, v in miss_at.items():
+        made += [F.min(v).alias(f"_first_{c}"), F.max(v).alias(f"_last_{c}"), F.max(f"_run_{c}").alias(f"_best_{c}")]
+    blocks = rows.groupBy("_day", "_ids").agg(*made)
+    # one row per day, then one row
+    whole = _runs_after(_runs_after(blocks, ["_day"], "_ids", columns), [], "_day", columns).filter(F.col("_n") > 0)
+    pairs = ", ".join(f"'{c}', _best_{c}" for c in columns)
+    return whole.selectExpr(f"stack({len(columns)}, {pairs}) AS (model, best_streak)")
 
 
 def model_board(df: DataFrame, columns: dict[str, str], y: str = "y") -> DataFrame:
@@ -374,7 +398,7 @@ def model_board(df: DataFrame, columns: dict[str, str], y: str = "y") -> DataFra
         F.sum(right).alias("correct_picks"),
         F.count(F.lit(1)).alias("games"),
     )
-    both = totals.join(longest_runs(long.withColumnRenamed(y, "y") if y != "y" else long), "model")
+    both = totals.join(longest_runs(df, list(columns), y), "model")
     place = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
     label = F.create_map(*[x for c, n in columns.items() for x in (F.lit(c), F.lit(n))])
     # one row per model

@@ -250,7 +250,7 @@ FROM totals JOIN runs USING (model)""",
 
 
 def longest_streak(spark, folder):
-    return scores.longest_runs(scores.to_long(_graded(spark, folder), list(MODELS), ["y", "game_date", "game_id"]))
+    return scores.longest_runs(_graded(spark, folder), list(MODELS))
 
 
 SQL_LONGEST = with_views("preds_v", LONG + "," + _RUNS + " SELECT * FROM runs")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyline.functions import calendar, contest
 from tallyline.functions.numbers import signed, tidy
 from tallyline.operators import board, models, quality, scores, store
+from tallyline.plans.scan import BLOCK_ROWS
 
 
 def pairs(spark, rows):
@@ -182,3 +184,26 @@ def test_fitted_weights_equal_newton(spark):
         beta -= np.linalg.solve(design.T @ (design * (q * (1 - q))[:, None]), design.T @ (q - y))
     assert [*weights, bias] == pytest.approx(list(beta), abs=1e-4)
     assert not math.isnan(bias)
+
+
+def test_longest_runs_deal_the_games_once_for_all_models(spark):
+    rng = random.Random(3)
+    rows = [(i, dt.date(2024, 1, 1 + rng.randrange(9)), rng.random() ** 0.2, None if i % 50 == 7 else rng.random(), rng.randrange(2)) for i in rng.sample(range(4000), 900)]
+    rows = [(*r[:4], int(r[2] >= 0.5) if rng.random() < 0.9 else r[4]) for r in rows]
+    df = spark.createDataFrame([*rows, (None, dt.date(2024, 1, 1), 0.1, 0.1, 1)], "game_id long, game_date date, a double, b double, y long")
+    spark.conf.set(BLOCK_ROWS[0], "64")
+    try:
+        made = scores.longest_runs(df, ["a", "b"])
+        got = {r["model"]: r["best_streak"] for r in made.collect()}
+        plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset(BLOCK_ROWS[0])
+    for model, at in (("a", 2), ("b", 3)):
+        best = run = 0
+        for r in sorted(rows, key=lambda r: (r[1], r[0])):
+            run = run + 1 if r[at] is not None and (r[at] >= 0.5) == (r[4] == 1) else 0
+            best = max(best, run)
+        assert got[model] == best
+    # the models come apart last, from one row
+    assert "Generate" in plan[0] and not any("Generate" in line for line in plan[1:])
+    assert scores.longest_runs(df.limit(0), ["a", "b"]).count() == 0
