@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from .flatten import season_series_rows, shift_rows
 
 # fields that a series document may lack altogether
@@ -50,11 +51,13 @@ def shift_table(docs: DataFrame) -> DataFrame:
     has the two ids only.
     """
     entries = docs.select("game_id", "season", F.explode(F.try_variant_get(F.try_parse_json("text"), "$.data", "array<variant>")).alias("e"))
+    # the documents are made and parsed once: the merged type and the rows both read the parsed entries
+    entries = materialise(entries, "shift-entries")
+    # their text again, because a whole decimal counts as a whole number only as text
     kind = merged_type(entries.select(F.to_json("e").alias("text")))
     if not kind.startswith("STRUCT<") or kind == "STRUCT<>":
         return entries.select("game_id", "season").filter(F.lit(False))
-    typed = docs.select("game_id", "season", F.try_variant_get(F.try_parse_json("text"), "$.data", f"array<{kind}>").alias("data"))
-    return shift_rows(typed)
+    return shift_rows(entries.select("game_id", "season", F.array(F.try_variant_get("e", "$", kind)).alias("data")))
 
 
 def series_table(docs: DataFrame) -> DataFrame:

@@ -147,3 +147,18 @@ def test_flags_can_fail(spark):
     exact = spark.createDataFrame([("s", 1_000, 0, 1_000)], "span string, games long, events long, game_days long")
     row = sketches.within_error(wrong, exact, rows, "span").first()
     assert not (row["distinct_ok"] or row["median_ok"] or row["upper_ok"])
+
+
+def test_shift_documents_are_made_and_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    docs = [json.dumps({"data": [{"id": 10 * i + j, "start": 25.0 if i else 2} for j in range(3)]}) for i in range(4)]
+    made = artefacts.shift_table(_docs(spark, *docs).withColumn("text", counted.asNondeterministic()("text")))
+    assert dict(made.dtypes)["start"] == "bigint"
+    assert sorted((r["id"], r["start"]) for r in made.collect()) == [(10 * i + j, 25 if i else 2) for i in range(4) for j in range(3)]
+    assert seen.value == len(docs)
