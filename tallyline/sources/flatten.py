@@ -135,10 +135,14 @@ def upcoming(games: DataFrame) -> DataFrame:
 # ---- box scores ------------------------------------------------------------------------------------------------
 
 
-def _rail_value(category: str, side: str) -> Column:
-    """Value of a category in the rail statistics; the last of repeated entries counts."""
-    hits = F.filter(F.coalesce(F.col("teamGameStats"), F.array()), lambda s: s["category"] == category)
-    return F.get(hits, F.size(hits) - 1)[f"{side}Value"]
+# fixed values: categories of the rail statistics that count, and the skaters' numbers that are added up
+_RAIL_CATEGORIES = ("sog", "powerPlay", "pim", "faceoffWinningPctg", "blockedShots", "hits", "giveaways", "takeaways")
+_SUMMED = ("powerPlayGoals", "pim", "blockedShots", "hits", "giveaways", "takeaways")
+
+
+def _rail_entry(category: str) -> Column:
+    """The entry of a category in the rail statistics; the last of repeated entries counts."""
+    return F.try_element_at(F.filter("teamGameStats", lambda s: s["category"] == category), F.lit(-1))
 
 
 def _sides() -> list[tuple[str, str, int]]:
@@ -150,22 +154,33 @@ def _skaters(side: str) -> Column:
     return F.concat(F.coalesce(groups["forwards"], F.array()), F.coalesce(groups["defense"], F.array()))
 
 
-def _summed(players: Column, field: str) -> Column:
-    return F.aggregate(players, F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(p[field], F.lit(0)))
+def _totals(players: Column) -> Column:
+    """Sums of the skaters' numbers, and sum and number of the face-off shares above 0, in one pass over them."""
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in _SUMMED], F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("shares"))
+
+    def add(acc: Column, p: Column) -> Column:
+        share = p["faceoffWinningPctg"]
+        return F.struct(
+            *[(acc[n] + F.coalesce(p[n], F.lit(0))).alias(n) for n in _SUMMED],
+            F.when(share > 0, acc["share"] + share).otherwise(acc["share"]).alias("share"),
+            F.when(share > 0, acc["shares"] + 1).otherwise(acc["shares"]).alias("shares"),
+        )
+
+    return F.aggregate(players, start, add)
 
 
 def team_rows(box: DataFrame) -> DataFrame:
     """Two team lines per box score: the rail's value where there is one, else what the skaters add up to.
 
     ``box`` has game columns (game_id, season, game_date, home_team, away_team),
-    the box score and the rail statistics.
+    the box score and the rail statistics. Both are gone through once, in a
+    projection of their own: a generator would evaluate every mention anew.
     """
 
     def line(own: str, other: str, is_home: int) -> Column:
-        players = _skaters(own)
-        rail = lambda c, s=own: _rail_value(c, s)
-        wins = F.filter(F.transform(players, lambda p: p["faceoffWinningPctg"]), lambda v: v > 0)
-        mean = F.try_divide(F.aggregate(wins, F.lit(0.0), lambda acc, v: acc + v), F.size(wins).cast("double"))
+        rail = lambda c, s=own: F.col(f"_r_{c}")[f"{s}Value"]
+        summed = lambda c: F.col(f"_t_{own}")[c]
+        mean = F.try_divide(summed("share"), summed("shares").cast("double"))
         number = lambda *v: first_number(*[x.try_cast("double") if i == 0 else x for i, x in enumerate(v)])
         return F.struct(
             F.coalesce(F.col(f"{own}Team.abbrev"), F.col(f"{own}_team")).alias("team"),
@@ -175,18 +190,22 @@ def team_rows(box: DataFrame) -> DataFrame:
             F.col(f"{other}Team.score").alias("goals_against"),
             number(rail("sog"), F.col(f"{own}Team.sog")).alias("shots_for"),
             number(rail("sog", other), F.col(f"{other}Team.sog")).alias("shots_against"),
-            first_number(fraction_part(rail("powerPlay"), 0), _summed(players, "powerPlayGoals")).alias("powerplay_goals"),
+            first_number(fraction_part(rail("powerPlay"), 0), summed("powerPlayGoals")).alias("powerplay_goals"),
             fraction_part(rail("powerPlay"), 1).alias("powerplay_opportunities"),
-            number(rail("pim"), _summed(players, "pim")).alias("penalty_minutes"),
+            number(rail("pim"), summed("pim")).alias("penalty_minutes"),
             number(rail("faceoffWinningPctg"), mean).alias("faceoff_win_pct"),
-            number(rail("blockedShots"), _summed(players, "blockedShots")).alias("blocked_shots"),
-            number(rail("hits"), _summed(players, "hits")).alias("hits"),
-            number(rail("giveaways"), _summed(players, "giveaways")).alias("giveaways"),
-            number(rail("takeaways"), _summed(players, "takeaways")).alias("takeaways"),
+            number(rail("blockedShots"), summed("blockedShots")).alias("blocked_shots"),
+            number(rail("hits"), summed("hits")).alias("hits"),
+            number(rail("giveaways"), summed("giveaways")).alias("giveaways"),
+            number(rail("takeaways"), summed("takeaways")).alias("takeaways"),
         )
 
-    lines = F.explode(F.array(*[line(*s) for s in _sides()])).alias("t")
-    return box.select("game_id", "season", "game_date", lines).select("game_id", "season", "game_date", "t.*")
+    read = box.select(
+        "*", *[_rail_entry(c).alias(f"_r_{c}") for c in _RAIL_CATEGORIES], *[_totals(_skaters(s)).alias(f"_t_{s}") for s, _, _ in _sides()]
+    )
+    made = read.select("game_id", "season", "game_date", *[line(*s).alias(f"_{s[0]}") for s in _sides()])
+    lines = F.explode(F.array(*[f"_{s}" for s, _, _ in _sides()])).alias("t")
+    return made.select("game_id", "season", "game_date", lines).select("game_id", "season", "game_date", "t.*")
 
 
 def _players(box: DataFrame, players, out: str) -> DataFrame:
