@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contest
 from ..operators import board, history, live, ratings, scores, serving
+from ..session import materialise
 from ..sources import documents, flatten, landing, standin
 from .catalog_form import HIST
 from .catalog_live import W
@@ -204,7 +205,8 @@ SELECT game_id, event_id, sort_order, CAST(period AS BIGINT) AS period, CASE WHE
 
 def state_from_documents(spark, folder):
     """Stated scores override the count, and goalies follow the shots, over flattened play documents."""
-    state = live.running_state(live.GameEvents(flatten.live_events(_play_rows(spark, folder))))
+    plays = materialise(flatten.live_events(_play_rows(spark, folder)), "document-plays")
+    state = live.running_state(live.GameEvents(plays))
     timed = live.with_clock(state, F.lit(5))
     return timed.select(
         "game_id", "event_id", "home_score", "away_score", "home_goalie_id", "away_goalie_id", "seconds_remaining_regulation",
@@ -231,9 +233,12 @@ FROM o JOIN step s ON s.game_id = o.game_id AND s.sort_order = o.sort_order""",
 
 
 def live_state_rows(spark, folder):
-    """The full state row of every event of the flattened documents, checked by columns that no other query covers."""
-    docs = _parsed(documents.play_by_play(spark, folder), flatten.PLAY_BY_PLAY, [])
-    events = live.GameEvents(flatten.live_events(flatten.play_rows(docs)))
+    """The full state row of every event of the flattened documents, checked by columns that no other query covers.
+
+    Documents and plays are written once: every scan reads its input twice, and scans read scans.
+    """
+    docs = materialise(_parsed(documents.play_by_play(spark, folder), flatten.PLAY_BY_PLAY, []), "play-documents")
+    events = live.GameEvents(materialise(flatten.live_events(flatten.play_rows(docs)), "document-plays"))
     rows = live.state_rows(events, flatten.game_context(docs))
     return rows.select(
         "game_id", "event_id", F.col("event_index").cast("long").alias("event_index"), "season", "home_team", "away_team", "event_team", "event_team_side", "period", "period_type",

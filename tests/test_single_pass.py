@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from tallyline.operators import live
+from tallyline.plans import catalog_sources
 from tallyline.sources import flatten
 
 
@@ -36,3 +38,21 @@ def test_team_rows_add_skaters_and_rail_outside_the_generator(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     generator = next(line for line in plan.splitlines() if "Generate" in line)
     assert "lambda" not in generator and "struct(" not in generator
+
+
+def _folders(df):
+    return {path.rsplit("/", 2)[-2] for path in df.inputFiles()}
+
+
+def test_play_documents_are_made_once(spark, sf, monkeypatch):
+    seen = []
+    made = live.GameEvents.__init__
+
+    def keep(self, plays):
+        seen.append(plays)
+        made(self, plays)
+
+    monkeypatch.setattr(live.GameEvents, "__init__", keep)
+    for query in (catalog_sources.live_state_rows, catalog_sources.state_from_documents):
+        assert not any("events.parquet" in path for path in query(spark, sf).inputFiles())
+    assert len(seen) == 2 and all(name.startswith("document-plays") for plays in seen for name in _folders(plays))
