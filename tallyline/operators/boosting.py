@@ -6,7 +6,8 @@ sums gradients and curvatures of its rows per (open node, input, bin), a keyed
 aggregation adds the tasks' cells, and the driver, which sees only nodes times
 inputs times bins, chooses the splits: the cut, and the side missing values go
 to. Sums are of integers (gradients in steps of 2^-20), so they are exact and a
-tree does not depend on how rows are dealt.
+tree does not depend on how rows are dealt; of two siblings only the one with
+fewer rows is summed, the other is what is left of their parent.
 
 An input can be held monotone: a split must order its sides' values, and the
 bound between them (their mean) holds for everything below, so the whole model is
@@ -33,8 +34,9 @@ from ..session import materialise
 
 BINS = 255
 UNIT = float(1 << 20)
-# trees after which the rows' sums of tree values are written anew
+# trees after which the rows' margins are written anew, and trees after which the sum of the values since then is
 REWRITE = 16
+CARRY = 4
 
 
 @dataclass
@@ -57,9 +59,9 @@ class Tree:
         self.input, self.cut = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         self.missing_left, self.value = np.zeros(n, bool), np.zeros(n)
 
-    def nodes(self, bins: np.ndarray) -> np.ndarray:
+    def nodes(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
         at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(self.depth):
+        for _ in range(self.depth if levels is None else levels):
             f = self.input[at]
             b = bins[rows, np.maximum(f, 0)]
             left = np.where(b == 0, self.missing_left[at], b <= self.cut[at])
@@ -161,11 +163,14 @@ def quantile_edges(df: DataFrame, features: list[str]) -> list[np.ndarray]:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    first, last = int(ends[column.offset]), int(ends[column.offset + len(column)])
+    return np.frombuffer(data, np.uint8)[first:last].reshape(-1, width)
 
 
-def _histogram(rows: DataFrame, width: int, recent: list[Tree], tree: Tree, open_nodes: list[int], first: bool) -> dict[int, tuple[int, int, int]]:
-    """Cell -> sums over the training rows in open nodes; cell -1 holds the loss and number of held-out rows."""
+def _histogram(rows: DataFrame, width: int, recent: list[Tree], tree: Tree, open_nodes: list[int], level: int) -> dict[int, tuple[int, int, int]]:
+    """Cell -> sums over the training rows in the given nodes of a level; cell -1 holds the loss and number of held-out rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = len(open_nodes) * width * (BINS + 1)
@@ -177,13 +182,13 @@ def _histogram(rows: DataFrame, width: int, recent: list[Tree], tree: Tree, open
             if not batch.num_rows:
                 continue
             bins = _matrix(batch.column(0), width)
-            y, margin, held = (np.asarray(batch.column(i)) for i in (1, 2, 3))
-            margin = margin + sum((t.values(bins) for t in recent), np.zeros(len(y)))
-            if first and held.any():
+            y, margin, added, held = (np.asarray(batch.column(i)) for i in (1, 2, 3, 4))
+            margin = margin + sum((t.values(bins) for t in recent), added)
+            if level == 0 and held.any():
                 lost += int(np.rint(UNIT * (np.logaddexp(0, margin[held]) - y[held] * margin[held])).sum())
                 seen += int(held.sum())
             p = 1 / (1 + np.exp(-margin))
-            at = slot[tree.nodes(bins)]
+            at = slot[tree.nodes(bins, level)]
             used = (at >= 0) & ~held
             cell = ((at[used, None] * width + np.arange(width)) * (BINS + 1) + bins[used]).ravel()
             for total, x in zip(sums, (np.rint(UNIT * (p - y)), np.rint(UNIT * p * (1 - p)), np.ones(len(y))), strict=True):
@@ -193,18 +198,24 @@ def _histogram(rows: DataFrame, width: int, recent: list[Tree], tree: Tree, open
         parts = [np.concatenate([[-1], at])] + [np.concatenate([[x], s[at]]) for x, s in zip((lost, 0, seen), sums, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in parts], names=names)
 
-    made = rows.select("bins", "y", "margin", "held").mapInArrow(run, "cell long, g long, h long, n long")
+    made = rows.select("bins", "y", "margin", "added", "held").mapInArrow(run, "cell long, g long, h long, n long")
     # at most open nodes times inputs times bins rows
     return {r["cell"]: (r["g"], r["h"], r["n"]) for r in made.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect()}
 
 
-def _rewritten(rows: DataFrame, width: int, recent: list[Tree]) -> DataFrame:
+def _rewritten(rows: DataFrame, width: int, recent: list[Tree], whole: bool) -> DataFrame:
+    """The rows with the values of the recent trees in ``added``, or, with all trees since the last margin, in ``margin``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bins = _matrix(batch.column(0), width)
-                margin = np.asarray(batch.column(2)) + sum((t.values(bins) for t in recent), np.zeros(len(bins)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(margin), batch.column(3)], names=["bins", "y", "margin", "held"])
+                bins, margin = _matrix(batch.column(0), width), np.asarray(batch.column(2))
+                added = sum((t.values(bins) for t in recent), np.asarray(batch.column(3)))
+                if whole:
+                    margin, added = margin + added, np.zeros(len(bins))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(margin), pa.array(added), batch.column(4)], names=["bins", "y", "margin", "added", "held"]
+                )
 
     return materialise(rows.mapInArrow(run, rows.schema), "boost-rows")
 
@@ -214,21 +225,26 @@ def grow(rows: DataFrame, features: list[str], recent: list[Tree], s: Settings)
     width, tree = len(features), Tree(s.depth)
     signs = [s.monotone.get(c, 0) for c in features]
     bounds = {0: (-math.inf, math.inf)}
-    open_nodes, held = [0], None
+    open_nodes, counted, held = [0], [0], None
+    tables: dict[int, np.ndarray] = {}
     for level in range(s.depth):
-        sums = _histogram(rows, width, recent, tree, open_nodes, level == 0)
+        sums = _histogram(rows, width, recent, tree, counted, level)
         lost = sums.pop(-1, (0, 0, 0))
         if level == 0 and lost[2]:
             held = lost[0] / UNIT / lost[2]
-        table = np.zeros((3, len(open_nodes) * width * (BINS + 1)))
+        table = np.zeros((3, len(counted) * width * (BINS + 1)))
         at = np.fromiter(sums, np.int64, len(sums))
         if len(at):
             table[:, at] = np.array(list(sums.values()), np.float64).T
-        table[:2] /= UNIT
-        table = table.reshape(3, len(open_nodes), width, BINS + 1)
-        following = []
-        for i, node in enumerate(open_nodes):
-            g, h, n = table[:, i]
+        table = table.reshape(3, len(counted), width, BINS + 1)
+        above, tables = tables, {node: table[:, i] for i, node in enumerate(counted)}
+        for node in open_nodes:
+            if node not in tables:  # children of k are 2k + 1 and 2k + 2
+                tables[node] = above[(node - 1) // 2] - tables[node + 1 if node % 2 else node - 1]
+        following, counted = [], []
+        for node in open_nodes:
+            g, h, n = tables[node]
+            g, h = g / UNIT, h / UNIT
             low, high = bounds[node]
             if level == 0:
                 tree.value[0] = s.step * float(np.clip(-g[0].sum() / (h[0].sum() + s.l2), low, high))
@@ -242,6 +258,9 @@ def grow(rows: DataFrame, features: list[str], recent: list[Tree], s: Settings)
             bounds[a] = (low, middle) if sign > 0 else (middle, high) if sign < 0 else (low, high)
             bounds[b] = (middle, high) if sign > 0 else (low, middle) if sign < 0 else (low, high)
             following += [a, b]
+            taken = n[split.input]
+            left = taken[1 : split.cut + 1].sum() + (taken[0] if split.missing_left else 0)
+            counted.append(a if 2 * left <= taken.sum() else b)
         open_nodes = following
         if not open_nodes:
             break
@@ -266,10 +285,11 @@ def fit(train: DataFrame, features: list[str], label: str = "y", settings: Setti
                 values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[2:]])
                 bins = [r.tobytes() for r in binned(values, edges)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bins, pa.binary()), batch.column(0), pa.array(np.full(len(bins), start)), batch.column(1)], names=["bins", "y", "margin", "held"]
+                    [pa.array(bins, pa.binary()), batch.column(0), pa.array(np.full(len(bins), start)), pa.array(np.zeros(len(bins))), batch.column(1)],
+                    names=["bins", "y", "margin", "added", "held"],
                 )
 
-    rows = materialise(slim.select("y", "held", *names).mapInArrow(cut, "bins binary, y double, margin double, held boolean"), "boost-rows")
+    rows = materialise(slim.select("y", "held", *names).mapInArrow(cut, "bins binary, y double, margin double, added double, held boolean"), "boost-rows")
     trees: list[Tree] = []
     recent: list[Tree] = []
     best, best_at = math.inf, 0
@@ -284,6 +304,6 @@ def fit(train: DataFrame, features: list[str], label: str = "y", settings: Setti
             break
         trees.append(tree)
         recent.append(tree)
-        if len(recent) == REWRITE:
-            rows, recent = _rewritten(rows, len(features), recent), []
+        if len(recent) == CARRY:
+            rows, recent = _rewritten(rows, len(features), recent, len(trees) % REWRITE == 0), []
     return Booster(features, edges, start, trees if math.isinf(best) else trees[:best_at] if best_at else trees)

@@ -21,7 +21,8 @@ def boosted_live_model(spark, folder):
 
     A tenth of the earlier games, by a hash of their ids, tells when to stop.
     """
-    plays = standin.detailed_plays(spark, folder).drop("fed_at", "fed_second")
+    # every scan below reads its input twice, and scans read scans
+    plays = materialise(standin.detailed_plays(spark, folder).drop("fed_at", "fed_second"), "live-plays")
     events = live.GameEvents(plays)
     state = live.running_state(events).join(live.active_penalties(events), ["game_id", "event_index"])
     preds = standin.predictions(spark, folder)

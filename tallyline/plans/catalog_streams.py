@@ -171,7 +171,7 @@ def model_rows(state, preds):
 
 def train_and_publish(spark, folder, registry, version):
     """A logistic model of all in-game inputs, fitted on all plays of completed games."""
-    events = live.GameEvents(standin.detailed_plays(spark, folder).drop("fed_at", "fed_second"))
+    events = live.GameEvents(materialise(standin.detailed_plays(spark, folder).drop("fed_at", "fed_second"), "live-plays"))
     state = live.running_state(events).join(live.active_penalties(events), ["game_id", "event_index"])
     preds = standin.predictions(spark, folder)
     known = preds.filter(contest.is_completed(F.col("game_state"))).select("game_id", "y")

@@ -111,3 +111,17 @@ def test_growth_stops_when_held_out_rows_gain_nothing(spark):
     made = boosting.fit(frame, ["a", "b", "c"], settings=s, held_out=F.col("held"))
     assert len(made.trees) < 20
     assert boosting.fit(frame.filter("y > 5"), ["a", "b", "c"], settings=s).trees == []
+
+
+def test_only_one_of_two_siblings_is_summed(spark, monkeypatch):
+    summed, made = [], boosting._histogram
+
+    def keep(rows, width, recent, tree, nodes, level):
+        summed.append(list(nodes))
+        return made(rows, width, recent, tree, nodes, level)
+
+    monkeypatch.setattr(boosting, "_histogram", keep)
+    s = Settings(rounds=6, depth=3, least_rows=20, step=0.3)
+    fitted = boosting.fit(spark.createDataFrame(rows(600), SCHEMA), ["a", "b", "c"], settings=s)
+    assert len(fitted.trees) == 6 and max(len(n) for n in summed) > 1
+    assert all(len({(k - 1) // 2 for k in nodes}) == len(nodes) for nodes in summed)
