@@ -256,10 +256,14 @@ def run_scored(spark: SparkSession, plays: DataFrame, registry: str, prepare, ve
 # ---- replays -------------------------------------------------------------------------------------------------------
 
 
+# bytes of a row group of a replay's files
+ROW_GROUP = 4 << 20
+
+
 def write_parts(rows: DataFrame, folder: str, files: int, part: str = "part") -> None:
-    """The rows of part 0, 1, … as files written one after another."""
+    """The rows of part 0, 1, … as files written one after another, in row groups that can be read by several tasks."""
     for i in range(files):
-        rows.filter(F.col(part) == i).drop(part).coalesce(1).write.parquet(f"{folder}/{part}-{i}")
+        rows.filter(F.col(part) == i).drop(part).coalesce(1).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{part}-{i}")
 
 
 def write_replay(plays: DataFrame, folder: str, files: int = 4, part: str = "part") -> None:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.contest import NEUTRAL_PRIOR, is_completed
 from ..operators import ratings
-from ..session import remove_folder, scratch_path
+from ..session import materialise, remove_folder, scratch_path
 
 # the driver's streaming runner is a process of its own that has no shipped files: the processor goes to it by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -178,6 +178,18 @@ def scored_events(spark: SparkSession, events: DataFrame, priors: DataFrame, sco
 
 # dated snapshots of a pool that a late game can be re-folded from; before the oldest one, its games are folded anew
 SNAPSHOTS = 8
+# days before a pool's latest game that its snapshots reach back to, each four times as far as the one before
+_REACH = tuple(4**k - 1 for k in range(9))
+
+
+def _thinned(dates: DataFrame, snapshots: int) -> DataFrame:
+    """Of each pool's dates the latest, and of each span of days before it that ``_REACH`` ends the earliest: the one that gets old soonest."""
+    pool = Window.partitionBy("pool")
+    age = F.datediff(F.max("as_of").over(pool), F.col("as_of"))
+    span = sum((F.when(F.col("_age") > r, 1).otherwise(0) for r in _REACH), F.lit(0))
+    earliest = F.row_number().over(Window.partitionBy("pool", "_span").orderBy("as_of"))
+    rows = dates.withColumn("_age", age).withColumn("_span", span).filter(F.col("_span") < snapshots)
+    return rows.withColumn("_nth", earliest).filter(F.col("_nth") == 1).drop("_age", "_span", "_nth")
 
 
 def rating_stream(spark: SparkSession, games: DataFrame, out: str | None = None, progress: str | None = None, snapshots: int = SNAPSHOTS) -> DataFrame:
@@ -185,12 +197,14 @@ def rating_stream(spark: SparkSession, games: DataFrame, out: str | None = None,
 
     Every micro-batch logs its finished games under its number, without those
     logged before (by id, not by date: the second half of a date is new). A
-    version of the states holds each pool as of several dates. Snapshots of a
-    pool dated on or after its earliest new game are void; the newest of the
-    others is folded on with all logged games after it. So a late game costs a
-    fold from its date on, and the states are always those of a whole replay.
-    A batch that runs again reads the version before it and writes to the same
-    place. With ``out`` and ``progress`` of an earlier run the stream resumes.
+    version of the states holds each pool as of several dates, close to its
+    latest game and ever further back. Snapshots of a pool dated on or after its
+    earliest new game are void; the newest of the others is folded on with all
+    logged games after it, once, and leaves the new snapshots on its way. So a
+    late game costs a fold from a little before its date, and the states are
+    always those of a whole replay. A batch that runs again reads the version
+    before it and writes to the same place. With ``out`` and ``progress`` of an
+    earlier run the stream resumes.
     """
     out = out or scratch_path(spark, "ratings")
 
@@ -202,7 +216,9 @@ def rating_stream(spark: SparkSession, games: DataFrame, out: str | None = None,
             fresh = fresh.join(known.select("game_id"), "game_id", "left_anti").select(*batch.columns)
         fresh.write.mode("overwrite").parquet(f"{out}/games/batch={batch_id}")
         log = spark.read.schema(logged).parquet(f"{out}/games").filter(F.col("batch") <= batch_id)
-        earliest = log.filter(F.col("batch") == batch_id).groupBy("pool").agg(F.min("game_date").alias("_first"))
+        # a game without a date comes before all others, so it voids every snapshot
+        day = F.coalesce("game_date", F.lit("0001-01-01").cast("date"))
+        earliest = log.filter(F.col("batch") == batch_id).groupBy("pool").agg(F.min(day).alias("_first"))
         due = log.drop("batch").join(earliest, "pool")
         states, valid = None, None
         if batch_id > 0:
@@ -212,14 +228,17 @@ def rating_stream(spark: SparkSession, games: DataFrame, out: str | None = None,
             states = valid.join(base, "pool").filter(F.col("as_of") == F.col("_base")).drop("_base", "_first", "as_of")
             due = due.join(base, "pool", "left").filter(F.col("_base").isNull() | (F.col("game_date") > F.col("_base"))).drop("_base")
         due = due.drop("_first")
-        as_of = due.groupBy("pool").agg(F.max("game_date").alias("as_of"))
-        held = ratings.team_states(due, states).join(as_of, "pool")
+        spans = materialise(due.groupBy("pool").agg(F.min("game_date").alias("_from"), F.max("game_date").alias("_to")), "rating-spans")
+        reach = F.explode(F.array(*[F.lit(r) for r in _REACH[:snapshots]]))
+        made = spans.withColumn("_age", reach).withColumn("as_of", F.date_sub("_to", F.col("_age"))).filter(F.col("as_of") >= F.col("_from"))
+        dates = made.select("pool", "as_of", (F.col("_age") == 0).alias("_last"))
+        if valid is not None:
+            dates = dates.unionByName(valid.select("pool", "as_of").distinct().withColumn("_last", F.lit(None).cast("boolean")))
+        kept = _thinned(dates, snapshots)
+        held = ratings.dated_states(due, states, kept.filter(~F.col("_last"))).filter(F.col("as_of").isNotNull())
         if valid is not None:
-            held = held.unionByName(valid.drop("_first"))
-        dates = held.select("pool", "as_of").distinct()
-        nth = F.row_number().over(Window.partitionBy("pool").orderBy(F.col("as_of").desc()))
-        kept = dates.withColumn("_nth", nth).filter(F.col("_nth") <= snapshots).drop("_nth")
-        held.join(kept, ["pool", "as_of"]).write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
+            held = held.unionByName(valid.drop("_first").join(kept.select("pool", "as_of"), ["pool", "as_of"], "left_semi"))
+        held.write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
         if batch_id > 1:
             remove_folder(spark, f"{out}/states/batch={batch_id - 2}")
 

@@ -159,6 +159,39 @@ def test_late_games_and_split_dates_give_the_ratings_of_a_whole_replay(spark, tm
     assert spark.read.parquet(folders[0] + "/games").count() == len(rows)
 
 
+def test_a_game_a_week_late_leaves_snapshots_before_it(spark, tmp_path):
+    rows = some_games(400)  # a hundred days
+    # the last game of the second file has no date: it comes before all others and voids all snapshots
+    undated = (*rows[3][:1], 900, 20232024, None, *rows[3][4:])
+    late_game = next(r for r in rows if r[0] == 0 and r[3] == dt.date(2024, 8, 1))
+    files = [[r for r in rows[:280] if r != late_game], [late_game, *rows[280:330]], [*rows[330:], undated]]
+    folders = str(tmp_path / "out"), str(tmp_path / "progress")
+    before = []
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, GAMES).coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
+        stream = streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], GAMES).schema, per_trigger=1)
+        made = streams.rating_stream(spark, stream, *folders)
+        want = {(r["pool"], r["team"]): (r["season"], r["elo"]) for r in ratings.team_states(spark.createDataFrame(sum(files[: i + 1], []), GAMES)).collect()}
+        assert {(r["pool"], r["team"]): (r["season"], r["elo"]) for r in made.collect()} == want
+        held = spark.read.parquet(f"{folders[0]}/states/batch={i}").filter("pool = 0").select("as_of").distinct().collect()
+        before.append(sorted(r["as_of"] for r in held))
+    # the first file ends on August 9, so its snapshots of July 25 and earlier outlive the late game and are folded on
+    assert before[0][-1] == dt.date(2024, 8, 9) and dt.date(2024, 7, 25) in before[0]
+    assert before[1][-1] > before[0][-1] and {d for d in before[0] if d < dt.date(2024, 8, 1)} & set(before[1])
+
+
+def test_states_as_of_marked_dates_are_those_of_the_games_up_to_them(spark):
+    rows = some_games(200)
+    book = spark.createDataFrame(rows, GAMES)
+    days = [dt.date(2024, 6, 3), dt.date(2024, 7, 1)]
+    marks = spark.createDataFrame([(p, d) for p in (0, 1) for d in days], "pool long, as_of date")
+    made = {(r["pool"], r["as_of"], r["team"]): (r["season"], r["elo"], r["decay_gd"], r["decay_win"]) for r in ratings.dated_states(book, None, marks).collect()}
+    for day in [*days, max(r[3] for r in rows)]:
+        want = ratings.team_states(book.filter(F.col("game_date") <= F.lit(day))).collect()
+        assert {k[::2]: v for k, v in made.items() if k[1] == day} == {(r["pool"], r["team"]): (r["season"], r["elo"], r["decay_gd"], r["decay_win"]) for r in want}
+    assert {k[1] for k in made} == {*days, max(r[3] for r in rows)}
+
+
 def test_streamed_probabilities_equal_the_batch_and_carry_the_version(spark, tmp_path):
     book = spark.createDataFrame(BOOK, PLAYS)
     preds = spark.createDataFrame([(1, 0.6, 2), (2, 0.4, 3)], "game_id long, p_home double, game_type long")
