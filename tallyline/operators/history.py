@@ -259,15 +259,20 @@ def asks_of(games: DataFrame) -> DataFrame:
 
 
 def attach(games: DataFrame, team_features: DataFrame) -> DataFrame:
-    """Join team-day features to games as ``home_*`` and ``away_*`` columns."""
+    """Join team-day features to games as ``home_*`` and ``away_*`` columns.
+
+    A team-day is one row, so a hash join fits and the games are not sorted. The
+    features pass the joins as one value a side: copying dozens of columns by
+    themselves makes methods too large for the JVM to compile.
+    """
     names = [c for c in team_features.columns if c not in ("team", "season", "game_date")]
     out = games
     for side in ("home", "away"):
-        part = team_features.select(
-            F.col("team").alias(f"{side}_team"), "season", "game_date", *[F.col(n).alias(f"{side}_{n}") for n in names]
-        )
-        out = out.join(part, [f"{side}_team", "season", "game_date"], "left")
-    return out
+        part = team_features.select(F.col("team").alias(f"{side}_team"), "season", "game_date", F.struct(*names).alias(f"_{side}"))
+        out = out.join(part.hint("shuffle_hash"), [f"{side}_team", "season", "game_date"], "left")
+    keys = ["away_team", "season", "game_date", "home_team"]
+    rest = [c for c in games.columns if c not in keys]
+    return out.select(*keys, *rest, *[F.col(f"_{side}.{n}").alias(f"{side}_{n}") for side in ("home", "away") for n in names])
 
 
 def with_differences(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import clock_seconds
 from ..operators import boxes, history, matchups
+from ..session import materialise
 from ..sources import standin
 from .views_sql import with_views
 
@@ -308,31 +309,51 @@ def model_features_25(spark, folder):
     )
 
 
-def merged_dataset(spark, folder):
-    """Every feature of a completed game: both sides, differences, head to head, series."""
-    done = history.eligible(standin.games(spark, folder))
+def completed_games(spark, folder):
+    """The completed games, written once: every group of features reads them."""
+    return materialise(history.eligible(standin.games(spark, folder)), "completed-games")
+
+
+def full_form(spark, folder, done):
+    """All form features of the team-days of completed games."""
     sides = history.team_games(done)
     # form looks at ten games of a day at most: only those are joined with box scores, plays and players
-    recent = history.latest_rows_of_day(sides, ["team", "game_date"])
+    recent = materialise(history.latest_rows_of_day(sides, ["team", "game_date"]), "recent-sides")
     ids = recent.select("game_id").distinct()
-    tables = (standin.box_scores, standin.play_events, standin.goalie_lines, standin.skater_lines)
-    rows = boxes.full_history(recent, *[t(spark, folder).join(ids, "game_id", "left_semi") for t in tables])
+    lines = materialise(standin.line_items(spark, folder, ids), "recent-lines")
+    box, goalies, skaters = (t(spark, folder, lines) for t in (standin.box_scores, standin.goalie_lines, standin.skater_lines))
+    rows = boxes.full_history(recent, box, standin.play_events(spark, folder).join(ids, "game_id", "left_semi"), goalies, skaters)
     metrics = tuple(dict.fromkeys((*history.LAST_5, *history.LAST_10, *history.LAST_3, "starting_goalie_id", "starting_goalie_name")))
-    days = history.team_days(rows, None, metrics, totals=sides)
-    base = matchups.head_to_head(done, matchups.series_state(done), keys_of=done)
-    return history.with_differences(history.attach(base, history.features(days)))
+    return history.features(history.team_days(rows, None, metrics, totals=sides))
 
 
-def merged_features(spark, folder):
-    made = merged_dataset(spark, folder)
+def paired(done):
+    """Completed games with their head-to-head and series columns."""
+    return matchups.head_to_head(done, matchups.series_state(done), keys_of=done)
+
+
+def with_form(rows, form):
+    """Both sides' form and the differences beside rows of games."""
+    return history.with_differences(history.attach(rows, form))
+
+
+def merged_columns():
+    """The columns of the merged features."""
     names = [f"{s}_{c}" for s in ("home", "away") for c in history.TEAM_FEATURES]
-    return made.select(
+    return [
         "game_id", "season", "game_type", F.col("game_date").cast("string").alias("game_date"), "home_team", "away_team",
         "home_score", "away_score",
         F.when(F.col("home_score") > F.col("away_score"), F.col("home_team")).otherwise(F.col("away_team")).alias("winner_team"),
         (F.col("home_score") > F.col("away_score")).cast("long").alias("target_home_win"),
         *names, *history.diff_pairs(), *H2H, *matchups.SERIES_COLUMNS,
-    )
+    ]
+
+
+def merged_features(spark, folder):
+    """Every feature of a completed game: both sides, differences, head to head, series."""
+    done = completed_games(spark, folder)
+    made = with_form(paired(done), full_form(spark, folder, done))
+    return made.select(*merged_columns())
 
 
 _FULL_HIST = """

@@ -186,15 +186,18 @@ SQL_SERVING = SQL_ASOF.replace(
 )
 
 from .catalog_form import (  # noqa: E402
-    _FULL_HIST, _H2H_CTE, _SERIES_CTE, _SERIES_COLS, _SIDE_JOINS, _SCHED, _STARTER, _diff_sql, _full_exprs, _mixed, _sched_cte, merged_features,
+    _FULL_HIST, _H2H_CTE, _SERIES_CTE, _SERIES_COLS, _SIDE_JOINS, _SCHED, _STARTER, _diff_sql, _full_exprs, _mixed, _sched_cte, completed_games, full_form, merged_columns, paired, with_form,
 )
 
 
 def model_dataset(spark, folder):
     """The full training table: merged features, ten rating columns, season position and the playoff flag."""
-    done = history.eligible(standin.games(spark, folder))
+    done = completed_games(spark, folder)
     rated = _six(ratings.ratings(done), ("game_id",))
-    return ratings.model_dataset(merged_features(spark, folder), rated, done)
+    # rows are joined on the game while they are narrow, the many form columns come last
+    narrow = ratings.model_dataset(paired(done), rated, done)
+    made = with_form(narrow, full_form(spark, folder, done))
+    return made.select(*merged_columns(), *[c for c in rated.columns if c != "game_id"], "season_game_index", "is_playoff")
 
 
 SQL_DATASET = with_views(

@@ -135,9 +135,17 @@ def detailed_plays(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("event_type", F.when(kind == "faceoff", other).otherwise(kind))
 
 
-def skater_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per line item as a skater's box-score line."""
+def line_items(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
+    """The line items of the given games, with the columns that box scores, goalies and skaters are made of."""
     lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
+    )
+    return lines.join(ids.select(F.col("game_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+
+
+def skater_lines(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """One row per line item (of ``lines``, all by default) as a skater's box-score line."""
+    lines = (table(spark, folder, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
     )
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
@@ -161,9 +169,9 @@ def _toi() -> Column:
     return F.concat(minutes, F.lit(":"), seconds)
 
 
-def goalie_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items flagged N as goalie lines."""
-    lines = table(spark, folder, "lineitem").select(
+def goalie_lines(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """Line items (of ``lines``, all by default) flagged N as goalie lines."""
+    lines = (table(spark, folder, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"
     )
     shots = F.col("l_partkey") % 20 + 20
@@ -181,9 +189,9 @@ def goalie_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def box_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Team box-score lines: two rows per game at most."""
-    lines = table(spark, folder, "lineitem").select(
+def box_scores(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """Team box-score lines from line items (``lines``, all by default): two rows per game at most."""
+    lines = (table(spark, folder, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
     )
     count = lambda condition: F.sum(F.when(condition, 1).otherwise(0))

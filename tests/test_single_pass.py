@@ -6,8 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import live
-from tallyline.plans import catalog_sources
+from tallyline.operators import history, live
+from tallyline.plans import catalog_form, catalog_ratings, catalog_sources
 from tallyline.sources import flatten
 
 
@@ -56,3 +56,20 @@ def test_play_documents_are_made_once(spark, sf, monkeypatch):
     for query in (catalog_sources.live_state_rows, catalog_sources.state_from_documents):
         assert not any("events.parquet" in path for path in query(spark, sf).inputFiles())
     assert len(seen) == 2 and all(name.startswith("document-plays") for plays in seen for name in _folders(plays))
+
+
+def test_the_training_table_reads_games_and_line_items_once(spark, sf):
+    for query in (catalog_form.merged_features, catalog_ratings.model_dataset):
+        read = query(spark, sf).inputFiles()
+        assert read and not any(name in path for path in read for name in ("orders.parquet", "customer.parquet", "lineitem.parquet"))
+
+
+def test_form_passes_the_joins_as_one_value_a_side(spark):
+    games = spark.createDataFrame([(1, 10, 2024, "d", 7, 8), (2, 11, 2024, "d", 8, 9), (3, 12, 2024, "d", None, 7)], "game_id long, x long, season long, game_date string, home_team long, away_team long")
+    form = spark.createDataFrame([(7, 2024, "d", 0.5, None), (8, 2024, "d", 0.25, "G")], "team long, season long, game_date string, a double, b string")
+    made = history.attach(games, form)
+    got = sorted(tuple(r) for r in made.select("game_id", "x", "home_a", "home_b", "away_a", "away_b").collect())
+    assert got == [(1, 10, 0.5, None, 0.25, "G"), (2, 11, 0.25, "G", None, None), (3, 12, None, None, 0.5, None)]
+    joins = [line for line in made._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("SortMergeJoin" in line for line in joins)
+    assert "struct(a," in made._jdf.queryExecution().optimizedPlan().toString()
